@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import op2_mixing
 from .packing import op3_packing
+from .quality import op8_quality_rules
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_packing": op3_packing}
+QUERIES = {"op2_mixing": op2_mixing, "op3_packing": op3_packing, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
