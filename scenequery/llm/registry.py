@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from . import licences, line_dedup
 from .mixing import op2_mixing
 from .packing import op3_packing
 from .quality import op8_quality_rules
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_packing": op3_packing, "op8_quality_rules": op8_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_license_scan": licences.op1_license_scan, "op4_line_dedup": line_dedup.op4_line_dedup, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op8_quality_rules": op8_quality_rules}
+ORACLE_SQL = {"op1_license_scan": licences.oracle_sql(), "op4_line_dedup": line_dedup.oracle_sql()}
