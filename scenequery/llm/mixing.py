@@ -94,7 +94,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, w
         F.coalesce(F.regexp_count("text", F.lit(SPACE_WORDS)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("doc_id", F.lit(seed)).alias("_mixed"),
     )
-    placed = saved(running_total(sized, ["source"], ["_mixed", "doc_id", "size"], "size", "place", "mix-sized"), "mix-placed")
+    placed = saved(running_total(saved(sized, "mix-sizes"), ["source"], ["_mixed", "doc_id", "size"], "size", "place", "mix-sized"), "mix-placed")
     # one row per source: counts only
     totals = sorted(((r["source"], r["n"]) for r in placed.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in totals]
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, w
     plan = [(s, i, totals[i][0], int(sizes[i]), int(blocks[i]), int(slots[i]), int(cuts[i]), int(first[s, i]), int(counts[s, i])) for s in range(shards) for i in range(len(sizes)) if counts[s, i]]
     plan_df = spark.createDataFrame(plan, "shard int, source_no int, source string, size long, blocks long, slots long, cut long, first long, n long")
     per_source = spark.createDataFrame([(t, int(n), float(w)) for (t, n), w in zip(totals, wanted)], "_source string, source_size long, target double")
-    documents = placed.join(F.broadcast(per_source), placed["source"].eqNullSafe(per_source["_source"])).drop("_source", "_mixed")
+    documents = placed.join(per_source, placed["source"].eqNullSafe(per_source["_source"])).drop("_source", "_mixed")
     chunks = plan_df.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_STEP).cast("long"))))
     chunks = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no", "at")
     drawn = chunks.select("*", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + _STEP, F.col("n")) - 1)).alias("k"))
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, w
     begin = F.greatest("place", F.col("_block") * block_words)
     end = F.least(F.col("place") + F.col("size"), F.col("_block") * block_words + F.col("_words"))
     takes = (
-        parts.join(taken, parts["source"].eqNullSafe(taken["_source"]) & (parts["block"] == taken["_block"]))
+        parts.join(taken.hint("merge"), parts["source"].eqNullSafe(taken["_source"]) & (parts["block"] == taken["_block"]))
         .select("shard", "slot", "epoch", "source", "place", (begin - F.col("place")).alias("from_word"), (end - begin).alias("words"))
         .where("words > 0")
     )
