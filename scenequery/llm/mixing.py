@@ -83,9 +83,9 @@ def shard_counts(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_REPEATS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(documents, takes).
 
-    documents: doc_id, source, size, source_size, target and place, the number of its
-    source's words before it. takes: one row per slot and document in its block: shard,
-    slot, epoch, source, place, from_word, words.
+    documents: doc_id, row_key, source, size, source_size, target and place, the number of
+    its source's words before it. takes: one row per slot and document in its block: shard,
+    slot, epoch, source, place, row_key, from_word, words.
     """
     spark = docs.sparkSession
     sized = docs.select(
@@ -93,6 +93,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, w
         "source",
         F.coalesce(F.regexp_count("text", F.lit(SPACE_WORDS)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("doc_id", F.lit(seed)).alias("_mixed"),
+        F.xxhash64("doc_id", "text").alias("row_key"),
     )
     placed = saved(running_total(saved(sized, "mix-sizes"), ["source"], ["_mixed", "doc_id", "size"], "size", "place", "mix-sized"), "mix-placed")
     # one row per source: counts only
@@ -124,13 +125,13 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, w
     taken = drawn.mapInPandas(draw, "shard int, slot long, epoch long, _source string, _block long, _words long")
     parts = (
         placed.where("size > 0")
-        .select("source", "place", "size", F.explode(F.sequence(F.expr(f"place div {block_words}"), F.expr(f"(place + size - 1) div {block_words}"))).alias("block"))
+        .select("source", "place", "size", "row_key", F.explode(F.sequence(F.expr(f"place div {block_words}"), F.expr(f"(place + size - 1) div {block_words}"))).alias("block"))
     )
     begin = F.greatest("place", F.col("_block") * block_words)
     end = F.least(F.col("place") + F.col("size"), F.col("_block") * block_words + F.col("_words"))
     takes = (
         parts.join(taken.hint("merge"), parts["source"].eqNullSafe(taken["_source"]) & (parts["block"] == taken["_block"]))
-        .select("shard", "slot", "epoch", "source", "place", (begin - F.col("place")).alias("from_word"), (end - begin).alias("words"))
+        .select("shard", "slot", "epoch", "source", "place", "row_key", (begin - F.col("place")).alias("from_word"), (end - begin).alias("words"))
         .where("words > 0")
     )
     return documents, takes
@@ -169,6 +170,25 @@ def _slots(sizes: list[int], wanted: list[float], blocks: np.ndarray, block_word
     return slots, cuts
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of docs, one for each document and epoch, with the words taken as text.
+
+    A document taken whole keeps its text; of another, the runs of words taken are joined
+    with the white space before each word. n_chars is counted anew where docs has it.
+    """
+    documents, takes = mix(docs, **options)
+    runs = takes.groupBy("row_key", "source", "place", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_runs"), F.sum("words").alias("_taken"))
+    runs = runs.withColumnRenamed("row_key", "_key").drop("source", "place", "epoch")
+    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).dropDuplicates(["row_key"])  # equal rows share their text
+    joined = rows.join(runs, F.col("row_key") == F.col("_key"))
+    spaced = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    joined = joined.withColumn("_words", spaced)
+    taken = F.flatten(F.transform("_runs", lambda r: F.slice("_words", r["from_word"].cast("int") + 1, r["words"].cast("int"))))
+    text = F.when(F.size("_words") == F.col("_taken"), F.col("text")).otherwise(F.array_join(taken, ""))
+    out = joined.withColumn("text", text).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, takes = mix(read_table(spark, sf_dir, "documents"))
     taken = takes.groupBy("source", "place").agg(F.sum("words").alias("taken"))

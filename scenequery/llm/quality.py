@@ -117,30 +117,54 @@ def anomaly(forest: dict, rows: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(forest["which"]) / forest["norm"])
 
 
-def judged(docs: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS, seed: int = 11) -> DataFrame:
-    """doc_id, COUNTS, base_failed, anomaly and kept for every row of docs.
+def fitted(docs: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS, seed: int = 11) -> tuple[DataFrame, dict | None, float]:
+    """Scored counts of every row of docs (doc_id, COUNTS, base_failed, anomaly), the forest and the threshold.
 
     The trees see a sample of TREES * SAMPLE rows at most, those with the smallest hashes
     of their ids; thresholds are counted over all labelled rows.
     """
     counts = saved(rule_statistics(docs), "rules")
     columns = [*COUNTS, *MORE]
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counts = counts.withColumn("base_failed", failed)
+    counts = counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     sample = counts.orderBy(F.xxhash64("doc_id", F.lit(seed)), *columns).select(*columns).limit(TREES * SAMPLE).toPandas().to_numpy(np.int64)
     if not len(sample):
-        return counts.select("doc_id", *COUNTS, "base_failed", F.lit(0.0).alias("anomaly"), F.lit(True).alias("kept"))
+        return counts.select("doc_id", *COUNTS, "base_failed", F.lit(0.0).alias("anomaly")), None, DEFAULT_THRESHOLD
     forest = grow_forest(features(sample), seed=seed)
     schema = T.StructType([*counts.select("doc_id", *COUNTS, "base_failed").schema.fields, T.StructField("anomaly", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
-            own = [batch.column(c) for c in schema.names[:-1]] + [pa.array(np.round(anomaly(forest, features(rows)), 4))]
+            own = [batch.column(c) for c in schema.names[:-1]] + [pa.array(scores(forest, rows))]
             yield pa.RecordBatch.from_arrays(own, schema.names)
 
     scored = counts.select(*schema.names[:-1], *MORE).mapInArrow(score, schema)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(threshold_for(scored, labels, good_loss))))
+    return scored, forest, threshold_for(scored, labels, good_loss)
+
+
+def scores(forest: dict, counts: np.ndarray) -> np.ndarray:
+    return np.round(anomaly(forest, features(counts)), 4)
+
+
+def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, COUNTS, base_failed, anomaly and kept for every row of docs."""
+    scored, _, threshold = fitted(docs, labels, **options)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that judged() keeps, picked where they lie, without a join."""
+    _, forest, threshold = fitted(docs, labels, **options)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = WordHashes()
+            rows = np.array([text_counts(x.as_py() or "", hashes) for x in batch.column("text")], np.int64).reshape(-1, len(_SCHEMA))
+            if len(rows):
+                failed = (rows[:, 0] < 50) | (100 * rows[:, 4] > 50 * rows[:, 0])
+                yield batch.filter(pa.array(~failed & (scores(forest, rows) < threshold)))
+
+    return docs.mapInArrow(pick, docs.schema)
 
 
 def threshold_for(scored: DataFrame, labels: DataFrame, good_loss: float) -> float:
