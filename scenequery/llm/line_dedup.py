@@ -23,13 +23,16 @@ table gives no rows; other columns pass through; very long texts are handled who
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE_WORDS, discard, read_table, saved
 
 MIN_WORDS = 50
+#: Ranks that are looked through together, about; a document's stay together.
+CHUNK_ROWS = 200_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -69,23 +72,27 @@ def suffix_ranks(lines: DataFrame, most_lines: int) -> list[DataFrame]:
     return levels
 
 
-def runs_of(seq: np.ndarray, words: np.ndarray, ranks: dict[int, dict[int, int]], min_words: int) -> list[tuple[int, int, int, int]]:
-    """(index of the first line, number of lines, rank of the first 2^j, rank of the last 2^j lines) of the shortest long-enough runs of consecutive lines."""
-    out = set()
-    breaks = np.flatnonzero(np.diff(seq) != 1) + 1
-    for low, high in zip(np.r_[0, breaks], np.r_[breaks, len(seq)]):
-        total = np.r_[0, np.cumsum(words[low:high])]
-        n = high - low
-        ends = np.searchsorted(total, total[:-1] + min_words)  # the run of line i is i .. ends - 1
-        starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-        spans = [(i, e) for i, e in enumerate(ends) if e <= n] + [(s, i + 1) for i, s in enumerate(starts) if s >= 0]
-        for a, b in set(spans):
-            j = int(b - a).bit_length() - 1
-            level = ranks.get(j, {})
-            head, tail = level.get(int(seq[low + a])), level.get(int(seq[low + b - (1 << j)]))
-            if head is not None and tail is not None:
-                out.add((int(low + a), int(b - a), head, tail))
-    return sorted(out)
+def runs_of(first: np.ndarray, words: np.ndarray, ranks: list[np.ndarray], min_words: int) -> tuple[np.ndarray, ...]:
+    """Shortest long-enough runs of consecutive lines: place of the first line, number of lines, rank of the first 2^j and of the last 2^j lines.
+
+    first: whether a line doesn't follow the one before it here; ranks: by j, -1 for none.
+    """
+    n = len(words)
+    total = np.r_[0, np.cumsum(words)]
+    segment = np.cumsum(first)
+    low, high = np.searchsorted(segment, segment), np.searchsorted(segment, segment, side="right")
+    at = np.arange(n)
+    ends = np.searchsorted(total, total[:-1] + min_words)  # the run from line i on is i .. ends - 1
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    forward, back = ends <= high, starts >= low
+    spans = np.unique(np.r_[np.stack([at[forward], ends[forward]], 1), np.stack([starts[back], at[back] + 1], 1)], axis=0)
+    a, size = spans[:, 0], spans[:, 1] - spans[:, 0]
+    head, tail = np.full(len(a), -1), np.full(len(a), -1)
+    for j, own in enumerate(ranks):
+        here = np.flatnonzero((size >> j) == 1)
+        head[here], tail[here] = own[a[here]], own[a[here] + size[here] - (1 << j)]
+    twice = (head >= 0) & (tail >= 0)
+    return a[twice], size[twice], head[twice], tail[twice]
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -93,19 +100,32 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     levels = suffix_ranks(line_table(docs), min_words)
     rows = levels[0].select("doc_id", "_key", "seq", "line", "words", F.lit(0).alias("level"), "rank")
     for j, level in enumerate(levels[1:], 1):
-        rows = rows.unionByName(level.select("doc_id", "_key", "seq", F.lit(0).alias("line"), F.lit(0).alias("words"), F.lit(j).alias("level"), "rank"))
-
-    def runs(own: pd.DataFrame) -> pd.DataFrame:
-        ranks = {j: dict(zip(g["seq"], g["rank"])) for j, g in own.groupby("level")}
-        base = own[own["level"] == 0].sort_values("seq")
-        lines = base["line"].to_numpy()
-        found = runs_of(base["seq"].to_numpy(), base["words"].to_numpy(), ranks, min_words)
-        return pd.DataFrame(
-            {"doc_id": [own["doc_id"].iloc[0]] * len(found), "_key": own["_key"].iloc[0], "at": [base["seq"].iloc[a] for a, *_ in found], "n": [n for _, n, *_ in found], "head": [h for *_, h, _ in found], "tail": [t for *_, t in found], "lines": pd.Series([lines[a : a + n] for a, n, *_ in found], dtype=object)}
-        )
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    windows = saved(rows.groupBy("doc_id", "_key").applyInPandas(runs, f"doc_id {id_type}, _key long, at int, n int, head long, tail long, lines array<int>"), "runs")
+        rows = rows.unionByName(level.select("doc_id", "_key", "seq", F.lit(0).alias("line"), F.lit(0).cast("int").alias("words"), F.lit(j).alias("level"), "rank"))
+    chunks = max(1, sum(level.count() for level in levels) // CHUNK_ROWS)
+    id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    schema = T.StructType([id_field, *[T.StructField(c, T.LongType()) for c in ("_key", "at", "n", "head", "tail")], T.StructField("lines", T.ArrayType(T.IntegerType()))])
+
+    def runs(table: pa.Table) -> pa.Table:
+        ids = table["doc_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        key, seq, line, words, level, rank = (table[c].to_numpy() for c in ("_key", "seq", "line", "words", "level", "rank"))
+        order = np.lexsort((level, seq, key, ids))  # each line's first rank, then its further ones
+        base = order[level[order] == 0]
+        place = np.cumsum(level[order] == 0) - 1
+        ranks = []
+        for j in range(int(level.max(initial=0)) + 1):
+            own = np.full(len(base), -1, np.int64)
+            own[place[level[order] == j]] = rank[order[level[order] == j]]
+            ranks.append(own)
+        step = (np.diff(ids[base]) != 0) | (np.diff(key[base]) != 0) | (np.diff(seq[base]) != 1)
+        a, size, head, tail = runs_of(np.r_[True, step][: len(base)], words[base], ranks, min_words)
+        offsets = np.r_[0, np.cumsum(size)]
+        within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)
+        lines = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(line[base][np.repeat(a, size) + within], pa.int32()))
+        columns = [table["doc_id"].take(pa.array(base[a])), *(pa.array(x.astype(np.int64)) for x in (key[base[a]], seq[base[a]], size, head, tail)), lines]
+        return pa.table(dict(zip(schema.names, columns)))
+
+    dealt = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(chunks)))
+    windows = saved(dealt.groupBy("_chunk").applyInArrow(runs, schema), "runs")
     place = F.struct("doc_id", "_key", "at")
     first = windows.groupBy("n", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     first = first.select(F.col("n").alias("_m"), F.col("head").alias("_head"), F.col("tail").alias("_tail"), "first")
