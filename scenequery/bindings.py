@@ -163,11 +163,12 @@ def marker_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, pos, label, conf, cls: a detector's raw boxes."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount", F.row_number().over(order).alias("pos"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
-        image_name(F.col("l_orderkey")).alias("image"), F.col("l_linenumber").alias("pos"), F.col("p_type").alias("label"), F.col("p_brand").alias("brand"), (F.col("l_discount") * 10).alias("conf"), (F.col("l_partkey") % 6).alias("cls")
+        image_name(F.col("l_orderkey")).alias("image"), "pos", F.col("p_type").alias("label"), F.col("p_brand").alias("brand"), (F.col("l_discount") * 10).alias("conf"), (F.col("l_partkey") % 6).alias("cls")
     )
 
 
@@ -222,7 +223,7 @@ SQL = {
     "b_mq": f"""SELECT vec_id AS question_id, {_pick(('distance_infer_center_oo', 'obj_spatial_relation_oo', 'depth_prediction_oc'), 'vec_id % 3')} AS task,
       'Is the ' || {_pick(('red', 'green', 'blue'), 'vec_id % 3')} || ' point farther than the ' || {_pick(('red', 'green', 'blue'), '(vec_id + 1) % 3')} || ' bbox?' || chr(10) || 'A. lamp (green point)' || chr(10) || 'B. cup (blue point)' AS question,
       {_pick(('A', 'B'), 'vec_id % 2')} AS answer FROM embeddings""",
-    "b_detections": """SELECT 'scene_' || lpad(CAST(l_orderkey AS VARCHAR), 6, '0') AS image, l_linenumber AS pos, p_type AS label, p_brand AS brand, l_discount * 10 AS conf, l_partkey % 6 AS cls FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "b_detections": """SELECT 'scene_' || lpad(CAST(l_orderkey AS VARCHAR), 6, '0') AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) AS pos, p_type AS label, p_brand AS brand, l_discount * 10 AS conf, l_partkey % 6 AS cls FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 
 
