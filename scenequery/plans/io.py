@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ query = catalogue.query
 def scratch(spark) -> str:
     """A new folder for a round trip, in the session's shared one where that is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/io-{next(tempfile._get_candidate_names())}" if shared else tempfile.mkdtemp(prefix="scenequery-")
+    return f"{shared.rstrip('/')}/io-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="scenequery-")
 
 
 _COLOR = "[80 + CAST('0x' || substr(sha256(t), {a}, 2) AS INTEGER) % 176, 80 + CAST('0x' || substr(sha256(t), {b}, 2) AS INTEGER) % 176, 80 + CAST('0x' || substr(sha256(t), {c}, 2) AS INTEGER) % 176]".format(a=1, b=3, c=5)
