@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +32,10 @@ from .components import components
 
 SHINGLE_WORDS, PERCENT = 5, 80
 REGISTER_BITS, MANTISSA_BITS, BAND_ROWS = 7, 10, 4
-#: Standard deviations by which an estimate may fall short of the threshold, and members of a bucket compared in one task.
-SLACK, BLOCK = 5.0, 512
+#: Standard deviations by which an estimate may fall short of the threshold.
+SLACK = 5.0
+#: Buckets with more members are verified where they are compared, in blocks of so many; rows of small buckets that are compared together.
+SMALL, BLOCK, CHUNK_ROWS = 64, 2048, 20_000
 
 
 def shingle_set(text: str | None, hashes: WordHashes, n: int) -> np.ndarray:
@@ -146,40 +147,102 @@ def links(docs: DataFrame, signed: DataFrame, shingle_words: int, percent: int)
     linked = saved(_verified(_estimated(pairs, signed, percent), sets, percent), "links")
     first = components(linked)
     placed = members.join(first, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", "members", F.coalesce("component", "doc_id").alias("part"))
-    placed = saved(placed, "placed")
+    # the centre has been held against every other member: of two, nothing is left
+    placed = saved(placed.where("members > 2"), "placed")
     split = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(F.col("bucket").alias("_bucket"))
     open_rows = placed.join(split, F.col("bucket") == F.col("_bucket")).drop("_bucket")
-    more = _between_parts(open_rows, signed, percent)
-    return linked.unionByName(_verified(more, sets, percent))
-
-
-def _between_parts(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket in different parts whose estimate may reach the threshold.
-
-    A bucket of many members is cut into blocks, and each pair of blocks is a task's work.
+    left = signed.select(F.col("doc_id").alias("_id"), "registers")
+    open_rows = saved(open_rows.join(left, F.col("doc_id") == F.col("_id")).drop("_id"), "open")
+    few = _verified(_pairs_of_small(open_rows.where(F.col("members") <= SMALL), percent), sets, percent)
+    many = _links_of_large(open_rows.where(F.col("members") > SMALL), sets, percent)
+    return linked.unionByName(few).unionByName(many)
+
+
+def _candidates(bucket: int, regs: np.ndarray, ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, percent: int, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each place in first, the places in second with which it may link: in another part, of a fitting size
+    and estimate, and in no earlier bucket together (there the pair has been looked at)."""
+    bands = regs.view(np.uint64)
+    numbers = np.arange(bands.shape[1], dtype=np.uint64)
+    own = int(np.flatnonzero(mixed(bands[0] + mixed(numbers + np.uint64(1))).view(np.int64) == bucket)[0])
+    for k in first:
+        may = (parts[second] != parts[k]) & (ids[second] > ids[k]) & (100 * np.minimum(sizes[k], sizes[second]) >= percent * np.maximum(sizes[k], sizes[second]))
+        at = second[may]
+        if len(at) and own:
+            at = at[~((bands[at, :own] == bands[k, :own]) & (bands[k, :own] > 0)).any(axis=1)]
+        if len(at):
+            at = at[can_link(regs[k][None, :], regs[at], percent)]
+        if len(at):
+            yield int(k), at
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
+    regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
+    return regs, *(table[c].to_numpy() for c in ("doc_id", "part", "n_shingles"))
+
+
+def _pairs_of_small(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link, of buckets with few members; many buckets in one call."""
+    chunks = max(1, rows.count() // CHUNK_ROWS)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        bucket, (regs, ids, parts, sizes) = table["bucket"].to_numpy(), _arrays(table)
+        edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+        a, b = [], []
+        for low, high in zip(edges[:-1], edges[1:]):
+            cut = slice(low, high)
+            every = np.arange(high - low)
+            for k, at in _candidates(bucket[low], regs[cut], ids[cut], parts[cut], sizes[cut], percent, every, every):
+                a.append(np.full(len(at), ids[low + k]))
+                b.append(ids[low + at])
+        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
+
+    dealt = rows.select("bucket", "doc_id", "part", "n_shingles", "registers", F.pmod(F.xxhash64("bucket"), F.lit(chunks)).alias("chunk"))
+    return dealt.groupBy("chunk").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _links_of_large(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (u, v) of buckets with many members, as many as connect what belongs together.
+
+    A bucket is cut into blocks, and each pair of blocks is a task's work; its pairs are
+    verified there, so only links leave it, not pairs.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keyed = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n_shingles", "part")
-    keyed = keyed.join(signed.select(F.col("doc_id").alias("_id"), "registers"), F.col("doc_id") == F.col("_id")).drop("_id")
-
-    def compare(p: pd.DataFrame) -> pd.DataFrame:
-        i, j = p["i"].iloc[0], p["j"].iloc[0]
-        left, right = p[p["own"] == i], p[p["own"] == j]
-        regs = [np.frombuffer(b"".join(s["registers"]), np.uint16).reshape(len(s), -1) for s in (left, right)]
-        a_ids, b_ids, parts, b_parts, n, m = (s[c].to_numpy() for c in ("doc_id", "part", "n_shingles") for s in (left, right))
-        out = []
-        for k in range(len(left)):
-            may = (parts[k] != b_parts) & (100 * np.minimum(n[k], m) >= percent * np.maximum(n[k], m)) & ((b_ids > a_ids[k]) | (i != j))
-            at = np.flatnonzero(may)
-            if len(at):
-                at = at[can_link(regs[0][k][None, :], regs[1][at], percent)]
-                out.append(np.stack([np.minimum(a_ids[k], b_ids[at]), np.maximum(a_ids[k], b_ids[at])], axis=1))
-        both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    return keyed.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    dealt = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n_shingles", "part", "registers")
+    keyed = keyed.join(sets, F.col("doc_id") == F.col("id")).drop("id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        regs, ids, parts, sizes = _arrays(table)
+        own, i, j = table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        shingles: dict[int, frozenset] = {}
+        held = table["shingles"]
+        root = {int(p): int(p) for p in parts}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def own_set(k: int) -> frozenset:
+            if k not in shingles:
+                shingles[k] = frozenset(held[k].values.to_numpy().tolist())
+            return shingles[k]
+
+        found = []
+        for first, second in ((left, right), (right, left)) if i != j else ((left, left),):
+            for k, at in _candidates(table["bucket"][0].as_py(), regs, ids, parts, sizes, percent, first, second):
+                for m in at.tolist():
+                    x, y = top(int(parts[k])), top(int(parts[m]))
+                    if x != y:
+                        shared = len(own_set(k) & own_set(m))
+                        if 100 * shared >= percent * (int(sizes[k]) + int(sizes[m]) - shared):
+                            root[y] = x
+                            found.append((int(ids[k]), int(ids[m])))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return keyed.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
