@@ -17,7 +17,8 @@ Places are ordered by doc_id (null first), then by line. Rows are keyed by doc_i
 
 Defined results: null text stays null and empty text empty, and lines without words stay;
 rows that repeat both doc_id and text are one place and all get the same result; an empty
-table gives no rows; other columns pass through; very long texts are handled whole.
+table gives no rows; other columns pass through, but for one named lines_removed, which is
+written anew; very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -35,14 +36,10 @@ MIN_WORDS = 50
 CHUNK_ROWS = 200_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64("text"))
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, _key, seq (among the lines that hold a word), line, words and the line's 128-bit hash."""
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("body")))
-    lines = _keyed(docs.select("doc_id", "text")).select("doc_id", "_key", F.posexplode(F.filter(numbered, lambda x: x["body"].rlike(r"[^\x20\x09-\x0D]"))).alias("seq", "own"))
+    lines = docs.select("doc_id", "text", F.xxhash64("text").alias("_key")).select("doc_id", "_key", F.posexplode(F.filter(numbered, lambda x: x["body"].rlike(r"[^\x20\x09-\x0D]"))).alias("seq", "own"))
     body = F.col("own.body")
     return lines.select("doc_id", "_key", "seq", "own.line", F.regexp_count(body, F.lit(SPACE_WORDS)).alias("words"), F.xxhash64(body).alias("id1"), F.xxhash64(F.lit(1), body).alias("id2"))
 
@@ -136,12 +133,14 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies of repeated line runs deleted from text, and lines_removed."""
     gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), "gone")
-    keyed = _keyed(docs)
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_key"] == gone["_of"]), "left")
-    lines = F.split("text", "\n", -1)
+    # a row travels as one column, so that its own columns' names clash with nothing
+    keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("_doc"), F.xxhash64("row.text").alias("_key"))
+    joined = keyed.join(gone, keyed["_doc"].eqNullSafe(gone["_id"]) & (keyed["_key"] == gone["_of"]), "left")
+    lines = F.split("row.text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({"text": text, "lines_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}).drop("_id", "_of", "gone", "_key")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    row = F.col("row").withField("text", text).withField("lines_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    return joined.select(row.alias("row")).select("row.*")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

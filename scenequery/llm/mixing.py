@@ -179,13 +179,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     documents, takes = mix(docs, **options)
     runs = takes.groupBy("row_key", "source", "place", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_runs"), F.sum("words").alias("_taken"))
     runs = runs.withColumnRenamed("row_key", "_key").drop("source", "place", "epoch")
-    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).dropDuplicates(["row_key"])  # equal rows share their text
-    joined = rows.join(runs, F.col("row_key") == F.col("_key"))
-    spaced = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    joined = joined.withColumn("_words", spaced)
+    # a row travels as one column, so that its own columns' names clash with nothing; equal rows share their text
+    rows = docs.select(F.struct("*").alias("row")).withColumn("_same", F.xxhash64("row.doc_id", "row.text")).dropDuplicates(["_same"])
+    spaced = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    joined = rows.join(runs, F.col("_same") == F.col("_key")).withColumn("_words", spaced)
     taken = F.flatten(F.transform("_runs", lambda r: F.slice("_words", r["from_word"].cast("int") + 1, r["words"].cast("int"))))
-    text = F.when(F.size("_words") == F.col("_taken"), F.col("text")).otherwise(F.array_join(taken, ""))
-    out = joined.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.size("_words") == F.col("_taken"), F.col("row.text")).otherwise(F.array_join(taken, ""))
+    out = joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
