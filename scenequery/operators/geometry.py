@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import col, finite, nullif_zero
-from .pixels import depth_range, depth_stats, mask_geometry
+from .pixels import depth_columns, mask_columns
 
 
 def bbox_center(bbox: Column | str) -> Column:
@@ -51,16 +51,19 @@ def object_geometry(objects: DataFrame, pixels: DataFrame, width: int, height: i
     objects: image, ord, object_id, label, confidence, bbox; pixels: image, object_id, x, y, d.
     """
     keys, inside = ["image", "object_id"], F.col("d") > 0
-    masks = mask_geometry(pixels, keys, inside, width, height)
-    depths = depth_stats(pixels, keys, inside)
-    spans = depth_range(pixels, ["image"]).select("image", "depth_min", "depth_range")
-    joined = objects.join(masks.join(depths, keys), keys, "left").join(spans, "image", "left")
+    seen = F.when(finite("d"), F.col("d"))
+    masks, depths = mask_columns(inside, width, height), depth_columns(inside)
+    # the pixels are shuffled once; an image's range comes from its objects'
+    own = pixels.groupBy(*keys).agg(*masks, *depths, F.min(seen).alias("_low"), F.max(seen).alias("_high"))
+    low, high = F.coalesce(F.min("_low"), F.lit(0.0)), F.coalesce(F.max("_high"), F.lit(0.0))
+    spans = own.groupBy("image").agg(low.alias("depth_min"), (high - low).alias("depth_range"))
+    stats = own.drop("_low", "_high")
+    joined = objects.join(stats, keys, "left").join(spans, "image", "left")
     joined = joined.withColumn("closeness_score", F.round(near_surface_depth(higher_is_closer), 6))
     joined = joined.withColumn("closeness_percentile", depth_percentile("closeness_score", "depth_min", "depth_range"))
     return joined.select(
         *objects.columns,
-        *[c for c in masks.columns if c not in keys],
-        *[c for c in depths.columns if c not in keys],
+        *[c for c in stats.columns if c not in keys],
         "depth_range",
         F.coalesce(bbox_center("bbox"), "mask_centroid").alias("bbox_center"),
         "closeness_score",

@@ -17,17 +17,22 @@ def _if(keep: Column, value: Column | str) -> Column:
     return F.when(keep, col(value))
 
 
-def mask_geometry(pixels: DataFrame, keys: list[str], inside: Column, width: int, height: int) -> DataFrame:
-    """Area, area share, bounds and centroid of each mask; a mask without pixels keeps its row, with nulls."""
+def mask_columns(inside: Column, width: int, height: int) -> list[Column]:
+    """Aggregates: area, area share, bounds and centroid of a mask; nulls where it has no pixels."""
     area = F.count_if(inside)
     bounds = [F.min(_if(inside, "x")), F.min(_if(inside, "y")), F.max(_if(inside, "x")), F.max(_if(inside, "y"))]
     centroid = F.array(F.round(F.avg(_if(inside, "x")), 6), F.round(F.avg(_if(inside, "y")), 6))
-    return pixels.groupBy(*keys).agg(
+    return [
         area.alias("mask_area_px"),
         F.round(area / F.lit(float(width * height)), 6).alias("mask_area_fraction"),
         F.when(area > 0, F.array(*[b.cast("int") for b in bounds])).alias("mask_bounds_xyxy"),
         F.when(area > 0, centroid).alias("mask_centroid"),
-    )
+    ]
+
+
+def mask_geometry(pixels: DataFrame, keys: list[str], inside: Column, width: int, height: int) -> DataFrame:
+    """The mask of each group; one without pixels keeps its row, with nulls."""
+    return pixels.groupBy(*keys).agg(*mask_columns(inside, width, height))
 
 
 def mask_bounds(pixels: DataFrame, keys: list[str], inside: Column) -> DataFrame:
@@ -36,19 +41,23 @@ def mask_bounds(pixels: DataFrame, keys: list[str], inside: Column) -> DataFrame
     return pixels.groupBy(*keys).agg(edge(F.min, "x").alias("x0"), edge(F.min, "y").alias("y0"), edge(F.max, "x").alias("x1"), edge(F.max, "y").alias("y1"))
 
 
-def depth_stats(pixels: DataFrame, keys: list[str], inside: Column, prefix: str = "relative_depth_") -> DataFrame:
-    """Min, max, mean, median, 10th and 90th percentile of the finite depths inside; nulls where there are none."""
+def depth_columns(inside: Column, prefix: str = "relative_depth_") -> list[Column]:
+    """Aggregates: min, max, mean, median, 10th and 90th percentile of the finite depths inside; nulls where there are none."""
     d = _if(inside & finite("d"), "d")
-    stats = {"min": F.min(d), "max": F.max(d), "mean": F.avg(d), "median": F.median(d), "p10": F.percentile(d, F.lit(0.1)), "p90": F.percentile(d, F.lit(0.9))}
-    return pixels.groupBy(*keys).agg(*[F.round(v, 6).alias(prefix + k) for k, v in stats.items()])
+    tails = F.percentile(d, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    stats = {"min": F.min(d), "max": F.max(d), "mean": F.avg(d), "median": F.get(tails, F.lit(1)), "p10": F.get(tails, F.lit(0)), "p90": F.get(tails, F.lit(2))}
+    return [F.round(v, 6).alias(prefix + k) for k, v in stats.items()]
+
+
+def depth_stats(pixels: DataFrame, keys: list[str], inside: Column, prefix: str = "relative_depth_") -> DataFrame:
+    return pixels.groupBy(*keys).agg(*depth_columns(inside, prefix))
 
 
 def depth_stats_positive(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """As depth_stats over finite depths above zero, with their count and whether there are any."""
     inside = finite("d") & (F.col("d") > 0)
-    counts = pixels.groupBy(*keys).agg(F.count_if(inside).alias("valid_pixel_count"))
-    stats = depth_stats(pixels, keys, F.col("d") > 0, "depth_")
-    return stats.join(counts, keys).withColumn("valid", F.col("valid_pixel_count") > 0)
+    found = pixels.groupBy(*keys).agg(F.count_if(inside).alias("valid_pixel_count"), *depth_columns(inside, "depth_"))
+    return found.withColumn("valid", F.col("valid_pixel_count") > 0)
 
 
 def depth_range(pixels: DataFrame, keys: list[str]) -> DataFrame:
