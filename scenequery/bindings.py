@@ -13,7 +13,7 @@ LABELS = ("book", "cup", "desk", "lamp", "mouse")
 #: One name that no image shows.
 TARGETS = (*LABELS, "plant")
 TYPES = ("closer_farther", "support_relation", "physical_size", "left_right")
-TRACKS = ("pure_vlm", "geometry_only", "geovlm")
+TRACKS = ("pure_vlm", "geometry_only", "image_and_geometry")
 #: Objects of an image, and images that questions ask about.
 PER_IMAGE, ASKED_IMAGES, SIDE = 16, 30, 8
 
@@ -205,7 +205,7 @@ SQL = {
       CASE WHEN (event_id * 7 + track_no * 3) % 11 = 0 THEN 'failed' ELSE 'parsed' END AS parse_status,
       CASE WHEN event_type = 'error' THEN 'timeout_' || (event_id % 3) END AS error,
       {_pick(('exact_match', 'numeric_tolerance'), 'event_id % 2')} AS metric, CASE WHEN event_id % 2 = 1 THEN 'meter' END AS unit, CASE WHEN event_id % 2 = 1 THEN 0.1::DOUBLE END AS tolerance
-      FROM events, (VALUES (0, 'pure_vlm'), (1, 'geometry_only'), (2, 'geovlm')) t(track_no, track)""",
+      FROM events, (VALUES (0, 'pure_vlm'), (1, 'geometry_only'), (2, 'image_and_geometry')) t(track_no, track)""",
     "b_raw": f"""SELECT {_K} AS id, CASE {_K} % 12 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_RAW))} END AS raw, [{_pick(TARGETS, f'{_K} % 6')}, {_pick(TARGETS, f'({_K} + 2) % 6')}] AS targets,
       {_pick(('exact_match', 'multiple_choice', 'numeric_tolerance'), f'{_K} % 3')} AS metric,
       CASE {_K} % 3 WHEN 0 THEN 'the ' || {_pick(TARGETS, f'{_K} % 6')} WHEN 1 THEN {_pick(('A', 'B', 'C', 'D'), f'{_K} % 4')} ELSE ({_K} % 50) || '.' || ({_K} % 7) END AS answer, 0.1::DOUBLE AS tolerance FROM conversations""",

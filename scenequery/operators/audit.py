@@ -50,7 +50,7 @@ def ready_subset(questions: DataFrame, audit: DataFrame) -> DataFrame:
     return questions.join(audit.where("not ready").select("question_id"), "question_id", "left_anti")
 
 
-def prompt_audit(prompts: DataFrame, track: str = "geovlm") -> DataFrame:
+def prompt_audit(prompts: DataFrame, track: str = "image_and_geometry") -> DataFrame:
     """How every prompt begins, and whether its task needs a decision aid there."""
     p = F.try_element_at("prompts", F.lit(track))
     return prompts.select(

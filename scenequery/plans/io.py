@@ -45,16 +45,16 @@ def message_content(spark, d):
     return b.table(spark, d, "events").select("event_id", i.message_content(payload).alias("content"))
 
 
-@query(f"{b.with_sql('b_questions')} SELECT question_id, track, CASE WHEN question_id % 9 = 0 THEN 'unknown' WHEN list_contains(targets, 'lamp') THEN 'lamp' ELSE 'unknown' END AS prediction, question_id % 9 <> 0 AND list_contains(targets, 'lamp') AND answer = 'lamp' OR question_id % 9 <> 0 AND NOT list_contains(targets, 'lamp') AND answer = 'unknown' AS correct, CASE WHEN question_id % 9 = 0 THEN 'ValueError: empty prompt' END AS error FROM b_questions, (VALUES ('pure_vlm'), ('geovlm')) t(track)")
+@query(f"{b.with_sql('b_questions')} SELECT question_id, track, CASE WHEN question_id % 9 = 0 THEN 'unknown' WHEN list_contains(targets, 'lamp') THEN 'lamp' ELSE 'unknown' END AS prediction, question_id % 9 <> 0 AND list_contains(targets, 'lamp') AND answer = 'lamp' OR question_id % 9 <> 0 AND NOT list_contains(targets, 'lamp') AND answer = 'unknown' AS correct, CASE WHEN question_id % 9 = 0 THEN 'ValueError: empty prompt' END AS error FROM b_questions, (VALUES ('pure_vlm'), ('image_and_geometry')) t(track)")
 def run_mock_inference(spark, d):
     prompt = F.when(F.col("question_id") % 9 != 0, F.col("question")).otherwise("")
-    rows = b.questions(spark, d).select("*", prompt.alias("prompt"), F.explode(F.array(F.lit("pure_vlm"), F.lit("geovlm"))).alias("track")).drop("image").withColumn("image", F.lit(None).cast("string"))
+    rows = b.questions(spark, d).select("*", prompt.alias("prompt"), F.explode(F.array(F.lit("pure_vlm"), F.lit("image_and_geometry"))).alias("track")).drop("image").withColumn("image", F.lit(None).cast("string"))
     return i.local_results(rows, i.MockProvider("It is the Lamp.")).select("question_id", "track", "prediction", "correct", "error")
 
 
 @query(f"{b.with_sql('b_raw')} SELECT id AS question_id, metric, CASE metric WHEN 'multiple_choice' THEN 'B' WHEN 'numeric_tolerance' THEN '7' ELSE 'option B or 7' END AS prediction, CASE metric WHEN 'multiple_choice' THEN answer = 'B' WHEN 'numeric_tolerance' THEN abs(7 - CAST(answer AS DOUBLE)) <= 0.1::DOUBLE + 1e-12 ELSE false END AS correct, 'parsed' AS parse_status FROM b_raw")
 def run_public_inference(spark, d):
-    rows = b.raw_answers(spark, d).select(F.col("id").alias("question_id"), F.lit("geovlm").alias("track"), "metric", "answer", "tolerance", F.lit("?").alias("prompt"), F.lit(None).cast("string").alias("image"))
+    rows = b.raw_answers(spark, d).select(F.col("id").alias("question_id"), F.lit("image_and_geometry").alias("track"), "metric", "answer", "tolerance", F.lit("?").alias("prompt"), F.lit(None).cast("string").alias("image"))
     return i.public_results(rows, i.MockProvider("option B or 7")).select("question_id", "metric", "prediction", "correct", "parse_status")
 
 

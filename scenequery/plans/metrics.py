@@ -58,9 +58,9 @@ def track_alignment(spark, d):
     return m.aligned(b.results(spark, d), b.TRACKS)
 
 
-@query(f"{_RES} SELECT question_id, ['geovlm'] AS missing FROM b_results WHERE track = 'pure_vlm' AND question_id % 97 = 0")
+@query(f"{_RES} SELECT question_id, ['image_and_geometry'] AS missing FROM b_results WHERE track = 'pure_vlm' AND question_id % 97 = 0")
 def track_key_mismatch(spark, d):
-    broken = b.results(spark, d).where(~((F.col("track") == "geovlm") & (F.col("question_id") % 97 == 0)))
+    broken = b.results(spark, d).where(~((F.col("track") == "image_and_geometry") & (F.col("question_id") % 97 == 0)))
     return m.key_mismatch(broken, b.TRACKS)
 
 
@@ -70,7 +70,7 @@ def duplicate_ids(spark, d):
     return m.duplicate_ids(doubled)
 
 
-_PAIRS = " UNION ALL ".join(f"SELECT '{x}' AS left_track, '{y}' AS right_track, {x}_correct AS l, {y}_correct AS r FROM wide" for x, y in (("pure_vlm", "geometry_only"), ("pure_vlm", "geovlm"), ("geometry_only", "geovlm")))
+_PAIRS = " UNION ALL ".join(f"SELECT '{x}' AS left_track, '{y}' AS right_track, {x}_correct AS l, {y}_correct AS r FROM wide" for x, y in (("pure_vlm", "geometry_only"), ("pure_vlm", "image_and_geometry"), ("geometry_only", "image_and_geometry")))
 
 
 @query(f"""{_WIDE}, e AS ({_PAIRS}) SELECT left_track, right_track, count(*) AS total, round(count(*) FILTER (l) / count(*), 6) AS left_accuracy, round(count(*) FILTER (r) / count(*), 6) AS right_accuracy,
@@ -79,7 +79,7 @@ def pairwise_outcomes(spark, d):
     return m.pair_outcomes(track_alignment(spark, d), b.TRACKS)
 
 
-@query(f"{_WIDE} SELECT * FROM wide WHERE NOT (pure_vlm_prediction = geometry_only_prediction AND geometry_only_prediction = geovlm_prediction AND pure_vlm_correct = geometry_only_correct AND geometry_only_correct = geovlm_correct)")
+@query(f"{_WIDE} SELECT * FROM wide WHERE NOT (pure_vlm_prediction = geometry_only_prediction AND geometry_only_prediction = image_and_geometry_prediction AND pure_vlm_correct = geometry_only_correct AND geometry_only_correct = image_and_geometry_correct)")
 def disagreements(spark, d):
     return m.disagreements(track_alignment(spark, d), b.TRACKS)
 

@@ -202,7 +202,7 @@ def local_prompts(spark, d):
     return t.local_prompts(asked, told, best_by_label(geometry).select("image", "label", "object_id", "closeness"))
 
 
-@query(f"{b.with_sql('b_mq')} SELECT question_id, 'pure_vlm' AS track, true AS found, 'img.jpg' AS image FROM b_mq UNION ALL SELECT question_id, 'geometry_only', true, NULL FROM b_mq UNION ALL SELECT question_id, 'geovlm', true, 'img.jpg' FROM b_mq UNION ALL SELECT question_id, 'other', false, NULL FROM b_mq")
+@query(f"{b.with_sql('b_mq')} SELECT question_id, 'pure_vlm' AS track, true AS found, 'img.jpg' AS image FROM b_mq UNION ALL SELECT question_id, 'geometry_only', true, NULL FROM b_mq UNION ALL SELECT question_id, 'image_and_geometry', true, 'img.jpg' FROM b_mq UNION ALL SELECT question_id, 'other', false, NULL FROM b_mq")
 def prompt_select_track(spark, d):
     rows = _bench_prompts(spark, d).select("question_id", "prompts", F.array(F.lit("img.jpg")).alias("images"), F.explode(F.array(*map(F.lit, (*t.TRACKS, "other")))).alias("track"))
     return rows.select("question_id", "track", t.prompt_for("prompts", "track").isNotNull().alias("found"), t.image_for("images", "track").alias("image"))
