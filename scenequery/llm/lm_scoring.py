@@ -74,6 +74,22 @@ def _edges(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, bounds), len(keys)]
 
 
+def packed(keys: np.ndarray, low: int) -> bytes:
+    """Sorted keys as the steps from one to the next, each in as few bytes as the largest needs."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys, prepend=np.uint64(low))
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes, n: int, low: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    if n:
+        steps[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64) + np.uint64(low)
+
+
 def token_scores(keys: dict, words: np.ndarray, pairs: np.ndarray, n_train: int, n_distinct: int, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
     """log10 of each token's root probability and of its probability on the path through the automaton."""
     root = (words[keys["word"]] + ADDED) / (n_train + ADDED * (n_distinct + 1))
@@ -98,15 +114,17 @@ def scored(docs: DataFrame, prior: float = PRIOR, chunk_chars: int = CHUNK_CHARS
             edges = _edges(own, parts)
             for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                 if b > a or not kind:  # every chunk asks every part for the numbers of words, if for no key
-                    rows.append((kind * parts + part, chunk, own[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()))
+                    rows.append((kind * parts + part, chunk, packed(own[a:b], part * 2**64 // parts), counts[a:b].astype(np.uint32).tobytes()))
         return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("part", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())))})
 
     def add_up(table: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
+        low = table["part"][0].as_py() % parts * 2**64 // parts
+        sizes = [len(x) // 4 for x in table["counts"].to_pylist()]
+        hashes = np.concatenate([unpacked(x, n, low) for x, n in zip(table["hashes"].to_pylist(), sizes)])
         counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32)
         distinct, at = np.unique(hashes, return_inverse=True)
         totals = np.bincount(at, counts, len(distinct)).astype(np.int64)
-        ends = np.cumsum([len(x) // 8 for x in table["hashes"].to_pylist()])
+        ends = np.cumsum(sizes)
         kind = np.uint32 if totals.max(initial=0) < 2**32 else np.uint64
         answers = [x.astype(kind).tobytes() for x in np.split(totals[at], ends[:-1])]
         n = len(answers)
