@@ -58,15 +58,15 @@ def track_alignment(spark, d):
     return m.aligned(b.results(spark, d), b.TRACKS)
 
 
-@query(f"{_RES} SELECT question_id, ['image_and_geometry'] AS missing FROM b_results WHERE track = 'pure_vlm' AND question_id % 97 = 0")
+@query(f"{_RES} SELECT question_id, ['image_and_geometry'] AS missing FROM b_results WHERE track = 'pure_vlm' AND question_id % 97 = 0 UNION ALL SELECT -1 - question_id, ['pure_vlm', 'geometry_only'] FROM b_results WHERE track = 'pure_vlm' AND question_id % 97 = 0")
 def track_key_mismatch(spark, d):
-    broken = b.results(spark, d).where(~((F.col("track") == "image_and_geometry") & (F.col("question_id") % 97 == 0)))
-    return m.key_mismatch(broken, b.TRACKS)
+    moved = F.when((F.col("track") == "image_and_geometry") & (F.col("question_id") % 97 == 0), -1 - F.col("question_id")).otherwise(F.col("question_id"))
+    return m.key_mismatch(b.results(spark, d).withColumn("question_id", moved), b.TRACKS)
 
 
-@query(f"{_RES} SELECT track, question_id // 2 AS question_id, count(*) AS n FROM b_results WHERE question_id % 10 < 4 GROUP BY ALL HAVING count(*) > 1")
+@query(f"{_RES} SELECT track, CASE WHEN question_id % 10 < 4 THEN question_id // 2 ELSE -1 - question_id END AS question_id, count(*) AS n FROM b_results GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ids(spark, d):
-    doubled = b.results(spark, d).where(F.col("question_id") % 10 < 4).withColumn("question_id", F.expr("question_id div 2"))
+    doubled = b.results(spark, d).withColumn("question_id", F.when(F.col("question_id") % 10 < 4, F.expr("question_id div 2")).otherwise(-1 - F.col("question_id")))
     return m.duplicate_ids(doubled)
 
 
@@ -223,11 +223,11 @@ def rename_plan(spark, d):
     return v.rename_plan(_images(spark, d), "grp").select("name", "destination")
 
 
-@query(f"WITH plan AS (SELECT name, 'x' || (page_id // 2) AS destination FROM ({_NAMES})), old AS (SELECT 'x' || page_id AS name FROM pages WHERE page_id % 5 = 0) SELECT destination, 'duplicate destination' AS conflict FROM plan GROUP BY destination HAVING count(*) > 1 UNION ALL SELECT DISTINCT destination, 'destination already exists' FROM plan WHERE destination IN (SELECT name FROM old)")
+@query(f"WITH plan AS (SELECT name, 'x' || (page_id // 2) AS destination FROM ({_NAMES})), old AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'x' ELSE 'y' END || page_id AS name FROM pages) SELECT destination, 'duplicate destination' AS conflict FROM plan GROUP BY destination HAVING count(*) > 1 UNION ALL SELECT DISTINCT destination, 'destination already exists' FROM plan WHERE destination IN (SELECT name FROM old)")
 def rename_conflicts(spark, d):
     images = _images(spark, d)
     plan = images.select("name", F.concat(F.lit("x"), F.expr("page_id div 2").cast("string")).alias("destination"))
-    old = images.where("page_id % 5 = 0").select(F.concat(F.lit("x"), F.col("page_id").cast("string")).alias("name"))
+    old = images.select(F.concat(F.when(F.col("page_id") % 5 == 0, "x").otherwise("y"), F.col("page_id").cast("string")).alias("name"))
     return v.rename_conflicts(plan, old)
 
 
@@ -240,11 +240,12 @@ def detections_numbered(spark, d):
     return v.kept_detections(b.detections(spark, d), b.LABELS, 0.3)
 
 
-@query(f"""{_DET}, gen AS (SELECT p_type AS f, min(p_brand) AS t FROM part WHERE p_partkey % 3 = 0 GROUP BY p_type), own AS (SELECT image, label AS f, min(brand) AS t FROM b_detections WHERE pos = 1 AND cls = 2 GROUP BY ALL),
+@query(f"""{_DET}, gen AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'old ' || p_type END AS f, min(p_brand) AS t FROM part GROUP BY ALL), own AS (SELECT image, CASE WHEN pos = 1 AND cls = 2 THEN label ELSE 'old ' || label END AS f, min(brand) AS t FROM b_detections GROUP BY ALL),
   j AS (SELECT b.image, b.pos, b.label AS f, coalesce(own.t, gen.t) AS t, own.t IS NOT NULL AS mine FROM b_detections b LEFT JOIN own ON own.image = b.image AND own.f = b.label LEFT JOIN gen ON gen.f = b.label)
   SELECT image, pos, CASE WHEN t <> f THEN t ELSE f END AS label, CASE WHEN t <> f THEN f END AS raw_label, CASE WHEN t <> f THEN CASE WHEN mine THEN 'image_label_aliases' ELSE 'global_label_aliases' END END AS rule FROM j""")
 def labels_normalized(spark, d):
     det = b.detections(spark, d)
-    general = b.table(spark, d, "part").where("p_partkey % 3 = 0").groupBy(F.col("p_type").alias("from")).agg(F.min("p_brand").alias("to"))
-    own = det.where("pos = 1 and cls = 2").groupBy("image", F.col("label").alias("from")).agg(F.min("brand").alias("to"))
+    old = lambda now, label: F.when(now, F.col(label)).otherwise(F.concat(F.lit("old "), label)).alias("from")
+    general = b.table(spark, d, "part").groupBy(old(F.col("p_partkey") % 3 == 0, "p_type")).agg(F.min("p_brand").alias("to"))
+    own = det.groupBy("image", old((F.col("pos") == 1) & (F.col("cls") == 2), "label")).agg(F.min("brand").alias("to"))
     return v.normalized_labels(det.select("image", "pos", "label"), own, general)

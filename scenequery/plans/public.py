@@ -166,9 +166,10 @@ def prompt_audit(spark, d):
     return u.prompt_audit(_bench_prompts(spark, d)).drop("prompt_length")
 
 
-@query(f"{b.with_sql('b_mq')} SELECT count(*) FILTER (question_id % 10 <> 0) AS subset_count, 0 AS missing, count(*) FILTER (question_id % 10 = 0) AS extra, count(*) AS prompt_count, 0 AS leading_newline, 0 AS missing_decision_aid, false AS ready FROM b_mq")
+@query(f"{b.with_sql('b_mq')} SELECT count(*) AS subset_count, count(*) FILTER (question_id % 10 = 0) AS missing, count(*) FILTER (question_id % 10 = 0) AS extra, count(*) AS prompt_count, 0 AS leading_newline, 0 AS missing_decision_aid, false AS ready FROM b_mq")
 def prompt_readiness(spark, d):
-    return u.readiness(b.marker_questions(spark, d).where("question_id % 10 <> 0"), _bench_prompts(spark, d))
+    subset = b.marker_questions(spark, d).withColumn("question_id", F.when(F.col("question_id") % 10 == 0, -1 - F.col("question_id")).otherwise(F.col("question_id")))
+    return u.readiness(subset, _bench_prompts(spark, d))
 
 
 @query(f"{b.with_sql('b_mq')} SELECT question_id, {_FIRST_LINE} OR task <> '' AS has_all, false AS leak FROM b_mq")
