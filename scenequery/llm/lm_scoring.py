@@ -32,7 +32,7 @@ from .common import WordHashes, mixed, read_table
 
 PRIOR, ADDED = 16.0, 0.1
 #: Characters of text in a chunk, about; keys of a chunk go to as many reducers as there are chunks, up to MOST_PARTS a kind.
-CHUNK_CHARS, MOST_PARTS = 16_000_000, 4096
+CHUNK_CHARS, MOST_PARTS = 8_000_000, 4096
 END, START = np.uint64(0x0E11D0F7E87F0001), np.uint64(0x57A27000000F0001)
 
 
