@@ -120,13 +120,17 @@ def anomaly(forest: dict, rows: np.ndarray) -> np.ndarray:
 def fitted(docs: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS, seed: int = 11) -> tuple[DataFrame, dict | None, float]:
     """Scored counts of every row of docs (doc_id, COUNTS, base_failed, anomaly), the forest and the threshold.
 
-    The trees see a sample of TREES * SAMPLE rows at most, those with the smallest hashes
-    of their ids; thresholds are counted over all labelled rows.
+    The trees see a sample of TREES * SAMPLE rows at most, those with small hashes of
+    their ids; thresholds are counted over all labelled rows.
     """
     counts = saved(rule_statistics(docs), "rules")
     columns = [*COUNTS, *MORE]
     counts = counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    sample = counts.orderBy(F.xxhash64("doc_id", F.lit(seed)), *columns).select(*columns).limit(TREES * SAMPLE).toPandas().to_numpy(np.int64)
+    # rows below a bound that about so many hashes stay under, so that no task sends more than its part
+    most, n = TREES * SAMPLE, counts.count()
+    share = F.lit(2.0**63 * (2 * min(1.0, 0.9 * most / max(n, 1)) - 1))
+    sample = counts.where(F.xxhash64("doc_id", F.lit(seed)) <= share).select(*columns).limit(most).toPandas().to_numpy(np.int64)
+    sample = sample[np.lexsort(sample.T)]
     if not len(sample):
         return counts.select("doc_id", *COUNTS, "base_failed", F.lit(0.0).alias("anomaly")), None, DEFAULT_THRESHOLD
     forest = grow_forest(features(sample), seed=seed)
