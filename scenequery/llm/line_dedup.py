@@ -125,7 +125,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = saved(dealt.groupBy("_chunk").applyInArrow(runs, schema), "runs")
     place = F.struct("doc_id", "_key", "at")
     first = windows.groupBy("n", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    first = first.select(F.col("n").alias("_m"), F.col("head").alias("_head"), F.col("tail").alias("_tail"), "first")
+    # written, so that a run with very many copies can be split among tasks in the join
+    first = saved(first.select(F.col("n").alias("_m"), F.col("head").alias("_head"), F.col("tail").alias("_tail"), "first"), "firsts")
     later = windows.join(first, (F.col("n") == F.col("_m")) & (F.col("head") == F.col("_head")) & (F.col("tail") == F.col("_tail"))).where(~place.eqNullSafe(F.col("first")))
     return later.select("doc_id", "_key", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "_key").agg(F.collect_list("line").alias("gone"))
 
