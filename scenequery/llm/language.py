@@ -7,7 +7,7 @@ pages, by the language that the text alone suggests. A host's prior is drawn tow
 domain's, and that towards all pages', the more strongly the fewer pages it has.
 
 The trigram model is fitted on labelled documents, at most ``per_language`` of each
-language, those with the smallest hashes of their ids.
+language, those with small hashes.
 
 Defined results: null or empty pages have no text evidence, null addresses no suffix or
 host, and missing declarations none; ties go to the first language in code-point order;
@@ -56,8 +56,14 @@ def trigram_counts(text: str) -> np.ndarray:
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """The languages and log probabilities [language, trigram cell]."""
     labelled = documents.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    chosen = Window.partitionBy("lang").orderBy("h")  # Spark keeps the first rows of each task before it shuffles them
-    sample = labelled.withColumn("n", F.row_number().over(chosen)).where(F.col("n") <= per_language).select("lang", "text")
+    # of each language, hashes up to a bound that about so many stay under, so that few texts are shuffled at any size
+    sizes = {r["lang"]: r["count"] for r in documents.where("lang is not null and text is not null").groupBy("lang").count().collect()}
+    if not sizes:
+        return [], np.zeros((0, CELLS))
+    bounds = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, 2.0**63 * (2 * min(1.0, 0.9 * per_language / n) - 1))])
+    thinned = labelled.where(F.col("h") <= F.element_at(bounds, F.col("lang")))
+    chosen = Window.partitionBy("lang").orderBy("h")
+    sample = thinned.withColumn("n", F.row_number().over(chosen)).where(F.col("n") <= per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
