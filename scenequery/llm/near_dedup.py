@@ -139,6 +139,7 @@ def links(docs: DataFrame, signed: DataFrame, shingle_words: int, percent: int)
     found = saved(band_rows(signed), "bands")
     centre = found.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "doc_id").alias("h"), "doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("members"))
     shared = centre.where("members > 1").select(F.col("bucket").alias("_bucket"), F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("n_centre"), "members")
+    shared = saved(shared, "centres")  # so that a bucket of very many can be split among tasks in the join
     members = saved(found.join(shared, F.col("bucket") == F.col("_bucket")).drop("_bucket"), "buckets")
     pairs = members.where((F.col("doc_id") != F.col("centre")) & _sizes_fit("n_shingles", "n_centre", percent)).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     busy = members.select(F.col("doc_id").alias("_busy")).distinct()
@@ -150,6 +151,7 @@ def links(docs: DataFrame, signed: DataFrame, shingle_words: int, percent: int)
     # the centre has been held against every other member: of two, nothing is left
     placed = saved(placed.where("members > 2"), "placed")
     split = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(F.col("bucket").alias("_bucket"))
+    split = saved(split, "split")
     open_rows = placed.join(split, F.col("bucket") == F.col("_bucket")).drop("_bucket")
     left = signed.select(F.col("doc_id").alias("_id"), "registers")
     open_rows = saved(open_rows.join(left, F.col("doc_id") == F.col("_id")).drop("_id"), "open")
