@@ -130,14 +130,19 @@ def review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, img_type, format_type, task, question, answer, has_image: rows of a public benchmark."""
+    """id, img_type, format_type, task, question, answer, has_image: rows of a public benchmark, questions cut to 80 letters."""
+    return whole_sources(spark, sf_dir).withColumn("question", F.substring("question", 1, 80))
+
+
+def whole_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of sources() with their whole questions."""
     k = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         k.cast("string").alias("id"),
         F.when(F.col("lang").isin("en", "de"), "single_view").when(F.col("lang") == "fr", "multi_view").otherwise("video").alias("img_type"),
         pick(("fill", "select", "sentence", "fill"), k % 4).alias("format_type"),
         F.concat(pick(("depth_prediction", "distance_infer_center_oo", "appearance_order", "obj_spatial_relation_oo"), k % 4), F.lit("_"), F.col("source")).alias("task"),
-        F.when(k % 50 == 0, "").otherwise(F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 80)).alias("question"),
+        F.when(k % 50 == 0, "").otherwise(F.regexp_replace("text", "[^a-zA-Z ]", "")).alias("question"),
         F.when(k % 3 == 0, (k % 90).cast("string")).when(k % 3 == 1, pick(("A", "B", "C", "D"), k % 4)).otherwise("left").alias("answer"),
         (k % 41 != 0).alias("has_image"),
     )
@@ -226,6 +231,10 @@ SQL = {
     "b_detections": """SELECT 'scene_' || lpad(CAST(l_orderkey AS VARCHAR), 6, '0') AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) AS pos, p_type AS label, p_brand AS brand, l_discount * 10 AS conf, l_partkey % 6 AS cls FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 
+_CUT = "substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 80)"
+assert _CUT in SQL["b_source"]
+SQL["b_whole_source"] = SQL["b_source"].replace(_CUT, "regexp_replace(text, '[^a-zA-Z ]', '', 'g')")
+
 
 def with_sql(*names: str) -> str:
     """WITH clause of the named relations; more can follow after a comma."""
