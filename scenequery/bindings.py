@@ -70,6 +70,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def questions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of questions(), spread over all images up to the last one."""
+    images = table(spark, sf_dir, "embeddings").agg(F.expr(f"max(vec_id) div {PER_IMAGE} + 1").alias("images"))
+    rows = questions(spark, sf_dir).crossJoin(F.broadcast(images))  # one row
+    return rows.withColumn("image", image_name(F.col("question_id") % F.col("images"))).drop("images")
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id x track with prediction, correct, parse_status, error and the evaluation's terms."""
     tracks = spark.createDataFrame(list(enumerate(TRACKS)), "track_no int, track string")
@@ -235,6 +242,10 @@ _CUT = "substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 80)"
 assert _CUT in SQL["b_source"]
 SQL["b_whole_source"] = SQL["b_source"].replace(_CUT, "regexp_replace(text, '[^a-zA-Z ]', '', 'g')")
 
+_ASKED = f"CAST(o_orderkey % {ASKED_IMAGES} AS VARCHAR)"
+assert _ASKED in SQL["b_questions"]
+SQL["b_questions_of_all"] = SQL["b_questions"].replace(_ASKED, f"CAST(o_orderkey % (SELECT max(vec_id) // {PER_IMAGE} + 1 FROM embeddings) AS VARCHAR)")
+
 
 def with_sql(*names: str) -> str:
     """WITH clause of the named relations; more can follow after a comma."""

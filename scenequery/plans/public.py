@@ -196,21 +196,24 @@ _PROMPT_ROWS = f"{_Q}, {_MISSING}"
 @query(f"""{_PROMPT_ROWS}, og AS (SELECT image, count(*) AS n_objects FROM g_objects GROUP BY image), pg AS (SELECT image, count(*) AS n_pairs FROM g_pairs GROUP BY image)
   SELECT question_id, 4 AS pure_lines, 3 + 5 + 1 + greatest(n_objects, 0) + coalesce(n_pairs, 1) + CASE WHEN len(missing) > 0 THEN 1 ELSE 0 END + CASE WHEN type = 'closer_farther' AND len(targets) >= 2 THEN CASE WHEN len(missing) > 0 THEN 3 ELSE 5 END ELSE 0 END + 2 AS geometry_lines
   FROM q_missing JOIN og USING (image) LEFT JOIN pg USING (image)""")
-def prompt_rows_local(spark, d):
+def prompt_rows_local(spark, d, asked=b.questions):
     """Lines of the prompts; their texts are held against golden ones in the tests."""
-    rows = local_prompts(spark, d)
+    rows = local_prompts(spark, d, asked)
     lines = lambda c: F.size(F.split(c, "\n"))
     return rows.select("question_id", lines("pure_vlm").alias("pure_lines"), lines("geometry_only").alias("geometry_lines"))
 
 
-def local_prompts(spark, d):
+def local_prompts(spark, d, asked=b.questions):
     geometry = object_geometry(spark, d)
     told = t.evidence(geometry, pairwise_relations(spark, d), F.coalesce("closeness_score", "relative_depth_p90", "relative_depth_median"), SIDE, SIDE)
-    asked = missing_targets(b.questions(spark, d), b.objects(spark, d))
-    return t.local_prompts(asked, told, best_by_label(geometry).select("image", "label", "object_id", "closeness"))
+    shown = missing_targets(asked(spark, d), b.objects(spark, d))
+    return t.local_prompts(shown, told, best_by_label(geometry).select("image", "label", "object_id", "closeness"))
 
 
 @query(f"{b.with_sql('b_mq')} SELECT question_id, 'pure_vlm' AS track, true AS found, 'img.jpg' AS image FROM b_mq UNION ALL SELECT question_id, 'geometry_only', true, NULL FROM b_mq UNION ALL SELECT question_id, 'image_and_geometry', true, 'img.jpg' FROM b_mq UNION ALL SELECT question_id, 'other', false, NULL FROM b_mq")
 def prompt_select_track(spark, d):
     rows = _bench_prompts(spark, d).select("question_id", "prompts", F.array(F.lit("img.jpg")).alias("images"), F.explode(F.array(*map(F.lit, (*t.TRACKS, "other")))).alias("track"))
     return rows.select("question_id", "track", t.prompt_for("prompts", "track").isNotNull().alias("found"), t.image_for("images", "track").alias("image"))
+
+
+catalogue.over_all_images(prompt_rows_local)

@@ -17,3 +17,10 @@ def test_question_after_eighty_blanks_is_not_missing(spark, tmp_path):
     (row,) = catalogue.QUERIES["exclusion_reasons_whole"](spark, str(tmp_path)).collect()
     assert "question_missing" not in row["reasons"]
     assert b.whole_sources(spark, str(tmp_path)).first()["question"] == " " * 80 + "where"
+
+
+def test_every_image_is_asked(spark):
+    held = {r["image"] for r in b.objects(spark, DATA).select("image").distinct().collect()}
+    assert len(held) > b.ASKED_IMAGES
+    assert {r["image"] for r in b.questions_of_all(spark, DATA).select("image").distinct().collect()} == held
+    assert catalogue.QUERIES["failure_by_image_all_images"](spark, DATA).count() > b.ASKED_IMAGES
