@@ -165,6 +165,21 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("vec_id").alias("question_id"), F.lit(0).alias("view"), "m.color", "m.rank", "m.px", "m.py", "m.depth", "fx", "fy", "cx", "cy")
 
 
+def marker_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, view, depth statistics over positive values and validity: the views of markers(), each with its 8 x 8 depths.
+
+    There is a depth matrix (fx, fy, cx and cy are finite numbers), but no colour matrix and no pose.
+    """
+    good = F.array_sort(F.transform(F.filter("embedding", lambda v: (v > 0) & (v < float("inf"))), lambda v: v.cast("double")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", good.alias("g"), F.forall(F.slice("embedding", 10, 4), lambda v: F.abs(v) < float("inf")).alias("matrix"))
+    n = F.size("g")
+    middle = (F.get("g", F.expr("(size(g) - 1) div 2").cast("int")) + F.get("g", F.expr("size(g) div 2").cast("int"))) / 2
+    return rows.select(
+        F.col("vec_id").alias("question_id"), F.lit(0).alias("view"), (n > 0).alias("depth_valid"), n.alias("valid_pixels"), F.round(F.get("g", F.lit(0)), 6).alias("depth_min"), F.round(F.get("g", n - 1), 6).alias("depth_max"), F.round(middle, 6).alias("depth_median"),
+        F.lit(False).alias("color_valid"), F.col("matrix").alias("depth_intrinsics_valid"), F.lit(False).alias("pose_valid"),
+    )
+
+
 def marker_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, task, question, answer for the views of markers()."""
     k = F.col("vec_id")

@@ -137,7 +137,7 @@ def ready_subset(spark, d):
 
 def _bench_rows(spark, d):
     points = _points(spark, d)
-    told = t.marker_evidence(points, g.marker_relations(points))
+    told = t.marker_evidence(_status(spark, d), b.marker_views(spark, d), points, g.marker_relations(points), g.red_blue_relation(points))
     rows = b.marker_questions(spark, d).join(told, "question_id", "left")
     metric = F.when(F.col("task") == t.DISTANCE_TASK, "multiple_choice").otherwise("numeric_tolerance")
     return rows.withColumn("metric", metric).withColumn("unit", F.lit("meter")).withColumn("aid", t.decision_aid("task", "question", "pairs", "points"))
@@ -216,4 +216,38 @@ def prompt_select_track(spark, d):
     return rows.select("question_id", "track", t.prompt_for("prompts", "track").isNotNull().alias("found"), t.image_for("images", "track").alias("image"))
 
 
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _n(x: str, none: str = "unknown") -> str:
+    return f"CASE WHEN {x} IS NULL THEN '{none}' WHEN {x} <> 0 AND abs({x}) < 1e-4 THEN replace(format('{{:.1e}}', {x}), '.0e', 'e') ELSE regexp_replace(format('{{:.6f}}', {x}), '(\\.\\d*?[1-9])0+$|(\\.0)0+$', '\\1\\2') END"
+
+
+_APART = "CASE WHEN task = 'obj_spatial_relation_oo' THEN '' ELSE ', euclidean_distance=' || {n} END || ', unit=dataset_native'".format(n=_n("euclidean_distance"))
+_XYZ = "'[' || " + " || ', ' || ".join(_n(f"camera_xyz[{i}]") for i in (1, 2, 3)) + " || ']'"
+_TEXTS = f"""{_STATUS}{_AID.removeprefix(MARKERS_SQL)},
+vw AS (SELECT vec_id AS question_id, list_sort(list_filter(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), lambda v: v > 0 AND isfinite(v))) AS g, len(list_filter(embedding[10:13], lambda v: NOT isfinite(v))) = 0 AS matrix FROM embeddings),
+vs AS (SELECT *, round(list_min(g), 6) AS lo, round(list_max(g), 6) AS hi, round(list_aggregate(g, 'median'), 6) AS mid FROM vw),
+rb AS (SELECT r.question_id, round(q.depth - r.depth, 6) AS blue_minus_red, round(sqrt((r.camera_xyz[1] - q.camera_xyz[1]) ** 2 + (r.camera_xyz[2] - q.camera_xyz[2]) ** 2 + (r.camera_xyz[3] - q.camera_xyz[3]) ** 2), 6) AS euclidean_distance FROM m_points r JOIN m_points q ON r.question_id = q.question_id AND r.color = 'red' AND q.color = 'blue'),
+ln AS (SELECT question_id, 0 AS kind, 0 AS place, 'View 0: depth_valid=' || CASE WHEN len(g) > 0 THEN 'True' ELSE 'False' END || ', valid_pixels=' || len(g) || ', depth_min=' || {_n('lo')} || ', depth_max=' || {_n('hi')} || ', depth_median=' || {_n('mid')} || ', color_intrinsics_valid=False, depth_intrinsics_valid=' || CASE WHEN matrix THEN 'True' ELSE 'False' END || ', pose_valid=False' AS line FROM vs
+  UNION ALL SELECT question_id, 1, rank, 'View 0 ' || color || ' marker: pixel_xy=[' || {_n('round(px, 3)')} || ', ' || {_n('round(py, 3)')} || '], pixel_bbox=None, visible_pixel_median_xy=None, depth=' || {_n('round(depth, 6)', 'None')} || ', camera_xyz=' || CASE WHEN camera_xyz IS NULL THEN 'None' ELSE {_XYZ} END || ', unit=dataset_native' FROM m_points
+  UNION ALL SELECT question_id, 2, 0, 'View 0 marker relations: depth_difference_blue_minus_red=' || {_n('blue_minus_red')} || {_APART} FROM b_mq LEFT JOIN rb USING (question_id) WHERE rb.question_id IS NOT NULL OR question_id IN (SELECT question_id FROM m_pairs)
+  UNION ALL SELECT question_id, 3, CASE pair WHEN 'red_to_green' THEN 0 WHEN 'red_to_blue' THEN 1 ELSE 2 END, 'View 0 marker pair ' || pair || ': depth_difference=' || {_n('depth_difference')} || {_APART} FROM m_pairs JOIN b_mq USING (question_id)),
+ev AS (SELECT question_id, string_agg(line, chr(10) ORDER BY kind, place) AS body FROM ln GROUP BY question_id),
+tx AS (SELECT s.question_id, concat_ws(chr(10), 'Structured oracle RGB-D evidence:', 'Coordinate convention: camera_xyz is (x, y, z); x increases to the right, y increases downward, and z increases farther from the camera.', 'Geometry status: ' || s.status, 'View count: 1', body) AS evidence,
+  CASE s.task WHEN 'distance_infer_center_oo' THEN {_q(t.TASK_LINES[t.DISTANCE_TASK])} WHEN 'obj_spatial_relation_oo' THEN {_q(t.TASK_LINES[t.RELATION_TASK])} ELSE {_q(t.OTHER_TASK_LINE)} END AS rule,
+  CASE s.task WHEN 'distance_infer_center_oo' THEN CASE WHEN len(n) > 0 THEN 'Decision aid: ' || n[1].p || '=' || {_n('n[1].d')} || '; ' || n[-1].p || '=' || {_n('n[-1].d')} || '; ' || CASE n[-1].p WHEN 'red_to_green' THEN 'green is farther than blue' ELSE 'blue is farther than green' END || '.' ELSE {_q(t.NO_DISTANCE_AID)} END
+    WHEN 'obj_spatial_relation_oo' THEN coalesce('Decision aid: ' || nullif(told, '') || '.', {_q(t.NO_RELATION_AID)}) END AS aid,
+  'Question: ' || trim(s.question) AS asked, CASE s.task WHEN 'distance_infer_center_oo' THEN {_q(t.METRIC_LINES['multiple_choice'])} ELSE 'Return exactly one numeric value in meter; do not include explanation or extra numbers.' END AS closing
+  FROM status s JOIN aids USING (question_id) LEFT JOIN nd USING (question_id) LEFT JOIN ev USING (question_id))"""
+
+
+@query(f"""{_TEXTS} SELECT question_id, task, concat_ws(chr(10), {', '.join(map(_q, t.BENCH_PURE))}, asked, closing) AS pure_vlm, concat_ws(chr(10), {', '.join(map(_q, t.BENCH_GEOMETRY))}, rule, evidence, asked, closing) AS geometry_only,
+  concat_ws(chr(10), aid, {', '.join(map(_q, t.BENCH_BOTH))}, rule, evidence, asked, closing) AS image_and_geometry FROM tx JOIN b_mq USING (question_id)""")
+def prompt_rows_public(spark, d):
+    """The whole texts of the benchmark's prompts."""
+    return _bench_prompts(spark, d).select("question_id", "task", *[F.col("prompts")[k].alias(k) for k in t.TRACKS])
+
+
 catalogue.over_all_images(prompt_rows_local)

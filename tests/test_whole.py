@@ -1,9 +1,13 @@
 """Queries over whole inputs: no prefix of a text, no part of the images."""
 
+import re
+
 from conftest import DATA, run_sql
 
 from scenequery import bindings as b
 from scenequery import catalogue
+from scenequery.operators import geometry as g
+from scenequery.operators import prompts as t
 
 
 def test_questions_are_whole(spark):
@@ -24,3 +28,29 @@ def test_every_image_is_asked(spark):
     assert len(held) > b.ASKED_IMAGES
     assert {r["image"] for r in b.questions_of_all(spark, DATA).select("image").distinct().collect()} == held
     assert catalogue.QUERIES["failure_by_image_all_images"](spark, DATA).count() > b.ASKED_IMAGES
+
+
+def test_marker_evidence_has_every_line_by_view(spark):
+    asked = spark.createDataFrame([(1, "distance_infer_center_oo", "available"), (2, "obj_spatial_relation_oo", "available")], "question_id long, task string, status string")
+    views = "question_id long, view int, depth_valid boolean, valid_pixels int, depth_min double, depth_max double, depth_median double, color_valid boolean, depth_intrinsics_valid boolean, pose_valid boolean"
+    views = spark.createDataFrame([(q, v, v == 0, 4 - 4 * v, *([1.0, 2.5, 2.0] if v == 0 else [None] * 3), True, True, False) for q in (1, 2) for v in (0, 1)], views)
+    points = "question_id long, view int, color string, rank int, px double, py double, pixel_bbox array<int>, visible_xy array<double>, depth double, fx double, fy double, cx double, cy double"
+    seen = [(0, "blue", 2, 3.5, 4.0, [3, 4, 4, 4], [3.0, 4.0], 2.00005), (0, "red", 0, 0.0, 0.0, [0, 0, 0, 0], [0.0, 0.0], 2.0), (1, "red", 0, 1.0, 1.0, [1, 1, 1, 1], [1.0, 1.0], 1.0), (1, "green", 1, 1.0, 4.0, [1, 4, 1, 4], [1.0, 4.0], 1.0)]
+    points = g.marker_points(spark.createDataFrame([(q, *s, 1.0, 1.0, 0.0, 0.0) for q in (1, 2) for s in seen], points))
+    told = {r["question_id"]: r["evidence"].split("\n") for r in t.marker_evidence(asked, views, points, g.marker_relations(points), g.red_blue_relation(points)).collect()}
+    expected = [
+        "Geometry status: available",
+        "View count: 2",
+        "View 0: depth_valid=True, valid_pixels=4, depth_min=1.0, depth_max=2.5, depth_median=2.0, color_intrinsics_valid=True, depth_intrinsics_valid=True, pose_valid=False",
+        "View 0 red marker: pixel_xy=[0.0, 0.0], pixel_bbox=[0, 0, 0, 0], visible_pixel_median_xy=[0.0, 0.0], depth=2.0, camera_xyz=[0.0, 0.0, 2.0], unit=dataset_native",
+        "View 0 blue marker: pixel_xy=[3.5, 4.0], pixel_bbox=[3, 4, 4, 4], visible_pixel_median_xy=[3.0, 4.0], depth=2.00005, camera_xyz=[7.000175, 8.0002, 2.00005], unit=dataset_native",
+        "View 0 marker relations: depth_difference_blue_minus_red=5e-05, euclidean_distance=10.630412, unit=dataset_native",
+        "View 0 marker pair red_to_blue: depth_difference=5e-05, euclidean_distance=10.630412, unit=dataset_native",
+        "View 1: depth_valid=False, valid_pixels=0, depth_min=unknown, depth_max=unknown, depth_median=unknown, color_intrinsics_valid=True, depth_intrinsics_valid=True, pose_valid=False",
+        "View 1 red marker: pixel_xy=[1.0, 1.0], pixel_bbox=[1, 1, 1, 1], visible_pixel_median_xy=[1.0, 1.0], depth=1.0, camera_xyz=[1.0, 1.0, 1.0], unit=dataset_native",
+        "View 1 green marker: pixel_xy=[1.0, 4.0], pixel_bbox=[1, 4, 1, 4], visible_pixel_median_xy=[1.0, 4.0], depth=1.0, camera_xyz=[1.0, 4.0, 1.0], unit=dataset_native",
+        "View 1 marker relations: depth_difference_blue_minus_red=unknown, euclidean_distance=unknown, unit=dataset_native",
+        "View 1 marker pair red_to_green: depth_difference=0.0, euclidean_distance=3.0, unit=dataset_native",
+    ]
+    assert told[1][2:] == expected
+    assert told[2][2:] == [re.sub(", euclidean_distance=[^,]*", "", x) for x in expected]
