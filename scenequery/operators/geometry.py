@@ -148,6 +148,21 @@ def repaired(points: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.join(kept, ["question_id", "view", "color"], "left").withColumn("changed", ~F.col("camera_xyz").eqNullSafe(F.col("stored_xyz")))
 
 
+def repaired_boxes(stored: DataFrame, found: DataFrame, image: tuple[int, int], depth: tuple[int, int]) -> DataFrame:
+    """Stored markers with box, centre, visible median, depth pixel and camera_xyz from their image, where their colour is found in it.
+
+    found: pixels.color_markers() by question_id and view; image, depth: width and height; stored: pixel_bbox, pixel_xy,
+    visible_xy, depth_xy, camera_xyz, depth and the depth matrix.
+    """
+    names = ("pixel_bbox", "pixel_xy", "visible_xy")
+    new = found.select("question_id", "view", "color", F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in names])
+    rows = stored.join(new, ["question_id", "view", "color"], "left")
+    x, y = (F.col("_pixel_xy")[i] * depth[i] / max(image[i], 1) for i in (0, 1))
+    fresh = {c: F.col(f"_{c}") for c in names} | {"depth_xy": F.array(F.round(x, 3), F.round(y, 3)), "camera_xyz": camera_xyz(x, y, "depth", "fx", "fy", "cx", "cy")}
+    changed = F.col("_new").isNotNull() & ~F.col("pixel_bbox").eqNullSafe(F.col("_pixel_bbox"))
+    return rows.select(*[F.when(F.col("_new"), fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in stored.columns], changed.alias("changed"))
+
+
 def numbered(rows: DataFrame, group: str, order: str, keep: Column) -> DataFrame:
     """Ids obj_001 and on for the rows kept, in order within their group."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(order))

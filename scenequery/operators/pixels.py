@@ -140,3 +140,25 @@ def component_geometry(rasters: DataFrame, keys: list[str], raster: str, width:
             yield pa.RecordBatch.from_arrays(own + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], schema.names)
 
     return inner.mapInArrow(find, schema)
+
+
+#: Least value of a marker's own channel, and by how much it exceeds both others.
+MARKER_COLORS = {"red": (220, 150), "green": (100, 100), "blue": (180, 150)}
+
+
+def color_mask(color: str) -> Column:
+    """1 where a pixel of the channels red, green and blue (arrays in row order) is saturated in one colour, else 0."""
+    least, over = MARKER_COLORS[color]
+    value = lambda p, c: p[c].cast("int")
+    others = [c for c in MARKER_COLORS if c != color]
+    shown = lambda p: (value(p, color) >= least) & (value(p, color) - F.greatest(*[value(p, c) for c in others]) >= over)
+    return F.transform(F.arrays_zip("red", "green", "blue"), lambda p: shown(p).cast("double"))
+
+
+def color_markers(images: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The largest part of each marker colour of RGB images: component_geometry() with color, pixel_bbox, pixel_xy and visible_xy."""
+    masks = F.explode(F.array(*[F.struct(F.lit(c).alias("color"), color_mask(c).alias("mask")) for c in MARKER_COLORS]))
+    found = component_geometry(images.select(*keys, masks.alias("m")).select(*keys, "m.color", "m.mask"), [*keys, "color"], "mask", width, 0.5)
+    center = F.array((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2)
+    box = F.array(*[F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1")])
+    return found.select(*keys, "color", "n_pixels", box.alias("pixel_bbox"), center.alias("pixel_xy"), F.array("mid_x", "mid_y").alias("visible_xy"))

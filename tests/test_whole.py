@@ -7,6 +7,7 @@ from conftest import DATA, run_sql
 from scenequery import bindings as b
 from scenequery import catalogue
 from scenequery.operators import geometry as g
+from scenequery.operators import pixels as p
 from scenequery.operators import prompts as t
 
 
@@ -54,3 +55,22 @@ def test_marker_evidence_has_every_line_by_view(spark):
     ]
     assert told[1][2:] == expected
     assert told[2][2:] == [re.sub(", euclidean_distance=[^,]*", "", x) for x in expected]
+
+
+def test_color_markers_are_found_and_boxes_repaired(spark):
+    wood, red, green, dim, blue = (190, 105, 70), (255, 0, 0), (0, 128, 1), (0, 99, 0), (0, 0, 255)
+    image = [wood] * 48  # 8 x 6
+    for x, y, c in [(1, 1, red), (2, 1, red), (2, 2, red), (7, 5, red), (4, 4, green), (5, 4, green), (0, 5, dim), (6, 0, blue)]:
+        image[y * 8 + x] = c
+    images = spark.createDataFrame([(1, 0, *map(list, zip(*image)))], "question_id long, view int, red array<int>, green array<int>, blue array<int>")
+    found = p.color_markers(images, ["question_id", "view"], 8)
+    assert {r["color"]: (r["n_pixels"], r["pixel_bbox"], r["pixel_xy"], r["visible_xy"]) for r in found.collect()} == {
+        "red": (3, [1, 1, 2, 2], [1.5, 1.5], [2.0, 1.0]),
+        "green": (2, [4, 4, 5, 4], [4.5, 4.0], [4.5, 4.0]),
+        "blue": (1, [6, 0, 6, 0], [6.0, 0.0], [6.0, 0.0]),
+    }
+    columns = "question_id long, view int, color string, pixel_bbox array<int>, pixel_xy array<double>, visible_xy array<double>, depth_xy array<double>, camera_xyz array<double>, depth double, fx double, fy double, cx double, cy double"
+    stored = spark.createDataFrame([(1, v, "red", None, [0.0, 0.0], None, None, None, 2.0, 1.0, 1.0, 0.0, 0.0) for v in (0, 1)], columns)
+    rows = {r["view"]: r for r in g.repaired_boxes(stored, found, (8, 6), (16, 12)).collect()}
+    assert [rows[0][c] for c in ("pixel_bbox", "pixel_xy", "visible_xy", "depth_xy", "camera_xyz", "changed")] == [[1, 1, 2, 2], [1.5, 1.5], [2.0, 1.0], [3.0, 3.0], [6.0, 6.0, 2.0], True]
+    assert rows[1]["pixel_bbox"] is None and rows[1]["pixel_xy"] == [0.0, 0.0] and not rows[1]["changed"]
