@@ -121,7 +121,8 @@ def fitted(docs: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS, see
     """Scored counts of every row of docs (doc_id, COUNTS, base_failed, anomaly), the forest and the threshold.
 
     The trees see a sample of TREES * SAMPLE rows at most, those with small hashes of
-    their ids; thresholds are counted over all labelled rows.
+    their ids, counts and places in the saved table, so that rows of one id, or none, are
+    thinned like others; thresholds are counted over all labelled rows.
     """
     counts = saved(rule_statistics(docs), "rules")
     columns = [*COUNTS, *MORE]
@@ -129,7 +130,7 @@ def fitted(docs: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS, see
     # rows below a bound that about so many hashes stay under, so that no task sends more than its part
     most, n = TREES * SAMPLE, counts.count()
     share = F.lit(2.0**63 * (2 * min(1.0, 0.9 * most / max(n, 1)) - 1))
-    sample = counts.where(F.xxhash64("doc_id", F.lit(seed)) <= share).select(*columns).limit(most).toPandas().to_numpy(np.int64)
+    sample = counts.where(F.xxhash64("doc_id", *columns, F.monotonically_increasing_id(), F.lit(seed)) <= share).select(*columns).limit(most).toPandas().to_numpy(np.int64)
     sample = sample[np.lexsort(sample.T)]
     if not len(sample):
         return counts.select("doc_id", *COUNTS, "base_failed", F.lit(0.0).alias("anomaly")), None, DEFAULT_THRESHOLD
@@ -166,7 +167,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             rows = np.array([text_counts(x.as_py() or "", hashes) for x in batch.column("text")], np.int64).reshape(-1, len(_SCHEMA))
             if len(rows):
                 failed = (rows[:, 0] < 50) | (100 * rows[:, 4] > 50 * rows[:, 0])
-                yield batch.filter(pa.array(~failed & (scores(forest, rows) < threshold)))
+                yield batch.filter(pa.array(~failed & ((scores(forest, rows) if forest else np.zeros(len(rows))) < threshold)))
 
     return docs.mapInArrow(pick, docs.schema)
 
