@@ -1,161 +1,366 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a bigram model smoothed with a Dirichlet prior. As an automaton it has a root
-state and a state for every word that training texts hold (and one for the start of a
-text). State h has an arc for every training bigram (h, w), of probability
-(c(h w) + mu * p(w)) / (c(h) + mu), and a failure arc to the root with weight
-mu / (c(h) + mu); the root's arcs have the smoothed unigram probabilities p(w). A text is
-read once from left to right: each word follows its state's arc, or else the failure arc and
-the root's, adds the logarithm, and leads to its own state or, unseen, to the root.
-
-Documents are dealt into chunks by hash. A chunk asks for the counts of its distinct words
-and bigrams, each key once, with its own training counts; the keys are dealt by hash, added
-up over all chunks and sent back, so a chunk holds the part of the automaton that its texts
-can reach, however large the model is.
+The smoothed n-grams of the training texts become an automaton. A state is a context of up to
+``order`` - 1 tokens: the root is the empty one, and one more stands for the start of a text.
+State h has an arc over token w, if h w occurs, of probability
+
+    P(w | h) = (c(h w) + (m + s(h)) * P(w | h')) / (c(h) + m),
+
+where h' is h without its first token and m a prior's weight, and a failure arc to h' of
+weight (m + s(h)) / (c(h) + m). An n-gram of three tokens and more is an arc only if it occurs
+``LEAST`` times; s(h) is what such a context's rarer n-grams would have held, so that every
+state's probabilities add up to 1. The root has an arc over every token, of probability
+(c(w) + 0.1) / (N + 0.1 * (V + 1)). An arc leads to the longest context that it ends on and
+that has arcs. A text is read once from left to right: from the state carried so far, failure
+arcs are followed until a state has an arc over the next token, and the weights are added.
+
+Texts are packed into chunks of bounded size as they are read. A chunk asks for the counts of
+its distinct n-grams, each once, with its own training counts; the keys are dealt by ranges of
+their hashes, added up over all chunks and sent back, so that a chunk builds the part of the
+automaton that its own texts can reach, however large the model is. The highest order is asked
+for first; what it leaves out is then added up by context along with the next. Keys of two
+tokens and more have 18 bits more than the corpus has characters (48 at least), so that about
+one in a million shares its count with another. The number of ranges grows with the corpus; where more than
+``fan`` chunks ask, they are added up in a tree of so many branches.
 
 Defined results: a null or empty text is its end token alone; a null doc_id counts as the
 text "", which is held out; repeated rows are trained on and scored as often as they occur;
-an empty table gives no rows; extra columns are ignored; very long texts are read whole.
+an empty table gives no rows; extra columns are ignored; very long texts are read whole, each
+in one chunk.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mixed, read_table
+from .common import WordHashes, mixed, read_table, saved
 
-PRIOR, ADDED = 16.0, 0.1
-#: Characters of text in a chunk, about; keys of a chunk go to as many reducers as there are chunks, up to MOST_PARTS a kind.
-CHUNK_CHARS, MOST_PARTS = 8_000_000, 4096
+#: Tokens of the longest n-grams; the weight of the lower order for two tokens, and for more; added to the counts of single tokens.
+ORDER, PRIORS, ADDED = 3, (16.0, 4.0), 0.1
+#: Occurrences that an n-gram of three tokens and more needs.
+LEAST = 2
+#: Characters of text in a chunk, keys asked for in a range, and chunks added up at once, about.
+CHUNK_CHARS, PART_KEYS, FAN = 4_000_000, 3_000_000, 1_000_000
 END, START = np.uint64(0x0E11D0F7E87F0001), np.uint64(0x57A27000000F0001)
+ROOT, AT_START, FIRST_WORD = 0, 1, 2
+
+ASKED = "part long, node long, n long, hashes binary, counts binary, rare binary"
+ANSWERED = "part long, node long, n long, totals binary, rare binary, tokens long, types long"
 
 
 def is_training(doc_id: object) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 != 0
 
 
-def chunk_keys(table: pa.Table) -> dict[str, np.ndarray]:
-    """The chunk's tokens in order, and its sorted distinct words and bigrams with training counts.
+# n-grams of a chunk
 
-    ends: place after each text's last token; word, pair: each token's place among the
-    distinct keys; before: the place of the word before it (-1 at a text's start).
-    """
+
+@dataclass
+class Grams:
+    """Sorted distinct n-grams of one length, with training counts; number of each one's context and of the n-gram
+    without its first token among those one shorter (-1: the start), and of its last token among single tokens."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    context: np.ndarray
+    shorter: np.ndarray
+    last: np.ndarray
+    #: Number of the n-gram that ends at each token of the chunk, -1 for none.
+    at: np.ndarray
+
+
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, every text's end included, and the place after each text's end."""
     hashes, own, sizes = WordHashes(), [], []
-    for text in table.column("text"):
-        tokens = hashes.of((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split())
+    for text in texts:
+        tokens = hashes.of(text.lower().split())
         own += [tokens, [END]]
         sizes.append(len(tokens) + 1)
-    tokens = np.concatenate(own).astype(np.uint64) if own else np.empty(0, np.uint64)
-    ends = np.cumsum(np.array(sizes, np.int64))
-    training = np.array([is_training(x.as_py()) for x in table.column("doc_id")], bool)
-    weight = np.repeat(training, sizes).astype(float)
+    return np.concatenate(own).astype(np.uint64) if own else np.empty(0, np.uint64), np.cumsum(np.array(sizes, np.int64))
+
+
+def grams_of(tokens: np.ndarray, ends: np.ndarray, training: np.ndarray, order: int, bits: int) -> list[Grams]:
+    """The chunk's n-grams of 1, 2, ... order tokens."""
     first = np.r_[0, ends[:-1]]
-    previous = np.r_[START, tokens[:-1]]
-    previous[first] = START
-    words, word = np.unique(mixed(tokens), return_inverse=True)
-    pairs, pair = np.unique(mixed(previous * np.uint64(0x9E3779B97F4A7C15) + mixed(tokens)), return_inverse=True)
-    before = np.r_[np.int64(-1), word[:-1]]
-    before[first] = -1
-    return {
-        "ends": ends, "training": training, "word": word, "pair": pair, "before": before, "end_word": word[ends - 1][:1],
-        "words": words, "pairs": pairs, "word_counts": np.bincount(word, weight, len(words)), "pair_counts": np.bincount(pair, weight, len(pairs)),
-    }
-
-
-def _edges(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of the parts, equal ranges of the key space, begins among sorted keys; and their end."""
-    bounds = np.array([i * 2**64 // parts for i in range(1, parts)], np.uint64)
-    return np.r_[0, np.searchsorted(keys, bounds), len(keys)]
-
-
-def packed(keys: np.ndarray, low: int) -> bytes:
-    """Sorted keys as the steps from one to the next, each in as few bytes as the largest needs."""
-    if not len(keys):
-        return b""
-    steps = np.diff(keys, prepend=np.uint64(low))
-    width = max(1, -(-int(steps.max()).bit_length() // 8))
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpacked(data: bytes, n: int, low: int) -> np.ndarray:
-    steps = np.zeros((n, 8), np.uint8)
+    sizes = ends - first
+    weight, place = np.repeat(training, sizes).astype(float), np.arange(len(tokens)) - np.repeat(first, sizes)
+    single = run = mixed(tokens)
+    out: list[Grams] = []
+    for k in range(1, order + 1):
+        there = np.flatnonzero(place >= k - 2)
+        if k > 1:
+            before = np.r_[START, run[:-1]]
+            if k == 2:
+                before[first] = START
+            run = mixed(before * np.uint64(0x9E3779B97F4A7C15) + single)
+        keys, where, number = np.unique(run[there] >> np.uint64(64 - bits if k > 1 else 0), return_index=True, return_inverse=True)
+        at = np.full(len(tokens), -1, np.int64)
+        at[there] = number
+        where = there[where]
+        context = shorter = last = np.arange(len(keys))
+        if k > 1:
+            context = np.where(place[where] > 0, out[-1].at[where - 1], -1)
+            shorter, last = out[-1].at[where], out[0].at[where]
+        out.append(Grams(keys, np.bincount(number, weight[there], len(keys)).astype(np.int64), context, shorter, last, at))
+    return out
+
+
+# keys and counts on their way
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, one byte of all after the other, compressed."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def widened(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
     if n:
-        steps[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
-    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64) + np.uint64(low)
+        width = data[0]
+        out[:, :width] = np.frombuffer(pa.decompress(data[1:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def _low(part: int, parts: int, bits: int) -> int:
+    """The first key of a range; ranges of single tokens come first, then those of each further length."""
+    return part % parts * 2 ** (bits if part >= parts else 64) // parts
+
+
+def _steps(keys: np.ndarray, low: int) -> bytes:
+    return squeezed(np.diff(keys, prepend=np.uint64(low)))
+
 
+def asks(k: int, grams: Grams, rare: np.ndarray, node: int, parts: int, bits: int) -> list[tuple]:
+    """A row for each range of keys: what the chunk asks for and has itself."""
+    lows = [_low((k - 1) * parts + i, parts, bits) for i in range(parts)]
+    edges = np.r_[np.searchsorted(grams.keys, np.array(lows, np.uint64)), len(grams.keys)]
+    return [
+        ((k - 1) * parts + i, node, int(b - a), _steps(grams.keys[a:b], lows[i]), squeezed(grams.counts[a:b]), squeezed(rare[a:b]))
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:]))
+        if b > a
+    ]
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
+
+
+def totals(asked: DataFrame, nodes: int, parts: int, bits: int, fan: int) -> DataFrame:
+    """ANSWERED: the corpus's counts of all keys asked for, in the asking row's order, with the sum and number of the range's tokens."""
+
+    def merged(table: pa.Table) -> tuple[list[np.ndarray], list[int], np.ndarray, np.ndarray, np.ndarray]:
+        sizes, low = table["n"].to_pylist(), _low(table["part"][0].as_py(), parts, bits)
+        hashes = [np.cumsum(widened(x, n), dtype=np.uint64) + np.uint64(low) for x, n in zip(table["hashes"].to_pylist(), sizes)]
+        distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([widened(x, n) for x, n in zip(table[c].to_pylist(), sizes)]), len(distinct)).astype(np.int64) for c in ("counts", "rare")]
+        return hashes, sizes, at, distinct, np.stack(sums)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        _, sizes, at, _, sums = merged(table)
+        found = np.split(sums[:, at], np.cumsum(sizes)[:-1], axis=1)
+        numbers = (int(sums[0].sum()), int((sums[0] > 0).sum()))
+        return _table([(part, node, n, *map(squeezed, x), *numbers) for part, node, n, x in zip(table["part"].to_pylist(), table["node"].to_pylist(), sizes, found)], ANSWERED)
 
-def token_scores(keys: dict, words: np.ndarray, pairs: np.ndarray, n_train: int, n_distinct: int, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of each token's root probability and of its probability on the path through the automaton."""
-    root = (words[keys["word"]] + ADDED) / (n_train + ADDED * (n_distinct + 1))
-    texts = words[keys["end_word"]].sum()  # the start state has been left once a training text
-    state = np.where(keys["before"] >= 0, words[keys["before"]], texts)  # 0: the root, with no arc but failure
-    fail = prior / (state + prior)
-    return np.log10(root), np.log10(pairs[keys["pair"]] / (state + prior) + fail * root)
+    def lift(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        _, _, _, distinct, sums = merged(table)
+        return _table([(part, table["up"][0].as_py(), len(distinct), _steps(distinct, _low(part, parts, bits)), *map(squeezed, sums))], ASKED)
 
+    def hand_down(table: pa.Table, above: pa.Table) -> pa.Table:
+        hashes, sizes, _, distinct, _ = merged(table)
+        [row] = above.to_pylist()
+        sums = [widened(row[c], len(distinct)) for c in ("totals", "rare")]
+        own = [np.searchsorted(distinct, h) for h in hashes]
+        return _table([(row["part"], node, n, *(squeezed(s[i]) for s in sums), row["tokens"], row["types"]) for node, n, i in zip(table["node"].to_pylist(), sizes, own)], ANSWERED)
 
-def scored(docs: DataFrame, prior: float = PRIOR, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    if nodes <= fan:
+        return asked.groupBy("part").applyInArrow(add_up, ANSWERED)
+    groups = -(-nodes // fan)
+    dealt = saved(asked, "lm-asked").withColumn("up", F.pmod(F.xxhash64("node"), F.lit(groups)))
+    above = totals(dealt.groupBy("part", "up").applyInArrow(lift, ASKED), groups, parts, bits, fan)
+    return dealt.groupBy("part", "up").cogroup(above.groupBy("part", "node")).applyInArrow(hand_down, ANSWERED)
+
+
+# the automaton
+
+
+@dataclass
+class Automaton:
+    """arcs: number of the arc from a state over a token, by state * tokens + token; each arc's weight and target;
+    each state's failure arc."""
+
+    tokens: int
+    arcs: dict[int, int]
+    weight: list[float]
+    target: list[int]
+    failure_weight: list[float]
+    failure_target: list[int]
+
+    def score(self, text: list[int]) -> float:
+        """log10 of the probability of a text, read once from left to right."""
+        arcs, weight, target, failure_weight, failure_target, tokens = self.arcs.get, self.weight, self.target, self.failure_weight, self.failure_target, self.tokens
+        total, state = 0.0, AT_START
+        for token in text:
+            arc = arcs(state * tokens + token)
+            while arc is None:
+                total += failure_weight[state]
+                state = failure_target[state]
+                arc = arcs(state * tokens + token)
+            total += weight[arc]
+            state = target[arc]
+        return total
+
+
+def automaton(grams: list[Grams], counts: list[np.ndarray], rare: list[np.ndarray], n_texts: int, n_train: int, n_types: int, priors: tuple = PRIORS, least: int = LEAST) -> Automaton:
+    """The states, arcs and failure arcs that a chunk's texts can reach, from the corpus's counts of the chunk's n-grams.
+
+    rare: by n-gram, what its continuations below ``least`` occurrences hold together.
+    """
+    order, tokens = len(grams), len(grams[0].keys)
+    starts = np.cumsum([FIRST_WORD, *(len(g.keys) for g in grams[:-1])])  # the first state of each length of context
+    p = (counts[0] + ADDED) / (n_train + ADDED * (n_types + 1))
+    # by n-gram, the state that a history ending on it is in: its own, if it has arcs, else that of the n-gram without its first token
+    states = [np.where(counts[0] > 0, starts[0] + np.arange(tokens), ROOT)]
+    keys, weight, target = [np.arange(tokens)], [p], [states[0]]
+    failure_weight, failure_target = [np.array([1.0, priors[0] / (n_texts + priors[0])])], [np.array([ROOT, ROOT])]
+    for k in range(2, order + 1):
+        g, below, beyond = grams[k - 1], counts[k - 2], rare[k - 2]
+        prior = priors[min(k - 2, len(priors) - 1)]
+        failure_weight.append((prior + beyond) / (below + prior))
+        failure_target.append(states[k - 3][grams[k - 2].shorter] if k > 2 else np.full(tokens, ROOT))
+        known = g.context >= 0
+        total, left = np.where(known, below[g.context], n_texts), prior + np.where(known, beyond[g.context], 0)
+        is_arc = counts[k - 1] >= (least if k > 2 else 1)
+        p = np.where(is_arc, (counts[k - 1] + left * p[g.shorter]) / (total + prior), 0.0)
+        own = states[k - 2][g.shorter]
+        if k < order:
+            own = np.where(counts[k - 1] > rare[k - 1], starts[k - 1] + np.arange(len(g.keys)), own)
+            states.append(own)
+        keys.append((np.where(known, starts[k - 2] + g.context, AT_START) * tokens + g.last)[is_arc])
+        weight.append(p[is_arc])
+        target.append(own[is_arc])
+    numbers = np.concatenate(keys).tolist()
+    return Automaton(
+        tokens, dict(zip(numbers, range(len(numbers)))), np.log10(np.concatenate(weight)).tolist(), np.concatenate(target).tolist(),
+        np.log10(np.concatenate(failure_weight)).tolist(), np.concatenate(failure_target).tolist(),
+    )
+
+
+# the job
+
+
+def chunked(docs: DataFrame, chunk_chars: int) -> DataFrame:
+    """node (the chunk's number), ids, sizes and texts: rows packed as they are read, so that like rows need not meet."""
+    id_type = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("texts", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, held = [], [], 0
+
+        def row(kind: pa.DataType) -> pa.RecordBatch:
+            columns = [pa.array([number]), pa.array([ids], pa.list_(kind)), pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids.append(doc_id)
+                texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                held += len(texts[-1]) + 1
+                if held >= chunk_chars:
+                    yield row(kind)
+                    ids, texts, held, number = [], [], 0, number + 1
+        if ids:
+            yield row(kind)
+
+    return docs.mapInArrow(pack, schema)
+
+
+def _unpacked(table: pa.Table) -> tuple[int, list, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's number, ids, tokens, places after each text's end, and which texts are for training."""
+    [chunk] = table.select(["node", "ids", "sizes", "texts"]).to_pylist()
+    ends = np.cumsum(chunk["sizes"])
+    raw = pa.decompress(chunk["texts"], int(ends[-1]), codec="zstd", asbytes=True) if ends[-1] else b""
+    tokens, token_ends = tokens_of([raw[b - n : b] for n, b in zip(chunk["sizes"], ends.tolist())])
+    return chunk["node"], chunk["ids"], tokens, token_ends, np.array([is_training(x) for x in chunk["ids"]], bool)
+
+
+def scored(docs: DataFrame, order: int = ORDER, priors: tuple = PRIORS, least: int = LEAST, chunk_chars: int = CHUNK_CHARS, part_keys: int = PART_KEYS, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     docs = docs.select("doc_id", "text")
-    chars = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    chunks = max(1, -(-chars // chunk_chars))
-    parts = min(chunks, MOST_PARTS)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
+    parts = max(1, -(-chars // (5 * part_keys)))
+    bits = min(64, max(48, 18 + int(chars).bit_length()))
+    nodes = max(1, -(-chars // chunk_chars))
+    chunks = chunked(docs, chunk_chars)
+
+    def found(answers: pa.Table, k: int, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """The corpus's counts of the chunk's n-grams of k tokens, and what their rare continuations hold."""
+        rows = sorted((r for r in answers.to_pylist() if r["part"] // parts == k - 1), key=lambda r: r["part"])
+        sums = [np.concatenate([np.empty(0, np.uint64), *(widened(r[c], r["n"]) for r in rows)]).astype(np.int64) for c in ("totals", "rare")]
+        if len(sums[0]) != len(grams.keys):
+            raise RuntimeError("a chunk's answers don't fit its keys")
+        return sums[0], sums[1]
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, chunk, rows = chunk_keys(table), table["chunk"][0].as_py(), []
-        for kind in (0, 1):
-            own, counts = (keys["pairs"], keys["pair_counts"]) if kind else (keys["words"], keys["word_counts"])
-            edges = _edges(own, parts)
-            for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                if b > a or not kind:  # every chunk asks every part for the numbers of words, if for no key
-                    rows.append((kind * parts + part, chunk, packed(own[a:b], part * 2**64 // parts), counts[a:b].astype(np.uint32).tobytes()))
-        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("part", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())))})
+        node, _, tokens, ends, training = _unpacked(table)
+        grams = grams_of(tokens, ends, training, order, bits)
+        return _table([r for k in (1, order) for r in asks(k, grams[k - 1], np.zeros(len(grams[k - 1].keys), np.int64), node, parts, bits)], ASKED)
 
-    def add_up(table: pa.Table) -> pa.Table:
-        low = table["part"][0].as_py() % parts * 2**64 // parts
-        sizes = [len(x) // 4 for x in table["counts"].to_pylist()]
-        hashes = np.concatenate([unpacked(x, n, low) for x, n in zip(table["hashes"].to_pylist(), sizes)])
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32)
-        distinct, at = np.unique(hashes, return_inverse=True)
-        totals = np.bincount(at, counts, len(distinct)).astype(np.int64)
-        ends = np.cumsum(sizes)
-        kind = np.uint32 if totals.max(initial=0) < 2**32 else np.uint64
-        answers = [x.astype(kind).tobytes() for x in np.split(totals[at], ends[:-1])]
-        n = len(answers)
-        return pa.table({"chunk": table["chunk"], "part": table["part"], "wide": pa.array([kind is np.uint64] * n), "totals": pa.array(answers, pa.binary()), "tokens": pa.array([int(totals.sum())] * n), "distinct": pa.array([int((totals > 0).sum())] * n)})
-
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "part int, chunk int, hashes binary, counts binary")
-    answered = asked.groupBy("part").applyInArrow(add_up, "chunk int, part int, wide boolean, totals binary, tokens long, distinct long")
+    def ask_next(k: int):
+        def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+            node, _, tokens, ends, training = _unpacked(table)
+            grams = grams_of(tokens, ends, training, k + 1, bits)
+            longer = grams[k]
+            total, _ = found(answers, k + 1, longer)
+            # what is too rare for an arc, and is counted in this chunk
+            own = np.where((total < least), longer.counts, 0)
+            rare = np.bincount(longer.context[longer.context >= 0], own[longer.context >= 0], len(grams[k - 1].keys)).astype(np.int64)
+            return _table(asks(k, grams[k - 1], rare, node, parts, bits), ASKED)
+
+        return run
+
+    answers = totals(chunks.groupBy("node").applyInArrow(ask, ASKED), nodes, parts, bits, fan)
+    words = answers.where(F.col("part") < parts).groupBy("part").agg(F.first("tokens").alias("tokens"), F.first("types").alias("types"))
+    corpus = words.agg(F.sum("tokens").alias("n_train"), F.sum("types").alias("n_types"))  # one row
+    every, last = answers, answers
+    for k in range(order - 1, 1, -1):
+        known = last.where(F.expr(f"part div {parts} = {k}")).select("part", "node", "n", "totals", "rare")
+        last = totals(chunks.groupBy("node").cogroup(known.groupBy("node")).applyInArrow(ask_next(k), ASKED), nodes, parts, bits, fan)
+        every = every.unionByName(last)
+    every = every.drop("tokens", "types").crossJoin(F.broadcast(corpus))
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     schema = T.StructType([id_field, T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = chunk_keys(table)
-        answers = answers.sort_by("part")
-        found: list[list[np.ndarray]] = [[], []]
-        n_train = n_distinct = 0
-        for part, wide, totals, tokens, distinct in zip(*(answers[c].to_pylist() for c in ("part", "wide", "totals", "tokens", "distinct"))):
-            found[part >= parts].append(np.frombuffer(totals, np.uint64 if wide else np.uint32).astype(np.int64))
-            if part < parts:
-                n_train, n_distinct = n_train + tokens, n_distinct + distinct
-        words, pairs = map(np.concatenate, found)
-        if len(words) != len(keys["words"]) or len(pairs) != len(keys["pairs"]):
-            raise RuntimeError("a chunk's answers don't fit its keys")
-        base, path = token_scores(keys, words, pairs, n_train, n_distinct, prior)
-        ends = keys["ends"]
-        first = np.r_[0, ends[:-1]]
-        sums = [np.add.reduceat(x, first) for x in ((words[keys["word"]] > 0).astype(np.int64), base, path)]
-        n = len(ends)
-        columns = [table["doc_id"], pa.array(~keys["training"]), pa.array(ends - first), pa.array(sums[0]), pa.array([n_train] * n, pa.int64()), pa.array(sums[1]), pa.array(sums[2])]
+        _, ids, tokens, ends, training = _unpacked(table)
+        n_train, n_types = answers["n_train"][0].as_py(), answers["n_types"][0].as_py()
+        grams = grams_of(tokens, ends, training, order, bits)
+        counts, rare = zip(*(found(answers, k, g) for k, g in enumerate(grams, 1)))
+        word, first = grams[0].at, np.r_[0, ends[:-1]]
+        base = np.log10((counts[0][word] + ADDED) / (n_train + ADDED * (n_types + 1)))
+        n_known, base = (np.add.reduceat(x, first) for x in ((counts[0][word] > 0).astype(np.int64), base))
+        model = automaton(list(grams), list(counts), list(rare), int(counts[0][word[ends[0] - 1]]), n_train, n_types, priors, least)
+        numbers = word.tolist()
+        own = [model.score(numbers[a:b]) for a, b in zip(first.tolist(), ends.tolist())]
+        columns = [pa.array(ids, table.schema.field("ids").type.value_type), pa.array(~training), pa.array(ends - first), pa.array(n_known), pa.array(np.full(len(ids), n_train)), pa.array(base), pa.array(own, pa.float64())]
         return pa.table(dict(zip(schema.names, columns)))
 
-    return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, schema)
+    return chunks.groupBy("node").cogroup(every.groupBy("node")).applyInArrow(score, schema)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,43 +286,73 @@ def test_registers_estimate_jaccard():
 # op7
 
 
-def brute_lm(texts, prior):
-    words, pairs, read = Counter(), Counter(), []
+def brute_lm(texts, order, priors, least):
+    """Counts as dictionaries, and a walk along explicit failure arcs from the longest context."""
+    counts, read = Counter(), []
     for i, t in texts:
-        own = [*(t or "").encode().lower().split(), None]
+        own = ["<s>", *(t or "").encode().lower().split(), None]
         held = zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
         read.append((i, held, own))
         if not held:
-            words.update(own)
-            pairs.update(zip(["<s>", *own[:-1]], own))
-    n, v = sum(words.values()), len(words)
+            counts["<s>",] += 1
+            counts.update(tuple(own[j - k : j]) for k in range(1, order + 1) for j in range(k, len(own) + 1) if own[j - k : j] != ["<s>"])
+    after = {}
+    for gram, c in counts.items():
+        if len(gram) > 1:
+            after.setdefault(gram[:-1], {})[gram[-1]] = c
+    single = {g[0]: c for g, c in counts.items() if len(g) == 1 and g[0] != "<s>"}
+    n, v = sum(single.values()), len(single)
+
+    def arcs(h):
+        return {w: c for w, c in after.get(h, {}).items() if c >= (least if len(h) > 1 else 1)}
+
+    def failing(h):
+        prior, total = priors[min(len(h) - 1, len(priors) - 1)], counts[h]
+        return (prior + sum(after.get(h, {}).values()) - sum(arcs(h).values())) / (total + prior)
+
+    def chance(h, w):
+        if not h:
+            return (single.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))
+        own = arcs(h).get(w, 0)
+        return own / (counts[h] + priors[min(len(h) - 1, len(priors) - 1)]) + failing(h) * chance(h[1:], w)
+
     out = []
     for i, held, own in read:
         base = score = 0.0
-        for h, w in zip(["<s>", *own[:-1]], own):
-            p = (words[w] + 0.1) / (n + 0.1 * (v + 1))
-            c = words[None] if h == "<s>" else words[h]
-            base += math.log10(p)
-            score += math.log10((pairs[h, w] + prior * p) / (c + prior))
-        out.append((i or 0, held, len(own), sum(words[w] > 0 for w in own), n, round(base, 6), round(score, 6)))
+        for j in range(1, len(own)):
+            w, h = own[j], tuple(own[max(0, j - order + 1) : j])
+            base += math.log10(chance((), w))
+            while h and w not in arcs(h):
+                score += math.log10(failing(h))
+                h = h[1:]
+            score += math.log10(chance(h, w))
+        out.append((i or 0, held, len(own) - 1, sum(single.get(w, 0) > 0 for w in own[1:]), n, base, score))
+    for h in list(after)[:20]:  # with one unseen token, every context's probabilities add up to 1
+        assert math.isclose(sum(chance(h, w) for w in [*single, "a token that no text holds"]), 1)
     return sorted(out)
 
 
-@pytest.mark.parametrize("chars", [10**9, 300])
-def test_scores_are_brute_force(spark, table, chars):
-    texts = [*AWKWARD, *[(r["doc_id"] + 100, r["text"]) for r in table.limit(60).collect()]]
-    got = lm_scoring.scored(docs(spark, texts), chunk_chars=chars).collect()
-    rows = sorted((r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
-    for a, b in zip(rows, brute_lm(texts, lm_scoring.PRIOR), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-5)
+@pytest.mark.parametrize("order,least,sizes", [(2, 2, {}), (3, 2, {}), (3, 1, {"chunk_chars": 3000, "part_keys": 400}), (3, 3, {"chunk_chars": 3000, "part_keys": 2000, "fan": 3}), (4, 2, {"chunk_chars": 20_000})])
+def test_scores_are_brute_force(spark, table, order, least, sizes):
+    texts = [*AWKWARD, *[(r["doc_id"] + 100, r["text"]) for r in table.limit(60).collect()], *[(77, "the same row " * 3)] * 30]
+    got = lm_scoring.scored(docs(spark, texts), order=order, least=least, **sizes).collect()
+    rows = sorted((r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
+    for a, b in zip(rows, brute_lm(texts, order, lm_scoring.PRIORS, least), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_scores_of_an_empty_table_and_repeated_rows(spark):
     assert lm_scoring.scored(docs(spark, [])).count() == 0
+    same = docs(spark, [(1, "a b")] * 500).repartition(3)
+    assert lm_scoring.chunked(same, 40).agg(F.max(F.size("ids"))).first()[0] <= 10
+    assert {r["train_tokens"] for r in lm_scoring.scored(same, chunk_chars=40).collect()} == {1500}
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(2**60, 2**61 - 1), unique=True, max_size=40))
-def test_packed_keys_come_back(values):
+def test_squeezed_keys_come_back(values):
     keys = np.array(sorted(values), np.uint64)
-    assert (lm_scoring.unpacked(lm_scoring.packed(keys, 2**60), len(keys), 2**60) == keys).all()
+    assert (lm_scoring.widened(lm_scoring.squeezed(keys), len(keys)) == keys).all()
 
 
 def test_the_model_beats_the_base_on_held_out_texts(table):
