@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words for the operators that split on ASCII white space only.
@@ -19,31 +23,83 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the tables made by saved() that still stand, with their thread and the Hadoop settings that reach them.
+_standing: dict[str, tuple[int, object]] = {}
+
+
 @lru_cache(maxsize=None)
 def _own_folder(app_id: str) -> str:
     return tempfile.mkdtemp(prefix="scenequery-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests); an error elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else _own_folder(spark.sparkContext.applicationId)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again."""
+    """Cut the lineage: write df as a table in the shared folder and read it again.
+
+    Tables that nobody discards are deleted when the driver's Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/scenequery-{label}-{uuid.uuid4().hex}"
+    _standing[path] = threading.get_ident(), spark._jsc.hadoopConfiguration()
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._saved_path = path
     return again
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by saved() that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(path: str) -> None:
+    _, settings = _standing.pop(path, (0, None))
+    if settings is not None:
+        place = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(settings).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by saved() that nothing reads any more."""
+    for table in tables:
+        _delete(table._saved_path)
+
+
+def standing() -> set[str]:
+    """The tables of saved() that stand now, to be kept by discard_others()."""
+    return set(_standing)
+
+
+def discard_others(keep: set[str], *tables: DataFrame) -> None:
+    """Delete all tables that this thread made by saved() but those in keep and those given."""
+    own = {path for path, (thread, _) in _standing.items() if thread == threading.get_ident()}
+    for path in own - keep - {t._saved_path for t in tables}:
+        _delete(path)
+
+
+@atexit.register
+def _tidy() -> None:
+    for path in list(_standing):
+        with contextlib.suppress(Exception):  # the cluster may be gone by now
+            _delete(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two hashes of all columns of a row; columns that hold maps, which have no hash, count by their JSON."""
+    values = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return [F.xxhash64(F.lit(k), *values) for k in (0, 1)]
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, label: str) -> DataFrame:

@@ -6,13 +6,19 @@ for its host. Likelihoods of declarations and suffixes and the priors are counte
 pages, by the language that the text alone suggests. A host's prior is drawn towards its
 domain's, and that towards all pages', the more strongly the fewer pages it has.
 
+Trigrams of one text overlap and repeat, so that a product over all of a long text would drown
+all other evidence. The whole text is read, and its mean log likelihood a trigram counts as often
+as it has trigrams, up to ``MOST_TRIGRAMS``: a text of 60 trigrams (about ten words) or of 60,000
+weighs as 60.
+
 The trigram model is fitted on labelled documents, at most ``per_language`` of each
 language, those with small hashes.
 
 Defined results: null or empty pages have no text evidence, null addresses no suffix or
 host, and missing declarations none; ties go to the first language in code-point order;
 repeated rows each count and get the same answer; without labelled documents or pages
-there are no rows; extra columns are ignored; very long pages are read whole.
+there are no rows; extra columns are ignored; very long pages are read whole. The driver holds
+one row a language of the labelled documents; languages are meant to be few.
 """
 
 from __future__ import annotations

@@ -52,14 +52,20 @@ TEMPLATES = (
     template("mit", "released under the mit license", "mit license"),
     template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
     template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
+    template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "www apache org licenses license 2 0"),
+    template("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
     template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     template("cc0", "released under cc0 1 0 universal", "cc0 1 0"),
     template("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    template("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "either version 2 of the license"),
+    template("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "either version 3 of the license"),
     template("lgpl", "gnu lesser general public license", "lesser general public license"),
     template("agpl", "gnu affero general public license", "affero general public license"),
     template("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
     template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    template("bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided", "with the distribution this software is provided"),
+    template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
     template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
     template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )

@@ -17,8 +17,8 @@ Places are ordered by doc_id (null first), then by line. Rows are keyed by doc_i
 
 Defined results: null text stays null and empty text empty, and lines without words stay;
 rows that repeat both doc_id and text are one place and all get the same result; an empty
-table gives no rows; other columns pass through, but for one named lines_removed, which is
-written anew; very long texts are handled whole.
+table gives no rows; other columns pass through, and the count's name is a parameter; very
+long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -131,8 +131,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.select("doc_id", "_key", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "_key").agg(F.collect_list("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later copies of repeated line runs deleted from text, and lines_removed."""
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, count_name: str = "lines_removed") -> DataFrame:
+    """docs with the later copies of repeated line runs deleted from text, and the number of lines deleted."""
     gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), "gone")
     # a row travels as one column, so that its own columns' names clash with nothing
     keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("_doc"), F.xxhash64("row.text").alias("_key"))
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = F.split("row.text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
-    row = F.col("row").withField("text", text).withField("lines_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    row = F.col("row").withField("text", text).withField(count_name, F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     return joined.select(row.alias("row")).select("row.*")
 
 

@@ -20,8 +20,8 @@ their hashes, added up over all chunks and sent back, so that a chunk builds the
 automaton that its own texts can reach, however large the model is. The highest order is asked
 for first; what it leaves out is then added up by context along with the next. Keys of two
 tokens and more have 18 bits more than the corpus has characters (48 at least), so that about
-one in a million shares its count with another. The number of ranges grows with the corpus; where more than
-``fan`` chunks ask, they are added up in a tree of so many branches.
+one in a million shares its count with another. The number of ranges grows with the corpus;
+where more than ``fan`` chunks ask, they are added up in a tree of so many branches.
 
 Defined results: a null or empty text is its end token alone; a null doc_id counts as the
 text "", which is held out; repeated rows are trained on and scored as often as they occur;
@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from .common import WordHashes, mixed, read_table, saved
 
 #: Tokens of the longest n-grams; the weight of the lower order for two tokens, and for more; added to the counts of single tokens.
-ORDER, PRIORS, ADDED = 3, (16.0, 4.0), 0.1
+ORDER, PRIORS, ADDED = 3, (16.0, 1.0), 0.1
 #: Occurrences that an n-gram of three tokens and more needs.
 LEAST = 2
 #: Characters of text in a chunk, keys asked for in a range, and chunks added up at once, about.

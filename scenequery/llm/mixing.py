@@ -8,8 +8,13 @@ pseudorandom permutation of the source's block numbers (a new permutation when a
 are used up), and slots and blocks are joined by source and block number.
 
 Defined results: a null text has no words and is never taken; a null source is a source of
-its own, last in the order; repeated rows are mixed as separate documents; an empty table
-gives an empty mix; extra columns are ignored; a very long text spans many blocks.
+its own, last in the order; repeated rows are mixed as separate documents, and so are rows
+that share an id or a text; an empty table gives an empty mix; extra columns pass through; a
+very long text spans many blocks. A source's rows are put in order by a hash of their id, then
+by all their columns, so that only rows alike in every column may change places.
+
+The driver holds one row a source, and a plan of one row a source and shard; the number of
+shards follows the size of the mix. Sources are meant to be few, like a crawl or a collection.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, mixed, read_table, running_total, saved
+from .common import SPACE_WORDS, discard, mixed, read_table, row_hashes, running_total, saved
 
 BLOCK_WORDS = 64
-SHARDS = 64
+#: Output shards of a small mix, and words of the mix in a shard of a large one, about.
+LEAST_SHARDS, SHARD_WORDS = 64, 1 << 28
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix holds, and how often one source may be repeated.
@@ -80,27 +86,34 @@ def shard_counts(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_REPEATS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int | None = None, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_REPEATS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(documents, takes).
 
-    documents: doc_id, row_key, source, size, source_size, target and place, the number of
-    its source's words before it. takes: one row per slot and document in its block: shard,
-    slot, epoch, source, place, row_key, from_word, words.
+    documents: doc_id, key1 and key2 (hashes of the whole row), source, size, source_size,
+    target and place, the number of its source's words before it, so that source and place
+    name a document that has words. takes: one row per slot and document in its block: shard,
+    slot, epoch, source, place, key1, key2, from_word, words. Without ``shards``, there are
+    LEAST_SHARDS, or one for every SHARD_WORDS words.
     """
     spark = docs.sparkSession
+    key1, key2 = row_hashes(docs)
     sized = docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(SPACE_WORDS)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("doc_id", F.lit(seed)).alias("_mixed"),
-        F.xxhash64("doc_id", "text").alias("row_key"),
+        key1.alias("key1"),
+        key2.alias("key2"),
     )
-    placed = saved(running_total(saved(sized, "mix-sizes"), ["source"], ["_mixed", "doc_id", "size"], "size", "place", "mix-sized"), "mix-placed")
+    sized = saved(sized, "mix-sizes")
+    placed = saved(running_total(sized, ["source"], ["_mixed", "doc_id", "size", "key1", "key2"], "size", "place", "mix-sized"), "mix-placed")
+    discard(sized)
     # one row per source: counts only
     totals = sorted(((r["source"], r["n"]) for r in placed.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in totals]
     wanted = targets_for(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
     blocks = np.array([-(-n // block_words) for n in sizes], np.int64)
+    shards = shards or max(LEAST_SHARDS, -(-int(sum(wanted)) // SHARD_WORDS))
     slots, cuts = _slots(sizes, wanted, blocks, block_words, most, seed)
     counts = shard_counts(slots, shards, seed) if len(sizes) else np.zeros((shards, 0), np.int64)
     first = np.cumsum(counts, axis=0) - counts
@@ -125,13 +138,13 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, w
     taken = drawn.mapInPandas(draw, "shard int, slot long, epoch long, _source string, _block long, _words long")
     parts = (
         placed.where("size > 0")
-        .select("source", "place", "size", "row_key", F.explode(F.sequence(F.expr(f"place div {block_words}"), F.expr(f"(place + size - 1) div {block_words}"))).alias("block"))
+        .select("source", "place", "size", "key1", "key2", F.explode(F.sequence(F.expr(f"place div {block_words}"), F.expr(f"(place + size - 1) div {block_words}"))).alias("block"))
     )
     begin = F.greatest("place", F.col("_block") * block_words)
     end = F.least(F.col("place") + F.col("size"), F.col("_block") * block_words + F.col("_words"))
     takes = (
         parts.join(taken.hint("merge"), parts["source"].eqNullSafe(taken["_source"]) & (parts["block"] == taken["_block"]))
-        .select("shard", "slot", "epoch", "source", "place", "row_key", (begin - F.col("place")).alias("from_word"), (end - begin).alias("words"))
+        .select("shard", "slot", "epoch", parts["source"], "place", "key1", "key2", (begin - F.col("place")).alias("from_word"), (end - begin).alias("words"))
         .where("words > 0")
     )
     return documents, takes
@@ -177,12 +190,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     with the white space before each word. n_chars is counted anew where docs has it.
     """
     documents, takes = mix(docs, **options)
-    runs = takes.groupBy("row_key", "source", "place", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_runs"), F.sum("words").alias("_taken"))
-    runs = runs.withColumnRenamed("row_key", "_key").drop("source", "place", "epoch")
-    # a row travels as one column, so that its own columns' names clash with nothing; equal rows share their text
-    rows = docs.select(F.struct("*").alias("row")).withColumn("_same", F.xxhash64("row.doc_id", "row.text")).dropDuplicates(["_same"])
+    runs = takes.groupBy("key1", "key2", "source", "place", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_runs"), F.sum("words").alias("_taken"))
+    runs = runs.drop("source", "place", "epoch")
+    # a row travels as one column, so that its own columns' names clash with nothing; rows alike in every column share their text
+    key1, key2 = row_hashes(docs)
+    rows = docs.select(F.struct("*").alias("row"), key1.alias("_key1"), key2.alias("_key2")).dropDuplicates(["_key1", "_key2"])
     spaced = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    joined = rows.join(runs, F.col("_same") == F.col("_key")).withColumn("_words", spaced)
+    joined = rows.join(runs, (F.col("_key1") == F.col("key1")) & (F.col("_key2") == F.col("key2"))).withColumn("_words", spaced)
     taken = F.flatten(F.transform("_runs", lambda r: F.slice("_words", r["from_word"].cast("int") + 1, r["words"].cast("int"))))
     text = F.when(F.size("_words") == F.col("_taken"), F.col("row.text")).otherwise(F.array_join(taken, ""))
     out = joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")

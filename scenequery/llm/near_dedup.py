@@ -14,8 +14,11 @@ put aside by the estimate with about 3e-7.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked
 with nothing; a text with fewer words than a shingle is one shingle; rows that share a
-doc_id are one document; a null doc_id is linked with nothing, has no component and is
-kept; an empty table gives no rows; extra columns are ignored; very long texts count whole.
+doc_id are one document, so all their texts that have words are linked with each other; a null
+doc_id is linked with nothing, has no component and is kept; an empty table gives no rows;
+extra columns are ignored; very long texts count whole. deduplicated() goes by texts alone: of
+each group of linked texts one row stays, that with the smallest doc_id, so that no text goes
+for another one under its id; of rows alike in id and text it keeps one.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, read_table, saved, shingle_hashes
+from .common import WordHashes, mixed, read_table, row_hashes, saved, shingle_hashes
 from .components import components
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -57,7 +60,7 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (a 128-bit hash of the set) and registers."""
+    """doc_id, text_key (a hash of the text), n_shingles, s1 and s2 (a 128-bit hash of the set) and registers."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,19 +70,26 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
                 sums = [mixed(own ^ np.uint64(k)).sum(dtype=np.uint64).astype(np.int64) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                 rows.append((len(own), *map(int, sums), registers(own).tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_shingles", "s1", "s2", "registers"])
+            own = [batch.column("doc_id"), batch.column("text_key")]
+            yield pa.RecordBatch.from_arrays(own + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "text_key", "n_shingles", "s1", "s2", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, registers binary")
+    return _keyed(docs).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, s1 long, s2 long, registers binary")
 
 
-def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+
+
+def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """id and shingles from id and text."""
+
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = WordHashes()
             own = [shingle_set(x.as_py(), hashes, shingle_words).view(np.int64) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.list_(pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(expand, "id long, shingles array<long>")
+    return texts.select("id", "text").mapInArrow(expand, "id long, shingles array<long>")
 
 
 def band_rows(signed: DataFrame) -> DataFrame:
@@ -134,8 +144,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def links(docs: DataFrame, signed: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Verified links (u, v) between class representatives that connect all that belong together."""
+def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Verified links (u, v) between classes that connect all that belong together.
+
+    signed: a class's number as doc_id, n_shingles and registers; classes: node (that number) and rep, the doc_id and
+    text_key of a row that stands for it.
+    """
     found = saved(band_rows(signed), "bands")
     centre = found.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "doc_id").alias("h"), "doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("members"))
     shared = centre.where("members > 1").select(F.col("bucket").alias("_bucket"), F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("n_centre"), "members")
@@ -143,7 +157,8 @@ def links(docs: DataFrame, signed: DataFrame, shingle_words: int, percent: int)
     members = saved(found.join(shared, F.col("bucket") == F.col("_bucket")).drop("_bucket"), "buckets")
     pairs = members.where((F.col("doc_id") != F.col("centre")) & _sizes_fit("n_shingles", "n_centre", percent)).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     busy = members.select(F.col("doc_id").alias("_busy")).distinct()
-    wanted = docs.join(busy, docs["doc_id"] == busy["_busy"], "left_semi")
+    standing = classes.join(busy, F.col("node") == F.col("_busy")).select(F.col("rep.doc_id").alias("_doc"), F.col("rep.text_key").alias("_text"), F.col("node").alias("id"))
+    wanted = _keyed(docs).join(standing, (F.col("doc_id") == F.col("_doc")) & (F.col("text_key") == F.col("_text")))
     sets = saved(shingle_sets(wanted, shingle_words).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
     linked = saved(_verified(_estimated(pairs, signed, percent), sets, percent), "links")
     first = components(linked)
@@ -247,21 +262,51 @@ def _links_of_large(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return keyed.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id and kept."""
+def grouped(docs: DataFrame, shingle_words: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(signed, classes): signatures() of every row, and of every set s1, s2 and best, the smallest doc_id, node and
+    text_key of its component, and rep, the same of the class itself. by_id: whether the texts of one doc_id are linked."""
     signed = saved(signatures(docs, shingle_words), "signed")
-    filled = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("doc_id") == F.col("rep")))
-    reps = saved(reps.select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"]), "reps")
-    found = links(docs, reps, shingle_words, percent)
+    filled = signed.where("n_shingles > 0 and doc_id is not null").withColumn("node", F.xxhash64("s1", "s2"))
+    classes = saved(filled.groupBy("s1", "s2", "node").agg(F.min(F.struct("doc_id", "node", "text_key")).alias("rep")), "classes")
+    own = classes.select(F.col("node").alias("_node"), "rep")
+    reps = filled.join(own, (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("rep.doc_id")) & (F.col("text_key") == F.col("rep.text_key")))
+    reps = saved(reps.select(F.col("node").alias("doc_id"), "n_shingles", "registers").dropDuplicates(["doc_id"]), "reps")
+    found = links(docs, reps, classes, shingle_words, percent)
+    if by_id:
+        texts = filled.select("doc_id", "node").distinct()
+        several = texts.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("_last")).where("u < _last")
+        several = saved(several.select(F.col("doc_id").alias("_doc"), "u"), "several")
+        found = found.unionByName(texts.join(several, F.col("doc_id") == F.col("_doc")).select("u", F.col("node").alias("v")))
     whole = saved(components(found), "components")
-    named = classes.join(whole, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.coalesce("component", "rep").alias("_component"))
+    placed = whole.unionByName(whole.select(F.col("component").alias("node"), "component").distinct())
+    best = placed.join(own, F.col("node") == F.col("_node")).groupBy("component").agg(F.min("rep").alias("best"))
+    best = saved(best.select(F.col("component").alias("_component"), "best"), "best")
+    joined = classes.join(placed.withColumnRenamed("node", "_placed"), F.col("node") == F.col("_placed"), "left").join(best, F.col("component") == F.col("_component"), "left")
+    return signed, joined.select("s1", "s2", F.coalesce("best", "rep").alias("best"), "rep")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id and kept."""
+    signed, classes = grouped(docs, shingle_words, percent, by_id=True)
+    named = classes.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.col("best.doc_id").alias("_component"))
     rows = signed.select("doc_id", "n_shingles", "s1", "s2")
     joined = rows.join(named, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id")
     return joined.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose text stands for its group of near-duplicates, and those without an id or words."""
+    signed, classes = grouped(docs, shingle_words, percent, by_id=False)
+    chosen = classes.where(F.col("rep") == F.col("best")).select(F.col("rep.doc_id").alias("_doc"), F.col("rep.text_key").alias("_text"))
+    empty = signed.where("n_shingles = 0 and doc_id is not null").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
+    # a row travels as one column, so that its own columns' names clash with nothing
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), row_hashes(docs)[0].alias("_order"))
+    named = keyed.join(chosen.unionByName(empty), (F.col("_id") == F.col("_doc")) & (F.col("_key") == F.col("_text")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_order"))
+    one = named.withColumn("_n", first).where("_n = 1").select("row")
+    return one.unionByName(keyed.where("_id is null").select("row")).select("row.*")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=4)

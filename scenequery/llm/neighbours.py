@@ -7,22 +7,28 @@ gets its exact rank there. A query's window in an ordering is the rows whose ran
 near its own. The windows of all orderings merge, and the rows in them are ranked again by
 their exact cosine on the original vectors.
 
-The window is a stated share of the rows, as recall asks for: vectors that spread evenly
-in many dimensions have no near neighbours that a smaller window would hold.
+How wide windows are is fitted: for a bounded sample of vectors, the nearest are found by
+comparing them with all rows, and windows are made so wide that a stated share of these
+neighbours stands in one of the orderings' windows. Vectors that lie in clusters get narrow
+windows; vectors that spread evenly in many dimensions have no near neighbours that a narrow
+window would hold.
 
-Equal vectors are stored once, with the smallest of their ids that any query can need, so a
-vector repeated many times takes one place in a window.
+Equal vectors are stored and searched for once, with the smallest of their ids that any query
+can need, so a vector repeated many times takes one place in a window.
 
 Defined results: null, empty or zero vectors, vectors with null or non-finite components and
-rows with a null vec_id take no part, neither as query nor as candidate; vectors of another
-length than a query's have no cosine with it, so the commonest length takes part (ties to
-the longest); rows that repeat vec_id and vector count once; an empty table gives no rows;
-extra columns are ignored. A query with fewer candidates than wanted gets all of them.
+rows with a null vec_id take no part, neither as query nor as candidate; vectors of different
+lengths have no cosine, so each length is searched by itself; rows that repeat vec_id and
+vector count once; a vec_id with several vectors has one list, by its nearest vector to each
+other id; an empty table gives no rows; extra columns are ignored. A query with fewer
+candidates than wanted gets all of them that windows hold. Vectors are scaled by a power of
+two before cosines, which changes no digit, so that no square leaves the range of doubles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, running_total, saved
+from .common import discard, read_table, running_total, saved
 
 NEAREST, QUERY_STEP = 5, 50
 ORDERINGS, DIMENSIONS, BITS = 16, 6, 8
-#: Share of all rows in a query's window in each ordering, and its least rows to either side.
-WINDOW_SHARE, LEAST_SIDE = 0.1, 64
+#: Vectors that the width of windows is fitted on, the share of their neighbours that windows must hold, and the least rows to either side.
+FIT_VECTORS, HELD_SHARE, LEAST_SIDE = 64, 0.96, 64
 #: Rows of an ordering that one task compares with the queries near them.
 BLOCK = 4096
 
@@ -68,6 +74,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+@lru_cache(maxsize=4)
 def projections(length: int, orderings: int, dims: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """An orthonormal projection and a shift for each ordering."""
     rng = np.random.default_rng(seed)
@@ -83,78 +90,139 @@ def curve_places(unit: np.ndarray, projection: np.ndarray, shift: np.ndarray, bi
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (doubles), one row per distinct pair of them, of one length."""
+    """vec_id, v (doubles) and n (their number), a row for each row that takes part."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
-    good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 and 0.0 are one vector
-    lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).select("n").first()
-    return good.where(F.size("v") == F.lit(lengths["n"] if lengths else 0))
+    return good.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"), F.size("v").alias("n"))  # -0.0 and 0.0 are one vector
 
 
-def nearest(vectors: DataFrame, k: int = NEAREST, query_step: int = QUERY_STEP, orderings: int = ORDERINGS, window_share: float = WINDOW_SHARE, seed: int = 5) -> DataFrame:
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows brought near 1 by powers of two; neither cosines nor their rounding change."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
+def cosines(q: np.ndarray, v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Cosines in double precision, summed in one order whatever rows stand together."""
+    return np.einsum("ij,j->i", v, q) / (size * np.sqrt(np.einsum("i,i->", q, q)))
+
+
+def sizes_of(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", v, v))
+
+
+def best_of(q: np.ndarray, v: np.ndarray, size: np.ndarray, rough: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cosines of the rows that may be among the ``most`` nearest; rough: their cosines but for rounding."""
+    if len(rough) > most:
+        edge = np.partition(rough, len(rough) - most)[len(rough) - most] - 1e-9
+        places = np.flatnonzero(rough >= edge)
+    else:
+        places = np.arange(len(rough))
+    return places, cosines(q, v[places], size[places])
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in the batch, scaled vectors) for each length of vector."""
+    lengths = np.array([len(x) for x in column])
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        yield at, scaled(flat.reshape(len(at), n))
+
+
+def window_share(named: DataFrame, ranked: DataFrame, counts: DataFrame, k: int, orderings: int, seed: int, sample: int = FIT_VECTORS, held: float = HELD_SHARE) -> float:
+    """How far to either side, as a share of the vectors of a length, windows must reach to hold so many of the sample's neighbours."""
+    picked = named.orderBy(F.xxhash64("top", F.lit(seed)), "top").limit(sample).select("top", "v").collect()  # bounded by the parameter
+    queries = [(r["top"], scaled(np.array([r["v"]]))[0]) for r in picked]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tops = [], batch.column("top").to_numpy()
+            for at, v in _by_length(batch.column("v")) if batch.num_rows else ():
+                size = sizes_of(v)
+                for top, q in queries:
+                    if len(q) == v.shape[1]:
+                        found = cosines(q, v, size)
+                        found[tops[at] == top] = -2.0
+                        rows += [(top, int(tops[at[i]]), float(found[i])) for i in np.argsort(-found)[:k] if found[i] >= -1.5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["q", "near", "s"])
+
+    found = named.select("top", "v").mapInArrow(search, "q long, near long, s double").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "near"))), 1, k).alias("b"))
+    pairs = [(r["q"], b["near"]) for r in found.collect() for b in r["b"]]
+    if not pairs:
+        return 0.0
+    wanted = sorted({x for p in pairs for x in p})
+    rows = ranked.where(F.col("top").isin(wanted)).join(counts, "n").select("top", "ordering", (F.col("at") / F.col("rows")).alias("share")).collect()
+    share = {(r["top"], r["ordering"]): r["share"] for r in rows}
+    nearest = [min(abs(share[a, o] - share[b, o]) for o in range(orderings)) for a, b in pairs]
+    return float(np.quantile(nearest, held, method="higher"))
+
+
+def nearest(vectors: DataFrame, k: int = NEAREST, query_step: int = QUERY_STEP, orderings: int = ORDERINGS, held_share: float = HELD_SHARE, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of every query, its own vec_id apart."""
     rows = saved(usable(vectors), "vectors")
-    first = rows.first()
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if first is None:
-        return empty
-    maps = projections(len(first["v"]), orderings, DIMENSIONS, seed)
-    # k + 1 ids of each vector are enough: a query leaves out one at most. The ids beyond are counted out by windows of equal vectors in id order
-    key = F.xxhash64("v")
-    held = saved(_smallest_ids(rows.withColumn("key", key), k + 1), "distinct")
+    # a query leaves out one id, its own, so that k + 1 ids of each vector are enough
+    named = _smallest_ids(rows.withColumn("key", F.xxhash64("v")), k + 1)
+    named = saved(named.select("v", "ids", F.size("v").alias("n"), F.array_min("ids").alias("id")).withColumn("top", F.xxhash64("v", "id")), "distinct")
+    if named.isEmpty():
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    counts = named.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+    # ids that repeat over vectors may take several places in front
+    several = rows.select("vec_id", F.xxhash64("v").alias("key")).groupBy("vec_id").agg(F.count_distinct("key").alias("m")).agg(F.max("m")).first()[0]
+    most = (k + 1) * several
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([np.array(v) for v in batch.column("v").to_pylist()])
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            for o, (projection, shift) in enumerate(maps):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o, np.int32)), pa.array(curve_places(unit, projection, shift, BITS)), batch.column("top")], ["ordering", "place", "top"])
-
-    # one row per ordering and distinct vector, named by its smallest id
-    named = held.withColumn("top", F.array_min("ids"))
-    placed = named.select("v", "top").mapInArrow(place, "ordering int, place long, top long")
-    ranked = running_total(saved(placed.withColumn("one", F.lit(1).cast("long")), "places"), ["ordering"], ["place", "top"], "one", "at", "curve")
-    n = held.count()
-    side = max(LEAST_SIDE, int(np.ceil(window_share * n / 2)))
-    ranked = saved(ranked.select("ordering", "top", "at").join(named.select("top", "v", "ids"), "top"), "ranked")
-    queries = rows.where(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = queries.join(named.select(F.col("v").alias("_v"), "top"), F.col("q") == F.col("_v")).select("query_id", "q", "top")
-    asked = asked.join(ranked.select("ordering", "at", F.col("top").alias("_top")), F.col("top") == F.col("_top"))
-    low, high = F.greatest(F.col("at") - side, F.lit(0)), F.least(F.col("at") + side, F.lit(n - 1))
-    asked = asked.select("query_id", "q", F.col("ordering").alias("own_ordering"), low.alias("low"), high.alias("high"), F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).alias("own_block"))
-    blocks = ranked.withColumn("block", F.floor(F.col("at") / BLOCK))
+            for at, v in _by_length(batch.column("v")) if batch.num_rows else ():
+                unit, own = v / sizes_of(v)[:, None], batch.column("top").take(pa.array(at))
+                for o, (projection, shift) in enumerate(projections(v.shape[1], orderings, DIMENSIONS, seed)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), v.shape[1], np.int32)), pa.array(np.full(len(v), o, np.int32)), pa.array(curve_places(unit, projection, shift, BITS)), own], ["n", "ordering", "place", "top"])
+
+    placed = named.select("v", "top").mapInArrow(place, "n int, ordering int, place long, top long")
+    places = saved(placed.withColumn("one", F.lit(1).cast("long")), "places")
+    ranked = saved(running_total(places, ["n", "ordering"], ["place", "top"], "one", "at", "curve").select("n", "ordering", "top", "at"), "ranked")
+    discard(places)
+    share = window_share(named, ranked, counts, k, orderings, seed, held=held_share)
+    side = F.greatest(F.ceil(F.col("rows") * share), F.lit(LEAST_SIDE))
+    queries = rows.where(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
+    queries = saved(queries.join(named.select("v", "top"), "v").select("query_id", "top", "v"), "queries")
+    near = queries.select("top", F.col("v").alias("q")).dropDuplicates(["top"]).join(ranked, "top").join(counts, "n")
+    low, high = F.greatest(F.col("at") - side, F.lit(0)), F.least(F.col("at") + side, F.col("rows") - 1)
+    near = near.select("top", "q", F.col("n").alias("own_n"), F.col("ordering").alias("own_ordering"), low.alias("low"), high.alias("high"))
+    near = near.withColumn("own_block", F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor(F.col("high") / BLOCK))))
+    blocks = ranked.withColumn("block", F.floor(F.col("at") / BLOCK)).join(named.select("top", "v", "ids"), "top")
 
     def compare(near: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(near) and len(own):
-            v, at = np.stack(own["v"]), own["at"].to_numpy()
-            size = np.sqrt(np.einsum("ij,ij->i", v, v))
-            ids = own["ids"].to_list()
-            for query, q, low, high in zip(near["query_id"], near["q"], near["low"], near["high"]):
-                inside = np.flatnonzero((at >= low) & (at <= high))
-                cosine = cosines(np.asarray(q), v[inside], size[inside])
-                # k + 1: the query itself may be among the nearest
-                best = np.argpartition(-cosine, min(k, len(cosine) - 1))[: k + 1]
-                edge = cosine[best].min()
-                for i in np.flatnonzero(cosine >= edge) if len(cosine) > k + 1 else best:
-                    out += [(query, x, cosine[i]) for x in ids[inside[i]] if x != query]
-        found = pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-    found = asked.groupBy("own_ordering", "own_block").cogroup(blocks.groupBy("ordering", "block")).applyInPandas(compare, "query_id long, vec_id long, score double").distinct()
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)  # windows times k rows a query at most
-    ordered = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("i", "b"))
+            own = own.sort_values("at")
+            at, ids, v = own["at"].to_numpy(), own["ids"].to_list(), scaled(np.stack(own["v"]))
+            size = sizes_of(v)
+            for start in range(0, len(near), 256):
+                some = near.iloc[start : start + 256]
+                q = scaled(np.stack(some["q"]))
+                rough = q @ v.T / size / sizes_of(q)[:, None]
+                begin, end = np.searchsorted(at, some["low"].to_numpy()), np.searchsorted(at, some["high"].to_numpy(), side="right")
+                for i, (top, a, b) in enumerate(zip(some["top"], begin, end)):
+                    places, scores = best_of(q[i], v[a:b], size[a:b], rough[i, a:b], most)
+                    out += [(top, x, s) for j, s in zip(places, scores) for x in ids[a + j]]
+        found = pd.DataFrame(out, columns=["top", "vec_id", "score"]).astype({"top": "int64", "vec_id": "int64", "score": "float64"})
+        found = found.sort_values(["top", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["top", "vec_id"])
+        return found.groupby("top").head(k + 1)
+
+    found = near.groupBy("own_n", "own_ordering", "own_block").cogroup(blocks.groupBy("n", "ordering", "block")).applyInPandas(compare, "top long, vec_id long, score double").distinct()
+
+    def first(n: int):
+        return F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, n)
+
+    # orderings times windows times k rows a vector at most; then k + 1 rows for each vector of a query
+    lists = found.groupBy("top").agg(first(k + 1).alias("best"))
+    each = queries.select("query_id", "top").join(lists, "top").select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", (-F.col("b.s")).alias("score"))
+    each = each.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ordered = each.groupBy("query_id").agg(first(k).alias("best")).select("query_id", F.posexplode("best").alias("i", "b"))
     return ordered.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 
 
-def cosines(q: np.ndarray, v: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, summed in one order whatever rows stand together."""
-    return np.einsum("ij,j->i", v, q) / (size * np.sqrt(np.einsum("i,i->", q, q)))
-
-
 def _smallest_ids(rows: DataFrame, most: int) -> DataFrame:
     """v and ids, the ``most`` smallest vec_ids of each distinct vector.
 

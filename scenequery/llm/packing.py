@@ -8,7 +8,8 @@ possible count and rises whenever a window exceeds the capacity.
 
 Defined results: a null or empty text is one piece, the closing id alone; repeated rows
 are packed as often as they occur; an empty table gives no rows; extra columns are
-ignored; a very long text gives many full windows.
+ignored; a very long text gives many full windows, and a run of white space that is too long
+for the fast tokenizer's pattern is tokenized by the file's own library.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +61,21 @@ def load_encoder(path: str):
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
     ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     encoding = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the pattern's engine gives up on a run of some 500,000 white spaces
+            return np.array(own_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
+
+
+@lru_cache(maxsize=1)
+def own_library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def cut_points(n: int, window: int, most: int) -> list[tuple[int, int]]:

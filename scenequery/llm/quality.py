@@ -61,15 +61,19 @@ def text_counts(text: str, hashes: WordHashes) -> tuple[int, ...]:
 def rule_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the counts of each document's whole text."""
     docs = docs.select("doc_id", "text")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *_SCHEMA.fields])
+    return _with_counts(docs, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *_SCHEMA.fields]), lambda batch: batch.column("text"))
+
+
+def _with_counts(rows: DataFrame, schema: T.StructType, texts) -> DataFrame:
+    """The first column of rows and the counts of texts(batch)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = WordHashes()
-            rows = np.array([text_counts(x.as_py() or "", hashes) for x in batch.column("text")], np.int64).reshape(-1, len(_SCHEMA))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, rows.T)], schema.names)
+            found = np.array([text_counts(x.as_py() or "", hashes) for x in texts(batch)], np.int64).reshape(-1, len(_SCHEMA))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T)], schema.names)
 
-    return docs.mapInArrow(count, schema)
+    return rows.mapInArrow(count, schema)
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -117,14 +121,13 @@ def anomaly(forest: dict, rows: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(forest["which"]) / forest["norm"])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS, seed: int = 11) -> tuple[DataFrame, dict | None, float]:
-    """Scored counts of every row of docs (doc_id, COUNTS, base_failed, anomaly), the forest and the threshold.
+def fitted(counts: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS, seed: int = 11) -> tuple[DataFrame, dict | None, float]:
+    """Scored rows of a table of rule_statistics() (doc_id, COUNTS, base_failed, anomaly), the forest and the threshold.
 
     The trees see a sample of TREES * SAMPLE rows at most, those with small hashes of
-    their ids, counts and places in the saved table, so that rows of one id, or none, are
+    their ids, counts and places in the table, so that rows of one id, or none, are
     thinned like others; thresholds are counted over all labelled rows.
     """
-    counts = saved(rule_statistics(docs), "rules")
     columns = [*COUNTS, *MORE]
     counts = counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     # rows below a bound that about so many hashes stay under, so that no task sends more than its part
@@ -153,23 +156,26 @@ def scores(forest: dict, counts: np.ndarray) -> np.ndarray:
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, COUNTS, base_failed, anomaly and kept for every row of docs."""
-    scored, _, threshold = fitted(docs, labels, **options)
+    scored, _, threshold = fitted(saved(rule_statistics(docs), "rules"), labels, **options)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that judged() keeps, picked where they lie, without a join."""
-    _, forest, threshold = fitted(docs, labels, **options)
+    """The rows of docs that judged() keeps. Rows are written with their counts, so that texts are counted once and nothing is joined."""
+    rows = docs.select(F.struct("*").alias("row"))
+    schema = T.StructType([*rows.schema.fields, *_SCHEMA.fields])
+    counted = saved(_with_counts(rows, schema, lambda batch: batch.column("row").field("text")), "counted")
+    _, forest, threshold = fitted(counted.select("row.doc_id", *_SCHEMA.names), labels, **options)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = WordHashes()
-            rows = np.array([text_counts(x.as_py() or "", hashes) for x in batch.column("text")], np.int64).reshape(-1, len(_SCHEMA))
-            if len(rows):
-                failed = (rows[:, 0] < 50) | (100 * rows[:, 4] > 50 * rows[:, 0])
-                yield batch.filter(pa.array(~failed & ((scores(forest, rows) if forest else np.zeros(len(rows))) < threshold)))
+            if batch.num_rows:
+                found = np.stack([batch.column(c).to_numpy() for c in _SCHEMA.names], axis=1)
+                failed = (found[:, 0] < 50) | (100 * found[:, 4] > 50 * found[:, 0])
+                low = (scores(forest, found) if forest else np.zeros(len(found))) < threshold
+                yield batch.select(["row"]).filter(pa.array(~failed & low))
 
-    return docs.mapInArrow(pick, docs.schema)
+    return counted.mapInArrow(pick, rows.schema).select("row.*")
 
 
 def threshold_for(scored: DataFrame, labels: DataFrame, good_loss: float) -> float:

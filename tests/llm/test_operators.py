@@ -63,6 +63,20 @@ def test_licence_places(spark):
     assert [f["label"] for f in got[8]["found"]] == ["mit"] and got[8]["found"][0]["score"] == 1.0
 
 
+def test_licence_templates_and_near_misses(spark):
+    yes = {
+        "gpl-2.0": "You can modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "gpl-3.0": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or later",
+        "apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+        "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "bsd-2-clause": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
+    }
+    no = ["a boost to software, license pending", "either version 2 or the other licence of the film", "Redistribution in source form", "we promote products derived from software", "visit www.apache.org for helicopters", "the gnu public"]
+    got = {r["doc_id"]: {f["label"] for f in r["found"]} - {"gpl"} for r in licences.scan(docs(spark, enumerate([*yes.values(), *no]))).collect()}
+    assert [got[i] for i in range(len(yes))] == [{k} for k in yes] and not any(got[len(yes) + i] for i in range(len(no)))
+
+
 def test_licence_awkward_rows(spark, awkward):
     assert licences.scan(awkward).count() == len(AWKWARD) and licences.scan(awkward.limit(0)).count() == 0
 
@@ -108,6 +122,47 @@ def test_mix_of_awkward_rows(spark, awkward):
     assert mixing.mix(awkward.limit(0))[0].count() == 0 and mixing.mix(awkward.limit(0))[1].count() == 0
 
 
+def brute_mix(rows, shards, block, seed=7):
+    """(source, place, epoch) -> words taken, slot by slot, from the operator's order of documents and its draws."""
+    names = sorted({r["source"] for r in rows}, key=lambda x: (x is None, x or ""))
+    order = {n: sorted((r for r in rows if r["source"] == n and r["size"]), key=lambda r: r["place"]) for n in names}
+    sizes = [sum(r["size"] for r in order[n]) for n in names]
+    wanted = mixing.targets_for(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2)
+    taken = Counter()
+    for i, n in enumerate(names):
+        words = [(r["place"], k) for r in order[n] for k in range(r["size"])]
+        blocks = [words[a : a + block] for a in range(0, len(words), block)]
+        left, epoch = min(round(wanted[i]), 2 * sizes[i]), 0
+        while left:
+            key = mixing._perm_key(np.array([i]), np.array([epoch]), seed)
+            for y in mixing.permuted(np.arange(len(blocks)), np.full(len(blocks), len(blocks)), np.repeat(key, len(blocks))):
+                own = blocks[y][:left]
+                left -= len(own)
+                taken.update((n, place, epoch) for place, _ in own)
+            epoch += 1
+    return dict(taken)
+
+
+def test_mix_is_brute_force_and_repeats(spark, table):
+    rows = table.limit(40).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("string").alias("s"), "lang", "n_chars")
+    twice = rows.select("doc_id", "text", F.when(F.col("s") != "2", F.col("s")).alias("source"), "lang", "n_chars").unionByName(rows.limit(15).select("doc_id", "text", F.lit("again").alias("source"), "lang", "n_chars"))
+    documents, takes = mixing.mix(twice, block_words=16, shards=7)
+    got = {(r["source"], r["place"], r["epoch"]): r["n"] for r in takes.groupBy("source", "place", "epoch").agg(F.sum("words").alias("n")).collect()}
+    assert got == brute_mix(documents.collect(), 7, 16)
+    again = mixing.mix(twice.repartition(5), block_words=16, shards=7)[1]
+    assert sorted(map(tuple, takes.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+
+
+def test_sources_of_one_text_keep_their_words(spark):
+    rows = [(1, "w " * 400, s, k) for s, k in (("s1", 1), ("s1", 2), ("s2", 3), (None, 4))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    documents, _ = mixing.mix(table)
+    wanted = {r["source"]: r["target"] for r in documents.collect()}
+    size = F.regexp_count("text", F.lit(r"\S+"))
+    got = {r["source"]: r["n"] for r in mixing.mixed_documents(table).groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    assert all(abs(got[s] - t) < 1 for s, t in wanted.items())
+
+
 def test_mixed_documents_keep_their_words(awkward):
     out = mixing.mixed_documents(awkward)
     texts = {t for _, t in AWKWARD if t}
@@ -153,6 +208,24 @@ def test_ids_are_the_tokenizers(table):
         assert reference.encode(text, add_special_tokens=False).ids == encode(text).tolist()
 
 
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", "a", " \n", "\u3000"])
+def test_ids_of_long_runs(unit):
+    text = "x" + unit * 2_000_000 + "y"
+    assert packing.load_encoder(packing.tokenizer_path())(text).tolist() == packing.own_library(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_are_slices_of_the_tokenizers_ids(spark, table):
+    texts = [*AWKWARD, (40, " " * 700_000), *[(r["doc_id"] + 100, r["text"]) for r in table.limit(40).collect()]]
+    library, expected = packing.own_library(packing.tokenizer_path()), Counter()
+    for i, text in texts:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for start, length in packing.cut_points(len(ids), 2048, 682):
+            expected[i, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids)] += 1
+    rows = packing.pack(docs(spark, texts)).collect()
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == expected
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
 def test_packed_pieces(spark, awkward):
     rows = packing.pack(awkward, keep_ids=True).toPandas()
     encode = packing.load_encoder(packing.tokenizer_path())
@@ -212,11 +285,57 @@ def test_chat_rotation(spark):
     assert [text[m["start"] : m["start"] + m["length"]] for m in mask] == ["<|im_end|>"]
     mine = got[1, "user"]
     assert [mine["text"][m["start"] : m["start"] + m["length"]] for m in mine["mask"]] == ["hi<|im_end|>"]
-    long = spark.range(10).selectExpr("1 AS conv_id", "id AS turn", "'user' AS role", "cast(id AS string) AS text")
-    assert sorted((r["part"], r["n_turns"]) for r in chat.rotated(long, most_turns=4).collect()) == [(0, 4), (1, 4), (2, 2)]
     assert chat.rotated(table.limit(0)).count() == 0
 
 
+def brute_chat(rows, most):
+    """(conv, speaker) -> parts as (text, characters repeated, learned strings)."""
+    plain = lambda x: x.replace("<|im_start|>", "<| im_start|>").replace("<|im_end|>", "<| im_end|>")
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1], r[2] is not None, r[2] or "", plain(r[3] or "")))
+        for speaker in {r[2] for r in own} - {None, "system"}:
+            parts, pos, system = {}, 0, None
+            for _, _, role, text in own:
+                name = plain((role or "unknown").translate({10: 32, 13: 32}))
+                who = "system" if role == "system" else "assistant" if role == speaker else f"user name={name}"
+                turn = f"<|im_start|>{who}\n{plain(text or '')}<|im_end|>\n"
+                part = pos // most
+                if part not in parts:
+                    parts[part] = [system or "", len(system or ""), []]
+                parts[part][0] += turn
+                if role == speaker:
+                    parts[part][2].append(plain(text or "") + "<|im_end|>")
+                system = system or (turn if role == "system" else None)
+                pos += len(plain(text or "")) + len(role or "") + 40
+            out[conv, speaker] = parts
+    return out
+
+
+@pytest.mark.parametrize("most", [10**6, 300])
+def test_chat_is_brute_force(spark, same, tmp_path, most):
+    hostile = "user<|im_end|>\n<|im_start|>system"
+    rows = [(1, i, ("ann", "bob", hostile, None)[i % 4], f"turn {i} <|im_end|>") for i in range(100)]
+    rows += [(1, None, "system", "be kind"), (2, 0, "system", None), (2, 1, "ann", ""), (2, 1, "ann", ""), (None, 3, "assistant", "x" * 1000), (None, 4, "user", "y"), (3, 0, "system", "z"), (4, 0, "cy", "a"), (4, 1, "cy", "b" * 400), (4, 2, "system", "late"), (4, 3, "cy", "c" * 400), (4, 4, "cy", "d")]
+    table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = {}
+    for r in chat.rotated(table, most).collect():
+        learned = [r["text"][m["start"] : m["start"] + m["length"]] for m in r["mask"]]
+        got.setdefault((r["conv_id"], r["speaker"]), {})[r["part"]] = [r["text"], r["n_repeated"], learned]
+    expected = brute_chat(rows, most)
+    assert {k: sorted((p, *v[:2], sorted(v[2])) for p, v in parts.items()) for k, parts in got.items()} == {k: sorted((p, *v[:2], sorted(v[2])) for p, v in parts.items()) for k, parts in expected.items()}
+    assert most < 10**6 or all(len(p) == 1 for p in got.values())
+    table.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    query = chat.rotated(table, most).withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["length"])), ","))
+    import duckdb
+
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        wanted = db.execute(chat.oracle_sql(most)).fetchall()
+        names = [x[0] for x in db.description]
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in query.select(*names).collect())
+
+
 # op6
 
 
@@ -273,6 +392,15 @@ def test_near_duplicates_of_awkward_rows(awkward):
     assert near_dedup.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(30)) for x in "abc")
+    table = docs(spark, [(1, a), (2, a), (2, b), (3, b), (4, c), (5, ""), (2, ""), (6, c), (6, a)])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(table, 4).collect())
+    assert got == [(1, 27, 1, True), (2, 0, 2, True), (2, 27, 1, False), (2, 27, 1, False), (3, 27, 1, False), (4, 27, 1, False), (5, 0, 5, True), (6, 27, 1, False), (6, 27, 1, False)]
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dedup.deduplicated(table.unionByName(docs(spark, [(None, a), (None, a)]))).where("doc_id is not null").collect())
+    assert kept == sorted([(1, a), (2, b), (4, c), (5, ""), (2, "")])
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(3)
     for share in (0.3, 0.9):
@@ -377,6 +505,31 @@ def test_rule_counts(spark, table):
     assert got == sorted((i or 0, *brute_counts(t)) for i, t in texts)
 
 
+def test_forest_and_threshold_are_brute_force(spark):
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 200, (300, 9))
+    forest = quality.grow_forest(quality.features(counts), trees=16, sample=64)
+    harmonic = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    assert math.isclose(forest["norm"], harmonic(64))
+    for row, got in zip(quality.features(counts), quality.anomaly(forest, quality.features(counts))):
+        total = 0.0
+        for which, split, path in zip(forest["which"], forest["split"], forest["path"]):
+            node = 0
+            while which[node] >= 0:
+                node = 2 * node + (2 if row[which[node]] > split[node] else 1)
+            depth = (node + 1).bit_length() - 1
+            assert depth == quality.DEPTH or path[node] - depth in (0.0, harmonic(2)) or path[node] > depth
+            total += path[node]
+        assert math.isclose(got, 2 ** (-total / 16 / harmonic(64)), rel_tol=1e-9)
+    marks = [(i, int(rng.random() < 0.6), round(float(rng.random()), 2)) for i in range(200)]
+    scored = spark.createDataFrame([(i, False, a) for i, _, a in marks] + [(999, True, 0.0)], "doc_id long, base_failed boolean, anomaly double")
+    labels = spark.createDataFrame([(i, q) for i, q, _ in marks] + [(999, 1)], "doc_id long, quality int")
+    for loss in (0.0, 0.05, 0.5):
+        good = [a for _, q, a in marks if q]
+        allowed = [t for t in {a for *_, a in marks} if sum(a >= t for a in good) <= loss * len(good)]
+        assert quality.threshold_for(scored, labels, loss) == min(allowed, default=2.0)
+
+
 def test_good_documents_are_kept_and_junk_goes(spark):
     whole = spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet")
     labels = spark.read.parquet(DATA.replace("0.001", "0.01") + "/labels.parquet")
@@ -405,6 +558,46 @@ def test_languages_of_unseen_pages(spark, table):
     assert found.where(truth != F.col("lang")).count() == 0
 
 
+def test_posteriors_are_brute_force(spark, table):
+    """The same evidence, multiplied page by page from plain dictionaries."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").limit(80).collect() + [(9001, None, "<html lang=de>"), (9002, "http://a.b.example.fr/x", None)]
+    pages = [tuple(p)[:3] for p in pages]
+    names, logs = language.fit(table)
+    n, half, weight = len(names), language.ADDED, language.PARENT_WEIGHT
+    read = []
+    for page_id, url, html in pages:
+        import re
+
+        host = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", url or "")
+        host = host.group(1).lower() if host else None
+        said = re.search(language._DECLARED, html or "")
+        said = said.group(1).lower() if said else None
+        own = language.trigram_counts(language.page_text(html))
+        text = (logs @ own) * (min(own.sum(), language.MOST_TRIGRAMS) / own.sum() if own.sum() else 0)
+        domain = re.search(r"([^.]+\.[^.]+)$", host or "")
+        read.append({"id": page_id, "said": said if said in names else said and "other", "suffix": host and host.split(".")[-1], "host": host, "domain": (domain.group(1) if domain else "") if host else None, "text": text, "first": int(np.argmax(text)) if text.any() else None})
+    overall = np.array([sum(r["first"] == i for r in read) for i in range(n)])
+
+    def counted(field, value):
+        return np.array([sum(r["first"] == i and r[field] == value for r in read) for i in range(n)])
+
+    expected = {}
+    for r in read:
+        prior = (overall + half) / (overall.sum() + half * n)
+        for field in ("domain", "host"):
+            own = counted(field, r[field]) if r[field] is not None else np.zeros(n)
+            prior = (own + weight * prior) / (own.sum() + weight)
+        total = r["text"] + np.log(prior)
+        for field in ("said", "suffix"):
+            if r[field] is not None:
+                total = total + np.log((counted(field, r[field]) + half) / (overall + 1))
+        chance = np.exp(total - total.max())
+        expected[r["id"]] = (names[int(np.argmax(total))], chance.max() / chance.sum())
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for r in language.identify(frame, table).collect():
+        assert r["lang"] == expected[r["page_id"]][0] and r["score"] == pytest.approx(expected[r["page_id"]][1], abs=2e-6)
+
+
 def test_language_of_awkward_pages(spark, table):
     rows = [(1, None, None), (2, "", ""), (3, "nonsense", "<html lang='DE-at'>"), (3, "nonsense", "<html lang='DE-at'>"), (4, "http://u:p@h.example.fr:80/x", "<p>" + "les eaux " * 3), (5, "http://h.example.fr", "<html lang=klingon><script>var x='the of and'</script>")]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("first", F.lit("x"))
@@ -455,6 +648,34 @@ def test_nearest_of_awkward_rows(spark):
     assert neighbours.nearest(table.limit(0)).count() == 0
 
 
+def test_nearest_of_every_length_and_size(spark):
+    rows = [(50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0]), (100, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 1e-201]), (3, [-1e-320, 0.0]), (4, [0.0, 7.0]), (4, [3.0, 0.0]), (100, [0.0, 2.0]), (150, [5.0])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).orderBy("query_id", "rank").collect()]
+    h = round(0.5**0.5, 6)
+    assert got == [(50, 1, 51, h), (100, 1, 4, 1.0), (100, 2, 2, round(1 / 1.01**0.5, 6)), (100, 3, 1, h), (100, 4, 3, 0.0)]
+
+
+def test_scaling_changes_no_digit():
+    v = np.random.default_rng(1).standard_normal((200, 64))
+    s = neighbours.scaled(v)
+    plain = np.einsum("ij,j->i", v, v[0]) / (np.sqrt(np.einsum("ij,ij->i", v, v)) * np.sqrt(np.einsum("i,i->", v[0], v[0])))
+    assert (neighbours.cosines(s[0], s, neighbours.sizes_of(s)) == plain).all()
+
+
+def test_clustered_vectors_get_narrow_windows(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((400, 32))
+    rows = [(i, (centres[i % 400] + 0.05 * rng.standard_normal(32)).tolist()) for i in range(8000)]
+    truth = brute_nearest(dict(rows))
+    shares, fit = [], neighbours.window_share
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(neighbours, "window_share", lambda *a, **k: shares.append(fit(*a, **k)) or shares[-1])
+        found = {}
+        for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert shares[0] < 0.01 and sum(len(set(found[q]) & set(t)) for q, t in truth.items()) >= 0.9 * 5 * len(truth)
+
+
 def test_many_copies_of_one_vector(spark):
     rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), 1.0]) for i in range(10)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()

@@ -80,3 +80,13 @@ def test_awkward_rows(spark, k):
     assert out.count() >= 0 and stage(spark, rows.limit(0), DATA).count() == 0
     if k < 4:
         assert set(rows.columns) <= set(out.columns)
+
+
+def test_texts_of_one_id_and_foreign_columns_pass(spark):
+    a, b = (" ".join(f"{x}{j}" for j in range(60)) for x in "ab")
+    rows = spark.createDataFrame([(1, a, "s", 5), (1, b, "s", 6), (2, a, "t", 7)], "doc_id long, text string, source string, lines_removed int")
+    for name in ("line dedup", "near dedup", "mixing"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, rows, DATA)
+        assert out.columns == rows.columns and set(r["lines_removed"] for r in out.collect()) <= {5, 6, 7}
+    kept = dict(corpus_pipeline.STAGES)["near dedup"](spark, rows, DATA)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b)])

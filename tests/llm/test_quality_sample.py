@@ -14,7 +14,7 @@ def test_sample_is_thinned_by_row(spark, monkeypatch, doc_id):
     texts = [" ".join(f"word{i}x{j % (40 + i)}" for j in range(60 + i)) for i in range(400)]
     docs = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert quality.fitted(docs, labels)[1] is not None
+    assert quality.fitted(quality.rule_statistics(docs), labels)[1] is not None
     assert 32 <= seen[0] <= 64
     assert quality.kept_documents(docs, labels).count() > 0
 
