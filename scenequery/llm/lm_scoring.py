@@ -12,7 +12,9 @@ weight (m + s(h)) / (c(h) + m). An n-gram of three tokens and more is an arc onl
 state's probabilities add up to 1. The root has an arc over every token, of probability
 (c(w) + 0.1) / (N + 0.1 * (V + 1)). An arc leads to the longest context that it ends on and
 that has arcs. A text is read once from left to right: from the state carried so far, failure
-arcs are followed until a state has an arc over the next token, and the weights are added.
+arcs are followed until a state has an arc over the next token, and the weights are added. Before
+each token a text can only be in the states of the contexts that end there, so that the failure
+arcs of these few are followed for all tokens of a chunk at once.
 
 Texts are packed into chunks of bounded size as they are read. A chunk asks for the counts of
 its distinct n-grams, each once, with its own training counts; the keys are dealt by ranges of
@@ -34,6 +36,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mixed, read_table, saved
+from .common import mixed, read_table, saved
 
 #: Tokens of the longest n-grams; the weight of the lower order for two tokens, and for more; added to the counts of single tokens.
 ORDER, PRIORS, ADDED = 3, (16.0, 1.0), 0.1
@@ -51,7 +54,6 @@ LEAST = 2
 #: Characters of text in a chunk, keys asked for in a range, and chunks added up at once, about.
 CHUNK_CHARS, PART_KEYS, FAN = 4_000_000, 3_000_000, 1_000_000
 END, START = np.uint64(0x0E11D0F7E87F0001), np.uint64(0x57A27000000F0001)
-ROOT, AT_START, FIRST_WORD = 0, 1, 2
 
 ASKED = "part long, node long, n long, hashes binary, counts binary, rare binary"
 ANSWERED = "part long, node long, n long, totals binary, rare binary, tokens long, types long"
@@ -78,14 +80,64 @@ class Grams:
     at: np.ndarray
 
 
+#: A word's hash is the sum of its bytes' numbers times powers of an odd number, A-Z counting as a-z.
+_POWER = 0x9E3779B97F4A7C15
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
+#: Bytes that are hashed at once, about.
+_STRETCH = 1 << 18
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, and those of the inverse, modulo 2**64."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)], dtype=np.uint64) for x in (_POWER, pow(_POWER, -1, 2**64)))
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of every word of some bytes."""
+    blank = np.r_[True, _SPACE[data], True]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, stops = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(stops, starts[i] + _STRETCH, side="right")))
+        low, n = starts[i], int(stops[j - 1] - starts[i])
+        powers, inverse = _powers(max(_STRETCH, 1 << n.bit_length()) + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data[low : low + n]] * powers[:n], out=sums[1:])
+        out[i:j] = (sums[stops[i:j] - low] - sums[starts[i:j] - low]) * inverse[starts[i:j] - low]
+        i = j
+    return starts, mixed(out)
+
+
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, every text's end included, and the place after each text's end."""
-    hashes, own, sizes = WordHashes(), [], []
-    for text in texts:
-        tokens = hashes.of(text.lower().split())
-        own += [tokens, [END]]
-        sizes.append(len(tokens) + 1)
-    return np.concatenate(own).astype(np.uint64) if own else np.empty(0, np.uint64), np.cumsum(np.array(sizes, np.int64))
+    after = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    starts, words = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+    own = np.searchsorted(after, starts, side="right")  # the text of each word
+    ends = np.searchsorted(starts, after) + np.arange(1, len(texts) + 1)
+    tokens = np.full(len(words) + len(texts), END)
+    tokens[np.arange(len(words)) + own] = words
+    return tokens, ends
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, a place of each, and the number of each place's key."""
+    # sorting whole numbers is ten times as fast as sorting places by them, so the place takes the low bits
+    n, up = np.uint64(len(keys).bit_length()), np.uint64(64 - int(keys.max(initial=1)).bit_length())
+    order = (np.sort(keys << up >> n << n | np.arange(len(keys), dtype=np.uint64)) & ((np.uint64(1) << n) - np.uint64(1))).astype(np.int64)
+    along = keys[order]
+    if (along[1:] < along[:-1]).any():  # keys that differ in the low bits only
+        order = np.argsort(keys)
+        along = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = along[1:] != along[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return along[new], order[new], number
 
 
 def grams_of(tokens: np.ndarray, ends: np.ndarray, training: np.ndarray, order: int, bits: int) -> list[Grams]:
@@ -102,7 +154,7 @@ def grams_of(tokens: np.ndarray, ends: np.ndarray, training: np.ndarray, order:
             if k == 2:
                 before[first] = START
             run = mixed(before * np.uint64(0x9E3779B97F4A7C15) + single)
-        keys, where, number = np.unique(run[there] >> np.uint64(64 - bits if k > 1 else 0), return_index=True, return_inverse=True)
+        keys, where, number = distinct(run[there] >> np.uint64(64 - bits if k > 1 else 0))
         at = np.full(len(tokens), -1, np.int64)
         at[there] = number
         where = there[where]
@@ -158,17 +210,20 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
 
 
-def totals(asked: DataFrame, nodes: int, parts: int, bits: int, fan: int) -> DataFrame:
-    """ANSWERED: the corpus's counts of all keys asked for, in the asking row's order, with the sum and number of the range's tokens."""
+def totals(asked: DataFrame, lengths: tuple[int, ...], nodes: int, parts: int, bits: int, fan: int) -> DataFrame:
+    """ANSWERED: the corpus's counts of the n-grams of these lengths that are asked for, in the asking row's order, with
+    the sum and number of the range's tokens."""
 
     def merged(table: pa.Table) -> tuple[list[np.ndarray], list[int], np.ndarray, np.ndarray, np.ndarray]:
         sizes, low = table["n"].to_pylist(), _low(table["part"][0].as_py(), parts, bits)
         hashes = [np.cumsum(widened(x, n), dtype=np.uint64) + np.uint64(low) for x, n in zip(table["hashes"].to_pylist(), sizes)]
-        distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([widened(x, n) for x, n in zip(table[c].to_pylist(), sizes)]), len(distinct)).astype(np.int64) for c in ("counts", "rare")]
-        return hashes, sizes, at, distinct, np.stack(sums)
+        keys, _, at = distinct(np.concatenate(hashes))
+        sums = [np.bincount(at, np.concatenate([widened(x, n) for x, n in zip(table[c].to_pylist(), sizes)]), len(keys)).astype(np.int64) for c in ("counts", "rare")]
+        return hashes, sizes, at, keys, np.stack(sums)
 
     def add_up(table: pa.Table) -> pa.Table:
+        if table["part"][0].as_py() // parts + 1 not in lengths:
+            return _table([], ANSWERED)
         _, sizes, at, _, sums = merged(table)
         found = np.split(sums[:, at], np.cumsum(sizes)[:-1], axis=1)
         numbers = (int(sums[0].sum()), int((sums[0] > 0).sum()))
@@ -176,21 +231,24 @@ def totals(asked: DataFrame, nodes: int, parts: int, bits: int, fan: int) -> Dat
 
     def lift(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        _, _, _, distinct, sums = merged(table)
-        return _table([(part, table["up"][0].as_py(), len(distinct), _steps(distinct, _low(part, parts, bits)), *map(squeezed, sums))], ASKED)
+        _, _, _, keys, sums = merged(table)
+        return _table([(part, table["up"][0].as_py(), len(keys), _steps(keys, _low(part, parts, bits)), *map(squeezed, sums))], ASKED)
 
     def hand_down(table: pa.Table, above: pa.Table) -> pa.Table:
-        hashes, sizes, _, distinct, _ = merged(table)
-        [row] = above.to_pylist()
-        sums = [widened(row[c], len(distinct)) for c in ("totals", "rare")]
-        own = [np.searchsorted(distinct, h) for h in hashes]
+        rows = above.to_pylist()  # one, or none of a length that nobody wants
+        if not rows:
+            return _table([], ANSWERED)
+        [row] = rows
+        hashes, sizes, _, keys, _ = merged(table)
+        sums = [widened(row[c], len(keys)) for c in ("totals", "rare")]
+        own = [np.searchsorted(keys, h) for h in hashes]
         return _table([(row["part"], node, n, *(squeezed(s[i]) for s in sums), row["tokens"], row["types"]) for node, n, i in zip(table["node"].to_pylist(), sizes, own)], ANSWERED)
 
     if nodes <= fan:
         return asked.groupBy("part").applyInArrow(add_up, ANSWERED)
     groups = -(-nodes // fan)
     dealt = saved(asked, "lm-asked").withColumn("up", F.pmod(F.xxhash64("node"), F.lit(groups)))
-    above = totals(dealt.groupBy("part", "up").applyInArrow(lift, ASKED), groups, parts, bits, fan)
+    above = totals(dealt.groupBy("part", "up").applyInArrow(lift, ASKED), lengths, groups, parts, bits, fan)
     return dealt.groupBy("part", "up").cogroup(above.groupBy("part", "node")).applyInArrow(hand_down, ANSWERED)
 
 
@@ -199,29 +257,53 @@ def totals(asked: DataFrame, nodes: int, parts: int, bits: int, fan: int) -> Dat
 
 @dataclass
 class Automaton:
-    """arcs: number of the arc from a state over a token, by state * tokens + token; each arc's weight and target;
-    each state's failure arc."""
-
-    tokens: int
-    arcs: dict[int, int]
-    weight: list[float]
-    target: list[int]
-    failure_weight: list[float]
-    failure_target: list[int]
-
-    def score(self, text: list[int]) -> float:
-        """log10 of the probability of a text, read once from left to right."""
-        arcs, weight, target, failure_weight, failure_target, tokens = self.arcs.get, self.weight, self.target, self.failure_weight, self.failure_target, self.tokens
-        total, state = 0.0, AT_START
-        for token in text:
-            arc = arcs(state * tokens + token)
-            while arc is None:
-                total += failure_weight[state]
-                state = failure_target[state]
-                arc = arcs(state * tokens + token)
-            total += weight[arc]
-            state = target[arc]
-        return total
+    """A chunk's part of the model. A state is a context, numbered among the chunk's n-grams of its length; that of length
+    0 is the root. The lists go by length: the arc onto an n-gram leaves the state of its context, over its last token."""
+
+    #: Of each n-gram of 1, 2, ... tokens: whether it is an arc, its weight, and the length of the state that it leads to.
+    is_arc: list[np.ndarray]
+    weight: list[np.ndarray]
+    leads_to: list[np.ndarray]
+    #: Of each context of 1, 2, ... tokens: the failure arc's weight, and the length of the state that it leads to.
+    failure_weight: list[np.ndarray]
+    fails_to: list[np.ndarray]
+    #: The failure arc, to the root, of the state at a text's start.
+    start_weight: float
+
+    def moves(self, grams: list[Grams], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[length of state, token]: weight and length of the state reached, along failure arcs until a state has an arc over the token."""
+        first, every = np.r_[0, ends[:-1]], np.arange(ends[-1])
+        weight, reached = np.zeros((len(grams), ends[-1])), np.zeros((len(grams), ends[-1]), np.uint8)
+        weight[0], reached[0] = self.weight[0][grams[0].at], self.leads_to[0][grams[0].at]
+        for k in range(1, len(grams)):
+            gram, state = grams[k].at, np.r_[-1, grams[k - 1].at[:-1]]
+            if k == 1:
+                state[first] = -1
+            back = np.where(state >= 0, self.fails_to[k - 1][state], 0)
+            failure = np.where(state >= 0, self.failure_weight[k - 1][state], self.start_weight)
+            arc = (gram >= 0) & self.is_arc[k][gram]
+            weight[k] = np.where(arc, self.weight[k][gram], failure + weight[back, every])
+            reached[k] = np.where(arc, self.leads_to[k][gram], reached[back, every])
+        return weight, reached
+
+    def scores(self, grams: list[Grams], ends: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each text, read once from left to right, carrying the state."""
+        weight, reached = self.moves(grams, ends)
+        path = walked(np.ascontiguousarray(reached.T).tobytes(), len(grams), ends.tolist())
+        return np.add.reduceat(weight[np.frombuffer(path, np.uint8), np.arange(ends[-1])], np.r_[0, ends[:-1]])
+
+
+def walked(reached: bytes, order: int, ends: list[int]) -> bytearray:
+    """The state from which each token is read, as its length; a text begins at its start's, of length 1."""
+    path, begin = bytearray(), 0
+    put = path.append
+    for end in ends:
+        state = 1
+        for at in range(begin * order, end * order, order):
+            put(state)
+            state = reached[at + state]
+        begin = end
+    return path
 
 
 def automaton(grams: list[Grams], counts: list[np.ndarray], rare: list[np.ndarray], n_texts: int, n_train: int, n_types: int, priors: tuple = PRIORS, least: int = LEAST) -> Automaton:
@@ -229,34 +311,27 @@ def automaton(grams: list[Grams], counts: list[np.ndarray], rare: list[np.ndarra
 
     rare: by n-gram, what its continuations below ``least`` occurrences hold together.
     """
-    order, tokens = len(grams), len(grams[0].keys)
-    starts = np.cumsum([FIRST_WORD, *(len(g.keys) for g in grams[:-1])])  # the first state of each length of context
+    order = len(grams)
     p = (counts[0] + ADDED) / (n_train + ADDED * (n_types + 1))
-    # by n-gram, the state that a history ending on it is in: its own, if it has arcs, else that of the n-gram without its first token
-    states = [np.where(counts[0] > 0, starts[0] + np.arange(tokens), ROOT)]
-    keys, weight, target = [np.arange(tokens)], [p], [states[0]]
-    failure_weight, failure_target = [np.array([1.0, priors[0] / (n_texts + priors[0])])], [np.array([ROOT, ROOT])]
+    # the state that a history ending on an n-gram is in: the n-gram's own, if it has arcs, else that of the n-gram without its first token
+    reached = (counts[0] > 0).astype(np.uint8)
+    out = Automaton([np.ones(len(p), bool)], [np.log10(p)], [reached], [], [], float(np.log10(priors[0] / (n_texts + priors[0]))))
     for k in range(2, order + 1):
         g, below, beyond = grams[k - 1], counts[k - 2], rare[k - 2]
         prior = priors[min(k - 2, len(priors) - 1)]
-        failure_weight.append((prior + beyond) / (below + prior))
-        failure_target.append(states[k - 3][grams[k - 2].shorter] if k > 2 else np.full(tokens, ROOT))
+        out.failure_weight.append(np.log10((prior + beyond) / (below + prior)))
+        out.fails_to.append(out.leads_to[k - 3][grams[k - 2].shorter] if k > 2 else np.zeros(len(below), np.uint8))
         known = g.context >= 0
         total, left = np.where(known, below[g.context], n_texts), prior + np.where(known, beyond[g.context], 0)
         is_arc = counts[k - 1] >= (least if k > 2 else 1)
-        p = np.where(is_arc, (counts[k - 1] + left * p[g.shorter]) / (total + prior), 0.0)
-        own = states[k - 2][g.shorter]
+        p = np.where(is_arc, (counts[k - 1] + left * p[g.shorter]) / (total + prior), 1.0)
+        reached = reached[g.shorter]
         if k < order:
-            own = np.where(counts[k - 1] > rare[k - 1], starts[k - 1] + np.arange(len(g.keys)), own)
-            states.append(own)
-        keys.append((np.where(known, starts[k - 2] + g.context, AT_START) * tokens + g.last)[is_arc])
-        weight.append(p[is_arc])
-        target.append(own[is_arc])
-    numbers = np.concatenate(keys).tolist()
-    return Automaton(
-        tokens, dict(zip(numbers, range(len(numbers)))), np.log10(np.concatenate(weight)).tolist(), np.concatenate(target).tolist(),
-        np.log10(np.concatenate(failure_weight)).tolist(), np.concatenate(failure_target).tolist(),
-    )
+            reached = np.where(counts[k - 1] > rare[k - 1], k, reached).astype(np.uint8)
+        out.is_arc.append(is_arc)
+        out.weight.append(np.log10(p))
+        out.leads_to.append(reached)
+    return out
 
 
 # the job
@@ -334,14 +409,14 @@ def scored(docs: DataFrame, order: int = ORDER, priors: tuple = PRIORS, least: i
 
         return run
 
-    answers = totals(chunks.groupBy("node").applyInArrow(ask, ASKED), nodes, parts, bits, fan)
-    words = answers.where(F.col("part") < parts).groupBy("part").agg(F.first("tokens").alias("tokens"), F.first("types").alias("types"))
+    asked, sizes = chunks.groupBy("node").applyInArrow(ask, ASKED), (nodes, parts, bits, fan)
+    words = totals(asked, (1,), *sizes).groupBy("part").agg(F.first("tokens").alias("tokens"), F.first("types").alias("types"))
     corpus = words.agg(F.sum("tokens").alias("n_train"), F.sum("types").alias("n_types"))  # one row
-    every, last = answers, answers
+    every = totals(asked, (1, order), *sizes)
     for k in range(order - 1, 1, -1):
-        known = last.where(F.expr(f"part div {parts} = {k}")).select("part", "node", "n", "totals", "rare")
-        last = totals(chunks.groupBy("node").cogroup(known.groupBy("node")).applyInArrow(ask_next(k), ASKED), nodes, parts, bits, fan)
-        every = every.unionByName(last)
+        known = totals(asked, (k + 1,), *sizes).select("part", "node", "n", "totals", "rare")
+        asked = chunks.groupBy("node").cogroup(known.groupBy("node")).applyInArrow(ask_next(k), ASKED)
+        every = every.unionByName(totals(asked, (k,), *sizes))
     every = every.drop("tokens", "types").crossJoin(F.broadcast(corpus))
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     schema = T.StructType([id_field, T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -354,10 +429,8 @@ def scored(docs: DataFrame, order: int = ORDER, priors: tuple = PRIORS, least: i
         word, first = grams[0].at, np.r_[0, ends[:-1]]
         base = np.log10((counts[0][word] + ADDED) / (n_train + ADDED * (n_types + 1)))
         n_known, base = (np.add.reduceat(x, first) for x in ((counts[0][word] > 0).astype(np.int64), base))
-        model = automaton(list(grams), list(counts), list(rare), int(counts[0][word[ends[0] - 1]]), n_train, n_types, priors, least)
-        numbers = word.tolist()
-        own = [model.score(numbers[a:b]) for a, b in zip(first.tolist(), ends.tolist())]
-        columns = [pa.array(ids, table.schema.field("ids").type.value_type), pa.array(~training), pa.array(ends - first), pa.array(n_known), pa.array(np.full(len(ids), n_train)), pa.array(base), pa.array(own, pa.float64())]
+        model = automaton(grams, list(counts), list(rare), int(counts[0][word[ends[0] - 1]]), n_train, n_types, priors, least)
+        columns = [pa.array(ids, table.schema.field("ids").type.value_type), pa.array(~training), pa.array(ends - first), pa.array(n_known), pa.array(np.full(len(ids), n_train)), pa.array(base), pa.array(model.scores(grams, ends))]
         return pa.table(dict(zip(schema.names, columns)))
 
     return chunks.groupBy("node").cogroup(every.groupBy("node")).applyInArrow(score, schema)

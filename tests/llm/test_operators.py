@@ -476,6 +476,31 @@ def test_scores_of_an_empty_table_and_repeated_rows(spark):
     assert {r["train_tokens"] for r in lm_scoring.scored(same, chunk_chars=40).collect()} == {1500}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abAB\u00e9\u00c9 \t\n\x0b\x1f\x00\u00a0", max_size=12), min_size=1, max_size=6))
+def test_tokens_are_words_and_ends(texts):
+    raw = [t.encode() for t in texts]
+    tokens, ends = lm_scoring.tokens_of(raw)
+    expected = [w for t in raw for w in [*t.lower().split(), None]]
+    assert len(tokens) == len(expected) and ends.tolist() == np.cumsum([len(t.split()) + 1 for t in raw]).tolist()
+    assert len({(int(x), w) for x, w in zip(tokens, expected)}) == len(set(tokens.tolist())) == len(set(expected))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 40), st.integers(2**64 - 40, 2**64 - 1), st.integers(0, 2**64 - 1)), max_size=60))
+def test_distinct_keys(values):
+    keys = np.array(values, np.uint64)
+    own, where, number = lm_scoring.distinct(keys)
+    assert own.tolist() == sorted(set(values)) and (keys[where] == own).all() and (own[number] == keys).all()
+
+
+def test_long_stretches_of_words_have_the_same_hashes(monkeypatch):
+    text = " ".join(f"word{i % 50}" for i in range(5000)).encode() + b" " + b"x" * 900
+    whole = lm_scoring.tokens_of([text])[0]
+    monkeypatch.setattr(lm_scoring, "_STRETCH", 64)
+    assert (lm_scoring.tokens_of([text])[0] == whole).all()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(2**60, 2**61 - 1), unique=True, max_size=40))
 def test_squeezed_keys_come_back(values):
