@@ -56,3 +56,10 @@ def json_safe(x: Column | str) -> Column:
 
 def slash_path(path: Column | str) -> Column:
     return F.replace(col(path), F.lit("\\"), F.lit("/"))
+
+
+def merged(left: Column | str, right: Column | str) -> Column:
+    """Two maps as one; where both have a key, the right one's value counts."""
+    a, b = col(left), col(right)
+    kept = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
+    return F.map_concat(kept, b)

@@ -17,17 +17,43 @@ def available_colors(points: DataFrame) -> DataFrame:
     return points.groupBy("question_id").agg(F.collect_set("color").alias("available"), F.map_from_entries(F.collect_list(F.struct("color", "camera_xyz"))).alias("xyz"))
 
 
+#: Columns of a benchmark row that refer to points, objects or regions without their answer.
+REFERENCES = ("points", "point", "point_annotations", "objects", "object_annotations", "regions")
+
+
+def has_reference(rows: DataFrame) -> Column:
+    """Whether any of REFERENCES that the rows have is neither null nor an empty list or map."""
+    kinds = dict(rows.dtypes)
+    there = [F.col(c).isNotNull() & (F.size(c) > 0 if kinds[c].startswith(("array", "map")) else F.lit(True)) for c in REFERENCES if c in kinds]
+    return F.exists(F.array(*there), lambda x: x) if there else F.lit(False)
+
+
 def task_status(questions: DataFrame, points: DataFrame) -> DataFrame:
-    """status and reason of every question: whether its markers, or any, are there."""
+    """status and reason of every question: whether its markers, or any, or another reference are there."""
     joined = questions.join(available_colors(points), "question_id", "left")
     available = F.coalesce("available", F.array().cast("array<string>"))
     required = required_colors("question")
     lacks = F.size(F.array_except(required, available)) > 0
-    bare = F.col("task").rlike(r"_o[co]\s*$") & (F.size(available) == 0)
+    bare = F.col("task").rlike(r"_o[co]\s*$") & (F.size(available) == 0) & ~has_reference(questions)
     reason = F.when(lacks, "required_marker_missing").when(bare, "no_point_or_object_reference")
     return joined.select(*questions.columns, required.alias("required"), F.array_sort(available).alias("available"), F.coalesce("xyz", F.create_map().cast("map<string,array<double>>")).alias("xyz"), F.when(reason.isNull(), "available").otherwise("geometry_unavailable").alias("status"), reason.alias("reason"))
 
 
+def geometry_records(status: DataFrame, views: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One record a question: its status, its views in order with their depth, markers and relations, and how many views have depth.
+
+    status: task_status(); views: question_id, view, depth_valid and more; points and pairs: by question_id and view.
+    """
+    keys = ["question_id", "view"]
+    marks = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "color", "px", "py", "depth", "camera_xyz"))).alias("markers"))
+    related = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pair", "euclidean_distance", "depth_difference"))).alias("marker_relations"))
+    each = views.join(marks, keys, "left").join(related, keys, "left")
+    one = F.struct("view", *[c for c in views.columns if c not in keys], "markers", "marker_relations")
+    whole = each.groupBy("question_id").agg(F.array_sort(F.collect_list(one)).alias("views"), F.count(F.lit(1)).alias("view_count"), F.count_if("depth_valid").alias("available_view_count"))
+    kept = status.select("question_id", "task", F.col("status").alias("task_geometry_status"), "required", F.col("reason").alias("unavailable_reason"))
+    return kept.join(whole, "question_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("view_count", "available_view_count")})
+
+
 def label_conflict() -> Column:
     """Whether the gold option names another colour than the distances say."""
     red, green, blue = (F.try_element_at("xyz", F.lit(c)) for c in ("red", "green", "blue"))

@@ -47,9 +47,16 @@ def first_relation(pairs: DataFrame) -> DataFrame:
     return numbered.where("_n = 1").select("image", "_low", "_high", F.col("label_a").alias("_label_a"), "depth_relation")
 
 
-def _first_greatest(label: list[Column], score: list[Column]) -> Column:
+def labels_seen(geometry: DataFrame) -> DataFrame:
+    """image and seen: its labels in the order of their first object, each with the evidence of its last."""
+    fields = ("closeness_score", "relative_depth_median", "mask_area_fraction", "vertical_position", "depth_order_hint")
+    one = geometry.groupBy("image", "label").agg(F.min("ord").alias("first"), F.max_by(F.struct(*fields), "ord").alias("o"))
+    return one.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("first", "label", "o"))).alias("seen"))  # the labels of one image
+
+
+def _first_greatest(labels: Column, score) -> Column:
     """The label of the greatest score, the first of equals; unknown without scores."""
-    entries = F.filter(F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), n.alias("n")) for i, (n, s) in enumerate(zip(label, score))]), lambda e: e["s"].isNotNull() & e["n"].isNotNull())
+    entries = F.filter(F.transform(labels, lambda n, i: F.struct((-score(n)).alias("s"), i.alias("i"), n.alias("n"))), lambda e: e["s"].isNotNull())
     return F.coalesce(F.array_min(entries)["n"], F.lit("unknown"))
 
 
@@ -57,41 +64,40 @@ def rule_answers(questions: DataFrame, geometry: DataFrame, pairs: DataFrame, hi
     """prediction, source, confidence, correct and error_reason of every question.
 
     questions: question_id, image, type, targets, answer (and acceptable_answers, if any).
-    Depth questions follow the relation of the two labels, else their closeness scores, else
-    their median depths; size questions the larger mask; support questions a score of size,
-    height and nearness.
+    Depth questions follow the relation of the first two labels, else their closeness scores, else
+    their median depths; size questions the largest mask of all targets; support questions a score of
+    size, height and nearness over all targets, or over all labels of the image without targets.
     """
-    asked = missing_targets(questions, geometry).withColumn("_a", F.get("targets", F.lit(0))).withColumn("_b", F.get("targets", F.lit(1)))
-    fields = ("closeness_score", "relative_depth_median", "mask_area_fraction", "vertical_position", "depth_order_hint")
-    last = last_by_label(geometry).select("image", "label", F.struct(*fields).alias("o"))
-    for side in "ab":
-        own = last.select("image", F.col("label").alias(f"_{side}"), F.col("o").alias(f"_o{side}"))
-        asked = asked.join(own, ["image", f"_{side}"], "left")
+    asked = questions.join(labels_seen(geometry).withColumnRenamed("seen", "_seen"), "image", "left")
+    nothing = F.array().cast("array<string>")
+    shown = F.coalesce(F.transform("_seen", lambda s: s["label"]), nothing)
+    targets = F.coalesce("targets", nothing)
+    asked = asked.withColumn("missing", F.filter(targets, lambda t: ~F.coalesce(F.array_contains(shown, t), F.lit(False))))
+    asked = asked.withColumn("_a", F.get("targets", F.lit(0))).withColumn("_b", F.get("targets", F.lit(1)))
     asked = asked.withColumn("_low", F.least("_a", "_b")).withColumn("_high", F.greatest("_a", "_b"))
     asked = asked.join(first_relation(pairs), ["image", "_low", "_high"], "left")
     a, b = F.col("_a"), F.col("_b")
+    of = lambda label: F.get(F.filter("_seen", lambda s: s["label"] == label), F.lit(0))["o"]
     relation = F.when(F.col("_label_a") == a, F.col("depth_relation")).otherwise(inverted("depth_relation"))
 
     def closer(field: str, up: bool = True) -> Column:
-        x, y = F.col(f"_oa.{field}"), F.col(f"_ob.{field}")
+        x, y = of(a)[field], of(b)[field]
         return F.when(x.isNull() | y.isNull(), F.lit(None).cast("string")).when(F.abs(x - y) <= 1e-6, "unknown").when((x > y) if up else (x < y), a).otherwise(b)
 
     def answer(label: Column, source: str, confidence: float) -> Column:
         return F.struct(label.alias("label"), F.lit(source).alias("source"), F.when(label == "unknown", 0.0).otherwise(confidence).alias("confidence"))
 
+    def support(label: Column) -> Column:
+        o = of(label)
+        score = F.least(F.coalesce(o["mask_area_fraction"], F.lit(0.0)) * 4.0, F.lit(1.0))
+        return score + F.when(o["vertical_position"].isin("middle", "bottom"), 0.5).otherwise(0.0) + F.when(o["depth_order_hint"].isin("middle", "near"), 0.25).otherwise(0.0)
+
     by_relation = F.when(relation == "closer_than", a).when(relation == "farther_than", b)
     by_score, by_depth = closer("closeness_score"), F.coalesce(closer("relative_depth_median", higher_is_closer), F.lit("unknown"))
     depth = F.when(by_relation.isNotNull(), answer(by_relation, "pairwise_closeness_relation", 0.9)).when(by_score.isNotNull(), answer(by_score, "closeness_score", 0.7)).otherwise(answer(by_depth, "relative_depth_median", 0.7))
-    area = answer(_first_greatest([a, b], [F.col("_oa.mask_area_fraction"), F.col("_ob.mask_area_fraction")]), "mask_area_fraction", 0.7)
-
-    def support(side: str) -> Column:
-        o = F.col(f"_o{side}")
-        score = F.least(F.coalesce(o["mask_area_fraction"], F.lit(0.0)) * 4.0, F.lit(1.0))
-        score = score + F.when(o["vertical_position"].isin("middle", "bottom"), 0.5).otherwise(0.0) + F.when(o["depth_order_hint"].isin("middle", "near"), 0.25).otherwise(0.0)
-        return F.when(F.col(f"_{side}").isNotNull(), score)
-
-    held = answer(_first_greatest([a, b], [support("a"), support("b")]), "support_heuristic", 0.45)
-    two = F.size("targets") >= 2
+    area = answer(_first_greatest(targets, lambda t: of(t)["mask_area_fraction"]), "mask_area_fraction", 0.7)
+    held = answer(_first_greatest(F.when(F.size(targets) > 0, targets).otherwise(shown), support), "support_heuristic", 0.45)
+    two = F.size(targets) >= 2
     unknown = lambda source: answer(F.lit("unknown"), source, 0.0)
     found = (
         F.when(F.size("missing") > 0, unknown("none"))

@@ -73,12 +73,13 @@ def models(results: DataFrame, by: list[str]) -> DataFrame:
 
 
 def aligned(results: DataFrame, tracks: tuple[str, ...], terms: tuple[str, ...] = ("metric", "unit", "tolerance")) -> DataFrame:
-    """One row a question with each track's prediction and correct, and whether all tracks have it on the same terms."""
+    """One row a question with each track's prediction and correct, whether every track has it once, and whether on the same terms."""
     own = [F.max(F.when(F.col("track") == t, F.struct(F.col("prediction"), right().alias("correct")))).alias(t) for t in tracks]
     n, kinds = F.count(F.lit(1)), F.count_distinct(F.struct(*terms))
-    rows = results.groupBy("question_id").agg(*own, (n == len(tracks)).alias("complete"), (kinds == 1).alias("same_terms"), F.any_value("type").alias("type"))
+    rows = results.groupBy("question_id").agg(*own, (n == len(tracks)).alias("_once"), (kinds == 1).alias("same_terms"), F.any_value("type").alias("type"))
     flat = [F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in tracks for c in ("prediction", "correct")]
-    return rows.select("question_id", "type", "complete", "same_terms", *flat)
+    complete = F.col("_once") & F.forall(F.array(*[F.col(t).isNotNull() for t in tracks]), lambda there: there)
+    return rows.select("question_id", "type", complete.alias("complete"), "same_terms", *flat)
 
 
 def pair_outcomes(rows: DataFrame, tracks: tuple[str, ...]) -> DataFrame:

@@ -162,3 +162,20 @@ def color_markers(images: DataFrame, keys: list[str], width: int) -> DataFrame:
     center = F.array((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2)
     box = F.array(*[F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1")])
     return found.select(*keys, "color", "n_pixels", box.alias("pixel_bbox"), center.alias("pixel_xy"), F.array("mid_x", "mid_y").alias("visible_xy"))
+
+
+#: Fixed values of the depth documents.
+DEPTH_FORMAT, DEPTH_NOTE = "relative_depth_float32_npy", "Depth Anything V2 outputs relative monocular depth, not metric distance."
+
+
+def depth_documents(rasters: DataFrame, model: str, folder: str) -> DataFrame:
+    """The document of every depth raster (image, width, height, values): where it lies, its shape, and statistics of its finite depths."""
+    good = F.filter(F.transform("values", lambda v: v.cast("double")), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    stem = F.regexp_replace("image", r"\.[^.]*$", "")
+    sums = F.aggregate("_g", F.lit(0.0), lambda a, v: a + v)
+    rows = rasters.withColumn("_g", good)
+    return rows.select(
+        "image", F.col("width").alias("image_width"), F.col("height").alias("image_height"), F.lit(model).alias("model"), F.lit(DEPTH_FORMAT).alias("depth_format"),
+        F.concat(F.lit(f"{folder}/"), stem, F.lit("_depth.npy")).alias("depth_path"), F.concat(F.lit(f"{folder}/"), stem, F.lit("_depth.png")).alias("visualization_path"), F.array("height", "width").alias("depth_shape"),
+        F.array_min("_g").alias("depth_min"), F.array_max("_g").alias("depth_max"), F.when(F.size("_g") > 0, sums / F.size("_g")).alias("depth_mean"), F.lit(DEPTH_NOTE).alias("depth_note"),
+    )

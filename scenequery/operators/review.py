@@ -57,7 +57,8 @@ def question_errors(questions: DataFrame) -> DataFrame:
     questions: pos and QUESTION_FIELDS, null where missing.
     """
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in QUESTION_FIELDS]), lambda c: c.isNotNull())
-    seen = F.row_number().over(Window.partitionBy("question_id").orderBy("pos"))
+    # rows without an id are dealt by place, so that they are no hot key
+    seen = F.row_number().over(Window.partitionBy("question_id", F.when(F.col("question_id").isNull(), F.col("pos"))).orderBy("pos"))
     numbered = questions.withColumn("_n", F.when(F.col("question_id").isNotNull(), seen))
     rules = F.array(
         F.struct(F.lit("duplicate_question_id").alias("code"), F.when(F.col("_n") > 1, F.col("question_id").cast("string")).alias("detail")),
@@ -72,6 +73,32 @@ def template_errors(templates: DataFrame) -> DataFrame:
     return templates.select("pos", F.explode(missing).alias("detail")).select("pos", F.lit("missing_field").alias("code"), "detail")
 
 
+def template_document_errors(documents: DataFrame) -> DataFrame:
+    """(file_name, error) for documents of scene_group and templates that lack a group's name, or templates."""
+    tests = [(F.col("scene_group").isNull(), "top-level field 'scene_group' must be a string"), (F.coalesce(F.size("templates"), F.lit(-1)) <= 0, "top-level field 'templates' must be a non-empty list")]
+    errors = F.filter(F.array(*[F.when(t, F.lit(e)) for t, e in tests]), lambda e: e.isNotNull())
+    return documents.select("file_name", F.explode(errors).alias("error"))
+
+
+def kept_counts(questions: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: questions before and after those not in ids have gone."""
+    marked = questions.select("question_id").join(ids.select("question_id").distinct().withColumn("_in", F.lit(True)), "question_id", "left")
+    return marked.agg(F.count(F.lit(1)).alias("before"), F.count_if(F.col("_in")).alias("after"))
+
+
+def split_lists(answers: DataFrame) -> DataFrame:
+    """question_id and its automatic split, a row each, in whatever number; the lists of a split file are these rows."""
+    return answers.select(F.col("question_id").cast("string").alias("question_id"), automatic_split().alias("automatic_split"))
+
+
+def with_source(questions: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Questions with their source row as one column ``source``; of rows that share a key the last counts, and a question without one stops the job."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("source"), F.lit(True).alias("_there"))
+    joined = questions.join(last.withColumnRenamed(key, "_key"), questions["source_id"] == F.col("_key"), "left").drop("_key")
+    found = F.when(F.col("_there"), F.col("source")).otherwise(F.raise_error(F.concat(F.lit("no source row for "), F.coalesce(F.col("question_id").cast("string"), F.lit("None")))).cast(joined.schema["source"].dataType))
+    return joined.withColumn("source", found).drop("_there")
+
+
 def has_recommended_name(name: str, prefix: str) -> Column:
     return F.col(name).rlike(rf"(?i)^{prefix}_\d{{4}}(?:_view_\d{{2,}})?\.(jpg|jpeg|png|bmp)$")
 
@@ -104,6 +131,11 @@ def rename_conflicts(plan: DataFrame, existing: DataFrame) -> DataFrame:
     return twice.unionByName(taken.select("destination", F.lit("destination already exists").alias("conflict")))
 
 
+def zipped_boxes(images: DataFrame) -> DataFrame:
+    """A row per box from a detector's parallel lists: image, pos, conf, cls and box."""
+    return images.select("image", F.posexplode(F.arrays_zip("conf", "cls", "boxes")).alias("pos", "z")).select("image", "pos", "z.conf", "z.cls", F.col("z.boxes").alias("box"))
+
+
 def kept_detections(boxes: DataFrame, names: tuple[str, ...], least: float) -> DataFrame:
     """Detections from a confidence on, classes by name or else by number, numbered in their order."""
     label = F.coalesce(F.get(F.array(*map(F.lit, names)), F.col("cls").cast("int")), F.col("cls").cast("string"))

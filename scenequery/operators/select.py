@@ -53,7 +53,7 @@ def sort_key(config: Selection) -> Column:
 def select_rows(rows: DataFrame, phase: str, config: Selection = Selection()) -> DataFrame:
     """Every row with its reasons; selected rows have none.
 
-    A task takes its first rows up to a limit, the phase the first of those up to another.
+    A task takes its first rows up to a limit, if there is one, the phase the first of those up to another.
     The phase's last key is one value found by a top-k; every row is then judged by itself.
     """
     limit = PHASE_LIMITS[phase]
@@ -64,7 +64,8 @@ def select_rows(rows: DataFrame, phase: str, config: Selection = Selection()) ->
     able = F.size("reasons") == 0
     task = F.when(clean_text("task") == "", "unknown").otherwise(clean_text("task"))
     capped = judged.where(able).withColumn("_t", task)
-    capped = capped.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy("key"))).where(F.col("_n") <= cap)
+    if cap is not None:
+        capped = capped.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy("key"))).where(F.col("_n") <= cap)
     taken = capped.select("key").orderBy("key").limit(limit)
     last = taken.agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n"))  # one row
     chosen = taken.select(F.col("key").alias("_key"), F.lit(True).alias("_in"))
@@ -118,3 +119,46 @@ def preview(rows: DataFrame, order: str, n: int) -> DataFrame:
     """The first rows, texts cut for reading."""
     short = [F.substring(F.col(c), 1, 120).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes]
     return rows.orderBy(order).limit(n).select(*short)
+
+
+def selected_rows(wide: DataFrame, selection: DataFrame, key: str) -> DataFrame:
+    """The selected rows with all their columns and the selection's order as ``_place``; the wide table is read for these only.
+
+    selection: select_rows() over the narrow columns, with the same key column.
+    """
+    order = F.struct(F.col("key")).alias("_place")
+    return wide.join(selection.where("selected").select(key, order), key)
+
+
+def inspection(rows: DataFrame, texts: list[str], views: str, answer: str) -> DataFrame:
+    """field, value and n of all histograms at once: the texts trimmed, the number of views, and the type of the answer."""
+    kind = F.when(F.col(answer).isNull(), "NoneType").otherwise({"string": "str", "double": "float", "bigint": "int", "int": "int", "boolean": "bool"}.get(dict(rows.dtypes)[answer], "list"))
+    count = F.coalesce(F.size(views), F.lit(0))
+    pairs = [(f, F.trim(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in texts] + [("view_count", F.when(count < 0, 0).otherwise(count).cast("string")), ("answer_type", kind)]
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in pairs])).alias("p")
+    return rows.select(each).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def described(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """For each row and column: type, whether it is missing, nested lengths (of the first element, where elements differ), length and a preview of 120 letters."""
+
+    def one(name: str) -> Column:
+        c, kind = F.col(name), dict(rows.dtypes)[name]
+        shape, inner, at = [], kind, c
+        while inner.startswith("array<"):
+            shape.append(F.size(at))
+            at, inner = F.get(at, F.lit(0)), inner[6:-1]
+        sizes = F.filter(F.array(*shape), lambda n: n >= 0) if shape else F.lit(None).cast("array<int>")
+        length = F.size(c) if shape else F.length(c) if kind == "string" else F.lit(1)
+        missing = c.isNull() | (F.trim(c) == "" if kind == "string" else F.size(c) == 0 if shape else F.lit(False))
+        preview = F.substring(c, 1, 120) if kind == "string" else F.lit(None).cast("string")
+        return F.struct(F.lit(name).alias("field"), F.lit(kind).alias("type"), missing.alias("missing"), F.when(~missing, sizes).alias("shape"), F.when(~missing, length).cast("long").alias("length"), F.when(~missing, preview).alias("preview"))
+
+    rest = [c for c in rows.columns if c not in columns]
+    return rows.select(*rest, F.explode(F.array(*map(one, columns))).alias("d")).select(*rest, "d.*")
+
+
+def inference_order(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows by question id as text, the first ``limit`` of them as a top-k."""
+    ordered = rows.orderBy(F.col("question_id").cast("string"))
+    return ordered if limit is None else ordered.limit(limit)

@@ -13,7 +13,7 @@ from ..operators import prompts as t
 from ..operators import select as s
 from ..operators.decide import best_by_label, missing_targets
 from . import Catalogue
-from .answers import METRIC_SQL, _MISSING, _Q
+from .answers import METRIC_SQL, _BEST, _MISSING, _Q
 from .geometry import MARKERS_SQL, SIDE, object_geometry, pairwise_relations
 
 catalogue = Catalogue()
@@ -165,25 +165,6 @@ def decision_aids(spark, d):
     return _bench_rows(spark, d).select("question_id", "task", told.alias("told"))
 
 
-_FIRST_LINE = "CASE WHEN task IN ('distance_infer_center_oo', 'obj_spatial_relation_oo') THEN true ELSE false END"
-
-
-@query(f"{b.with_sql('b_mq')} SELECT question_id, task, false AS starts_with_newline, {_FIRST_LINE} AS starts_with_decision_aid, {_FIRST_LINE} AS needs_decision_aid FROM b_mq")
-def prompt_audit(spark, d):
-    return u.prompt_audit(_bench_prompts(spark, d)).drop("prompt_length")
-
-
-@query(f"{b.with_sql('b_mq')} SELECT count(*) AS subset_count, count(*) FILTER (question_id % 10 = 0) AS missing, count(*) FILTER (question_id % 10 = 0) AS extra, count(*) AS prompt_count, 0 AS leading_newline, 0 AS missing_decision_aid, false AS ready FROM b_mq")
-def prompt_readiness(spark, d):
-    subset = b.marker_questions(spark, d).withColumn("question_id", F.when(F.col("question_id") % 10 == 0, -1 - F.col("question_id")).otherwise(F.col("question_id")))
-    return u.readiness(subset, _bench_prompts(spark, d))
-
-
-@query(f"{b.with_sql('b_mq')} SELECT question_id, {_FIRST_LINE} OR task <> '' AS has_all, false AS leak FROM b_mq")
-def prompt_leaks(spark, d):
-    return _bench_prompts(spark, d).select("question_id", (F.size(F.filter(F.map_values("prompts"), lambda p: F.contains(p, F.lit("Question: Is the")))) == 3).alias("has_all"), t.prompt_leaks("prompts").alias("leak"))
-
-
 @query("SELECT event_id, regexp_matches(j, '(?i)\"[^\"]*(answer|gold|correct_label)[^\"]*\"\\s*:') AS leak FROM (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN '{\"a\": {\"Gold_Color\": 1}}' ELSE props END AS j FROM events)")
 def geometry_leaks(spark, d):
     text = F.when(F.col("event_id") % 6 == 0, '{"a": {"Gold_Color": 1}}').otherwise(F.col("props"))
@@ -210,12 +191,6 @@ def local_prompts(spark, d, asked=b.questions):
     return t.local_prompts(shown, told, best_by_label(geometry).select("image", "label", "object_id", "closeness"))
 
 
-@query(f"{b.with_sql('b_mq')} SELECT question_id, 'pure_vlm' AS track, true AS found, 'img.jpg' AS image FROM b_mq UNION ALL SELECT question_id, 'geometry_only', true, NULL FROM b_mq UNION ALL SELECT question_id, 'image_and_geometry', true, 'img.jpg' FROM b_mq UNION ALL SELECT question_id, 'other', false, NULL FROM b_mq")
-def prompt_select_track(spark, d):
-    rows = _bench_prompts(spark, d).select("question_id", "prompts", F.array(F.lit("img.jpg")).alias("images"), F.explode(F.array(*map(F.lit, (*t.TRACKS, "other")))).alias("track"))
-    return rows.select("question_id", "track", t.prompt_for("prompts", "track").isNotNull().alias("found"), t.image_for("images", "track").alias("image"))
-
-
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -243,11 +218,67 @@ tx AS (SELECT s.question_id, concat_ws(chr(10), 'Structured oracle RGB-D evidenc
   FROM status s JOIN aids USING (question_id) LEFT JOIN nd USING (question_id) LEFT JOIN ev USING (question_id))"""
 
 
-@query(f"""{_TEXTS} SELECT question_id, task, concat_ws(chr(10), {', '.join(map(_q, t.BENCH_PURE))}, asked, closing) AS pure_vlm, concat_ws(chr(10), {', '.join(map(_q, t.BENCH_GEOMETRY))}, rule, evidence, asked, closing) AS geometry_only,
-  concat_ws(chr(10), aid, {', '.join(map(_q, t.BENCH_BOTH))}, rule, evidence, asked, closing) AS image_and_geometry FROM tx JOIN b_mq USING (question_id)""")
+_PROMPTS = f"""{_TEXTS}, pr AS (SELECT question_id, task, concat_ws(chr(10), {', '.join(map(_q, t.BENCH_PURE))}, asked, closing) AS pure_vlm, concat_ws(chr(10), {', '.join(map(_q, t.BENCH_GEOMETRY))}, rule, evidence, asked, closing) AS geometry_only,
+  concat_ws(chr(10), aid, {', '.join(map(_q, t.BENCH_BOTH))}, rule, evidence, asked, closing) AS image_and_geometry FROM tx JOIN b_mq USING (question_id)),
+pa AS (SELECT question_id, task, starts_with(image_and_geometry, chr(10)) AS starts_with_newline, starts_with(image_and_geometry, 'Decision aid:') AS starts_with_decision_aid, task IN ('distance_infer_center_oo', 'obj_spatial_relation_oo') AS needs_decision_aid, length(image_and_geometry) AS prompt_length FROM pr)"""
+
+
+@query(f"{_PROMPTS} SELECT question_id, task, pure_vlm, geometry_only, image_and_geometry FROM pr")
 def prompt_rows_public(spark, d):
     """The whole texts of the benchmark's prompts."""
     return _bench_prompts(spark, d).select("question_id", "task", *[F.col("prompts")[k].alias(k) for k in t.TRACKS])
 
 
+@query(f"{_PROMPTS} SELECT * FROM pa")
+def prompt_audit(spark, d):
+    return u.prompt_audit(_bench_prompts(spark, d))
+
+
+@query(f"""{_PROMPTS}, ss AS (SELECT CASE WHEN question_id % 10 = 0 THEN -1 - question_id ELSE question_id END AS question_id FROM b_mq),
+  n AS (SELECT (SELECT count(*) FROM ss) AS subset_count, (SELECT count(*) FROM ss ANTI JOIN pr USING (question_id)) AS missing, (SELECT count(*) FROM pr ANTI JOIN ss USING (question_id)) AS extra,
+    (SELECT count(*) FROM pa) AS prompt_count, (SELECT count(*) FROM pa WHERE starts_with_newline) AS leading_newline, (SELECT count(*) FROM pa WHERE needs_decision_aid AND NOT starts_with_decision_aid) AS missing_decision_aid)
+  SELECT *, missing = 0 AND extra = 0 AND subset_count = prompt_count AND leading_newline = 0 AND missing_decision_aid = 0 AS ready FROM n""")
+def prompt_readiness(spark, d):
+    subset = b.marker_questions(spark, d).withColumn("question_id", F.when(F.col("question_id") % 10 == 0, -1 - F.col("question_id")).otherwise(F.col("question_id")))
+    return u.readiness(subset, _bench_prompts(spark, d))
+
+
+@query(f"""{_PROMPTS} SELECT question_id, contains(pure_vlm, asked) AND contains(geometry_only, asked) AND contains(image_and_geometry, asked) AS has_all,
+  regexp_matches(lower(concat_ws(' | ', pure_vlm, geometry_only, image_and_geometry)), '(gold|correct|reference)\\s+answer\\s*:') AS leak FROM pr JOIN (SELECT question_id, 'Question: Is the' AS asked FROM b_mq) USING (question_id)""")
+def prompt_leaks(spark, d):
+    return _bench_prompts(spark, d).select("question_id", (F.size(F.filter(F.map_values("prompts"), lambda p: F.contains(p, F.lit("Question: Is the")))) == 3).alias("has_all"), t.prompt_leaks("prompts").alias("leak"))
+
+
+@query(f"""{_PROMPTS}, tr AS (SELECT question_id, 'pure_vlm' AS track, pure_vlm AS p FROM pr UNION ALL SELECT question_id, 'geometry_only', geometry_only FROM pr UNION ALL SELECT question_id, 'image_and_geometry', image_and_geometry FROM pr UNION ALL SELECT question_id, 'other', NULL FROM pr)
+  SELECT question_id, track, coalesce(trim(p) <> '', false) AS found, CASE WHEN track IN ('pure_vlm', 'image_and_geometry') THEN 'img.jpg' END AS image FROM tr""")
+def prompt_select_track(spark, d):
+    rows = _bench_prompts(spark, d).select("question_id", "prompts", F.array(F.lit("img.jpg")).alias("images"), F.explode(F.array(*map(F.lit, (*t.TRACKS, "other")))).alias("track"))
+    return rows.select("question_id", "track", t.prompt_for("prompts", "track").isNotNull().alias("found"), t.image_for("images", "track").alias("image"))
+
+
+def _six(x: str) -> str:
+    """Six significant digits, as text."""
+    return f"CASE WHEN {x} IS NULL THEN 'unknown' ELSE format('{{:.6g}}', CAST({x} AS DOUBLE)) END"
+
+
+_CLOSE = "coalesce(closeness_score, relative_depth_p90, relative_depth_median)"
+_SAID_TARGET = "'- ' || q.targets[{i}] || ': object=' || {s}.object_id || ', closeness_score=' || {n}"
+_LOCAL_TEXTS = f"""{_PROMPT_ROWS}, {_BEST},
+ol AS (SELECT image, string_agg('- ' || object_id || ' ' || label || ': position=' || horizontal_position || '/' || vertical_position || ', centroid=' || CASE WHEN mask_centroid IS NULL THEN 'unknown' ELSE '[' || {_six('mask_centroid[1]')} || ', ' || {_six('mask_centroid[2]')} || ']' END
+  || ', area_fraction=' || {_six('mask_area_fraction')} || ', closeness_score=' || {_six(_CLOSE)} || ', closeness_percentile=' || {_six('closeness_percentile')} || ', closeness_hint=' || depth_order_hint, chr(10) ORDER BY ord) AS objects FROM g_objects GROUP BY image),
+rl AS (SELECT image, string_agg('- ' || object_a || ' ' || label_a || ' vs ' || object_b || ' ' || label_b || ': horizontal=' || horizontal_relation || ', vertical=' || vertical_relation || ', closeness=' || depth_relation, chr(10) ORDER BY ord_a, ord_b) AS relations FROM g_pairs GROUP BY image),
+lt AS (SELECT q.*, concat_ws(chr(10), 'Image: ' || q.image, 'Image size: {SIDE} x {SIDE}', {_q(t.SCORE_LINE)}, 'Target object labels: ' || CASE WHEN len(q.targets) > 0 THEN array_to_string(q.targets, ', ') ELSE 'none' END,
+    'Objects:', objects, 'Pairwise relations:', coalesce(relations, '- none available'), CASE WHEN len(missing) > 0 THEN 'Missing target labels in geometry: ' || array_to_string(missing, ', ') END,
+    CASE WHEN q.type = 'closer_farther' AND len(q.targets) >= 2 THEN concat_ws(chr(10), {', '.join(map(_q, t.COMPARE_LINES))}, CASE WHEN x.closeness IS NULL OR y.closeness IS NULL THEN {_q(t.NO_TARGET_LINE)}
+      ELSE concat_ws(chr(10), {_SAID_TARGET.format(i=1, s='x', n=_six('x.closeness'))}, {_SAID_TARGET.format(i=2, s='y', n=_six('y.closeness'))}, {_q(t.CLOSER_LINE)} || CASE WHEN abs(x.closeness - y.closeness) <= 1e-6 THEN 'unknown' WHEN x.closeness > y.closeness THEN q.targets[1] ELSE q.targets[2] END) END) END) AS told,
+    concat_ws(chr(10), 'Question: ' || q.question, {_q(t.ANSWER_LINE)}) AS closing
+  FROM q_missing q JOIN ol USING (image) LEFT JOIN rl USING (image) LEFT JOIN q_best x ON x.image = q.image AND x.label = q.targets[1] LEFT JOIN q_best y ON y.image = q.image AND y.label = q.targets[2])"""
+
+
+@query(f"""{_LOCAL_TEXTS} SELECT question_id, concat_ws(chr(10), {', '.join(map(_q, t.PURE))}, closing) AS pure_vlm, concat_ws(chr(10), {', '.join(map(_q, t.WITH_GEOMETRY))}, told, closing) AS geometry_only, concat_ws(chr(10), {', '.join(map(_q, t.WITH_BOTH))}, told, closing) AS image_and_geometry FROM lt""".replace(b.SQL["b_questions"], b.SQL["b_questions_of_all"]))
+def prompt_texts_local(spark, d):
+    """The whole texts of the prompts, over all images."""
+    return local_prompts(spark, d, b.questions_of_all).select("question_id", *t.TRACKS)
+
+
 catalogue.over_all_images(prompt_rows_local)

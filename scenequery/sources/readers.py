@@ -53,6 +53,18 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file_name", "pos", "q.*")
 
 
+def count_questions(spark: SparkSession, path: str) -> DataFrame:
+    """file_name and n: how many questions each document of a path holds; no rows' worth, 0, for a path that isn't there, and an error for questions that are no list."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([(path.rsplit("/", 1)[-1], 0)], "file_name string, n int")
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.parse_json("value").alias("v"))
+    held = F.try_variant_get("v", "$.questions", "array<variant>")
+    wrong = F.raise_error(F.concat(F.lit("questions must be a list in "), "file_name")).cast("int")
+    absent = F.try_variant_get("v", "$.questions", "variant").isNull()
+    return texts.select("file_name", F.when(held.isNotNull(), F.size(held)).when(absent, 0).otherwise(wrong).alias("n"))
+
+
 def question_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a subset file: its list of ids, or else its questions'."""
     ids = F.coalesce("question_ids", F.transform("questions", lambda q: q["question_id"]))

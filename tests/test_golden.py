@@ -230,3 +230,10 @@ def test_streamed_summary_equals_batch(spark, tmp_path):
     append_to(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.where("total <> 5").count() == 0 and got.count() >= 36
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.integers(-(10**7), 10**7).map(lambda n: n / 10**6), st.integers(1, 10**7).map(lambda n: (n * 10 + 5) / 10**9), st.floats(1e-12, 1e12), st.sampled_from([0.0, 0.5, 0.001, 3.454545, 2.5, 1234565.0, 999999.5, 1e-4, 9.9999995e-5])), min_size=1, max_size=60))
+def test_six_digits_are_those_of_the_binary_value(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", prompts.six_digits("v").alias("t")).collect()
+    assert [r["t"] for r in rows] == [f"{r['v']:.6g}".replace("-0", "0") if r["v"] == 0 else f"{r['v']:.6g}" for r in rows]
