@@ -14,8 +14,8 @@ LABELS = ("book", "cup", "desk", "lamp", "mouse")
 TARGETS = (*LABELS, "plant")
 TYPES = ("closer_farther", "support_relation", "physical_size", "left_right")
 TRACKS = ("pure_vlm", "geometry_only", "image_and_geometry")
-#: Objects of an image, and images that questions ask about.
-PER_IMAGE, ASKED_IMAGES, SIDE = 16, 30, 8
+#: Objects of an image, and the side of their rasters.
+PER_IMAGE, SIDE = 16, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,14 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, image, type, targets, answer, question."""
+    """question_id, image, type, targets, answer, question: questions about all images up to the last one."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    images = table(spark, sf_dir, "embeddings").agg(F.expr(f"max(vec_id) div {PER_IMAGE} + 1").alias("images"))
     targets = F.array(pick(TARGETS, c % 6), pick(TARGETS, (c + 1 + k % 5) % 6))
-    return table(spark, sf_dir, "orders").select(
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(images))  # one row
+    return rows.select(
         k.alias("question_id"),
-        image_name(k % ASKED_IMAGES).alias("image"),
+        image_name(k % F.col("images")).alias("image"),
         pick(TYPES, k % 4).alias("type"),
         F.when(k % 17 != 0, targets).otherwise(F.slice(targets, 1, 1)).alias("targets"),
         pick(TARGETS, (k + c) % 6).alias("answer"),
@@ -70,13 +72,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of questions(), spread over all images up to the last one."""
-    images = table(spark, sf_dir, "embeddings").agg(F.expr(f"max(vec_id) div {PER_IMAGE} + 1").alias("images"))
-    rows = questions(spark, sf_dir).crossJoin(F.broadcast(images))  # one row
-    return rows.withColumn("image", image_name(F.col("question_id") % F.col("images"))).drop("images")
-
-
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id x track with prediction, correct, parse_status, error and the evaluation's terms."""
     tracks = spark.createDataFrame(list(enumerate(TRACKS)), "track_no int, track string")
@@ -137,12 +132,7 @@ def review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, img_type, format_type, task, question, answer, has_image: rows of a public benchmark, questions cut to 80 letters."""
-    return whole_sources(spark, sf_dir).withColumn("question", F.substring("question", 1, 80))
-
-
-def whole_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of sources() with their whole questions."""
+    """id, img_type, format_type, task, question, answer, has_image: rows of a public benchmark."""
     k = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         k.cast("string").alias("id"),
@@ -221,7 +211,7 @@ SQL = {
     "b_objects": f"""SELECT image, CAST(object_id % {PER_IMAGE} + 1 AS INTEGER) AS ord, object_id, {_pick(LABELS, 'object_id % 5')} AS label, (object_id % 100) / 100 AS confidence,
       CASE WHEN count(*) FILTER (d > 0) > 0 THEN [CAST(min(x) FILTER (d > 0) AS DOUBLE), CAST(min(y) FILTER (d > 0) AS DOUBLE), CAST(max(x) FILTER (d > 0) AS DOUBLE), CAST(max(y) FILTER (d > 0) AS DOUBLE)] END AS bbox
       FROM ({_PIXELS}) GROUP BY image, object_id""",
-    "b_questions": f"""SELECT o_orderkey AS question_id, 'scene_' || lpad(CAST(o_orderkey % {ASKED_IMAGES} AS VARCHAR), 6, '0') AS image, {_pick(TYPES, 'o_orderkey % 4')} AS type,
+    "b_questions": f"""SELECT o_orderkey AS question_id, 'scene_' || lpad(CAST(o_orderkey % (SELECT max(vec_id) // {PER_IMAGE} + 1 FROM embeddings) AS VARCHAR), 6, '0') AS image, {_pick(TYPES, 'o_orderkey % 4')} AS type,
       CASE WHEN o_orderkey % 17 <> 0 THEN [{_pick(TARGETS, 'o_custkey % 6')}, {_pick(TARGETS, '(o_custkey + 1 + o_orderkey % 5) % 6')}] ELSE [{_pick(TARGETS, 'o_custkey % 6')}] END AS targets,
       {_pick(TARGETS, '(o_orderkey + o_custkey) % 6')} AS answer, 'Which object fits question ' || o_orderkey || '?' AS question FROM orders""",
     "b_results": f"""SELECT event_id AS question_id, track, {_pick(TYPES, 'event_id % 4')} AS type, {_pick(('fill', 'select'), 'event_id % 2')} AS format_type,
@@ -242,7 +232,7 @@ SQL = {
     "b_source": f"""SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang IN ('en', 'de') THEN 'single_view' WHEN lang = 'fr' THEN 'multi_view' ELSE 'video' END AS img_type,
       {_pick(('fill', 'select', 'sentence', 'fill'), 'doc_id % 4')} AS format_type,
       {_pick(('depth_prediction', 'distance_infer_center_oo', 'appearance_order', 'obj_spatial_relation_oo'), 'doc_id % 4')} || '_' || source AS task,
-      CASE WHEN doc_id % 50 = 0 THEN '' ELSE substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 80) END AS question,
+      CASE WHEN doc_id % 50 = 0 THEN '' ELSE regexp_replace(text, '[^a-zA-Z ]', '', 'g') END AS question,
       CASE doc_id % 3 WHEN 0 THEN CAST(doc_id % 90 AS VARCHAR) WHEN 1 THEN {_pick(('A', 'B', 'C', 'D'), 'doc_id % 4')} ELSE 'left' END AS answer, doc_id % 41 <> 0 AS has_image FROM documents""",
     "b_markers": "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT vec_id AS question_id, 0 AS view, '{c}' AS color, {r} AS rank, {_E(3 * r)} * 100 AS px, {_E(3 * r + 1)} * 100 AS py, abs({_E(3 * r + 2)}) * 10 AS depth, CASE WHEN vec_id % 13 = 0 THEN 0.0::DOUBLE ELSE {_E(9)} * 100 + 500 END AS fx, {_E(10)} * 100 + 500 AS fy, {_E(11)} * 10 AS cx, {_E(12)} * 10 AS cy FROM embeddings" for r, c in enumerate(("red", "green", "blue"))
@@ -253,14 +243,6 @@ SQL = {
     "b_detections": """SELECT 'scene_' || lpad(CAST(l_orderkey AS VARCHAR), 6, '0') AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) AS pos, p_type AS label, p_brand AS brand, l_discount * 10 AS conf, l_partkey % 6 AS cls FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 
-_CUT = "substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 80)"
-assert _CUT in SQL["b_source"]
-SQL["b_whole_source"] = SQL["b_source"].replace(_CUT, "regexp_replace(text, '[^a-zA-Z ]', '', 'g')")
-
-_ASKED = f"CAST(o_orderkey % {ASKED_IMAGES} AS VARCHAR)"
-assert _ASKED in SQL["b_questions"]
-SQL["b_questions_of_all"] = SQL["b_questions"].replace(_ASKED, f"CAST(o_orderkey % (SELECT max(vec_id) // {PER_IMAGE} + 1 FROM embeddings) AS VARCHAR)")
-
 
 def with_sql(*names: str) -> str:
     """WITH clause of the named relations; more can follow after a comma."""

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
-from .. import bindings as b
-
 
 class Catalogue:
     """Collects queries and their SQL under one name."""
@@ -25,8 +22,7 @@ class Catalogue:
 
         return add
 
-    def over_all_images(self, *queries: Callable) -> None:
-        """Each query once more over questions about all images; the plain ones are held against SQL that asks about the first ASKED_IMAGES."""
+    def also_named(self, suffix: str, *queries: Callable) -> None:
+        """A second name for each query, under which users may know it."""
         for f in queries:
-            sql = self.sql[f.__name__].replace(b.SQL["b_questions"], b.SQL["b_questions_of_all"])
-            self.query(sql, f"{f.__name__}_all_images")(functools.partial(f, asked=b.questions_of_all))
+            self.query(self.sql[f.__name__], f.__name__ + suffix)(f)

@@ -39,15 +39,15 @@ q_rules AS (SELECT question_id, image, type, targets, answer, question, missing,
 
 
 @query(f"{_Q}, {_MISSING} SELECT question_id, image, targets, missing FROM q_missing")
-def missing_targets(spark, d, asked=b.questions):
-    return r.missing_targets(asked(spark, d), b.objects(spark, d)).select("question_id", "image", "targets", "missing")
+def missing_targets(spark, d):
+    return r.missing_targets(b.questions(spark, d), b.objects(spark, d)).select("question_id", "image", "targets", "missing")
 
 
 @query(f"{_Q} SELECT q.question_id, q.image, count(*) AS n_objects FROM b_questions q JOIN b_objects o USING (image) GROUP BY ALL")
-def geometry_join_mandatory(spark, d, asked=b.questions):
+def geometry_join_mandatory(spark, d):
     """Every question must find its image's objects; one without stops the query."""
     shown = b.objects(spark, d).groupBy("image").agg(F.count(F.lit(1)).alias("n"))
-    joined = asked(spark, d).join(shown, "image", "left")
+    joined = b.questions(spark, d).join(shown, "image", "left")
     found = F.when(F.col("n").isNotNull(), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("no geometry for "), "image")).cast("long"))
     return joined.select("question_id", "image", found.alias("n_objects"))
 
@@ -67,8 +67,8 @@ def best_target_object(spark, d):
 
 @query(f"""{_Q}, {_BEST} SELECT q.question_id, x.object_id AS object_a, y.object_id AS object_b, CASE WHEN x.closeness IS NULL OR y.closeness IS NULL THEN 'unavailable' WHEN abs(x.closeness - y.closeness) <= 1e-6 THEN 'unknown' WHEN x.closeness > y.closeness THEN q.targets[1] ELSE q.targets[2] END AS closer
   FROM b_questions q LEFT JOIN q_best x ON x.image = q.image AND x.label = q.targets[1] LEFT JOIN q_best y ON y.image = q.image AND y.label = q.targets[2] WHERE q.type = 'closer_farther' AND len(q.targets) >= 2""")
-def closeness_comparison(spark, d, asked=b.questions):
-    asked = asked(spark, d).where((F.col("type") == "closer_farther") & (F.size("targets") >= 2)).select("question_id", "image", F.get("targets", F.lit(0)).alias("ta"), F.get("targets", F.lit(1)).alias("tb"))
+def closeness_comparison(spark, d):
+    asked = b.questions(spark, d).where((F.col("type") == "closer_farther") & (F.size("targets") >= 2)).select("question_id", "image", F.get("targets", F.lit(0)).alias("ta"), F.get("targets", F.lit(1)).alias("tb"))
     best = r.best_by_label(object_geometry(spark, d))
     for s in "ab":
         asked = asked.join(best.select("image", F.col("label").alias(f"t{s}"), F.col("object_id").alias(f"object_{s}"), F.col("closeness").alias(f"c{s}")), ["image", f"t{s}"], "left")
@@ -77,9 +77,9 @@ def closeness_comparison(spark, d, asked=b.questions):
 
 
 @query(f"{RULES_SQL} SELECT * FROM q_rules")
-def rule_answers(spark, d, asked=b.questions):
+def rule_answers(spark, d):
     geometry = object_geometry(spark, d)
-    return r.rule_answers(asked(spark, d), geometry, relations(spark, d))
+    return r.rule_answers(b.questions(spark, d), geometry, relations(spark, d))
 
 
 _RAW = b.with_sql("b_raw")
@@ -157,4 +157,4 @@ def required_colors(spark, d):
     return b.marker_questions(spark, d).select("question_id", a.required_colors("question").alias("required"))
 
 
-catalogue.over_all_images(missing_targets, geometry_join_mandatory, closeness_comparison, rule_answers)
+catalogue.also_named("_all_images", missing_targets, geometry_join_mandatory, closeness_comparison, rule_answers)

@@ -27,9 +27,6 @@ from .public import _STATUS, _phase, _six
 catalogue = Catalogue()
 query = catalogue.query
 
-_WHOLE = (b.SQL["b_source"], b.SQL["b_whole_source"])
-_ALL = (b.SQL["b_questions"], b.SQL["b_questions_of_all"])
-
 
 # rules over any number of targets
 
@@ -38,7 +35,7 @@ def many_targets(spark, d):
     """Size and support questions with none to four targets, over all images."""
     k, c = F.col("question_id"), F.length("question")
     names = F.array(*[b.pick(b.LABELS, (k + i * (1 + k % 2)) % 5) for i in range(4)])
-    rows = b.questions_of_all(spark, d).withColumn("type", F.when(k % 2 == 0, "physical_size").otherwise("support_relation"))
+    rows = b.questions(spark, d).withColumn("type", F.when(k % 2 == 0, "physical_size").otherwise("support_relation"))
     return rows.withColumn("targets", F.slice(names, 1, ((k + c) % 5).cast("int")))
 
 
@@ -46,7 +43,7 @@ _MANY = f"""mt AS (SELECT question_id, image, CASE WHEN question_id % 2 = 0 THEN
   list_slice([{', '.join(b._pick(b.LABELS, f'(question_id + {i} * (1 + question_id % 2)) % 5') for i in range(4))}], 1, (question_id + length(question)) % 5) AS targets FROM b_questions)"""
 
 
-@query(f"""{GEOMETRY_SQL}, b_questions AS ({b.SQL['b_questions_of_all']}), {_LAST}, {_MANY},
+@query(f"""{GEOMETRY_SQL}, b_questions AS ({b.SQL['b_questions']}), {_LAST}, {_MANY},
   sh AS (SELECT image, list(label ORDER BY f) AS labels FROM (SELECT image, label, min(ord) AS f FROM b_objects GROUP BY ALL) GROUP BY image),
   c0 AS (SELECT question_id, image, type, targets, len(list_filter(targets, lambda x: NOT coalesce(list_contains(labels, x), false))) > 0 AS lacks, CASE WHEN len(targets) > 0 THEN targets ELSE coalesce(labels, []) END AS cand FROM mt LEFT JOIN sh USING (image)),
   c1 AS (SELECT question_id, image, type, unnest(cand) AS label, generate_subscripts(cand, 1) AS pos FROM c0),
@@ -76,10 +73,10 @@ def track_alignment_of_repeats(spark, d):
     return m.aligned(_uneven(spark, d), b.TRACKS).select("question_id", "complete")
 
 
-@query(f"{_phase(150).replace(*_WHOLE).replace('rk <= 20', 'true')} SELECT id, selected, reasons FROM sel")
+@query(f"{_phase(150).replace('rk <= 20', 'true')} SELECT id, selected, reasons FROM sel")
 def selection_uncapped_whole(spark, d):
     """The second phase without a limit by task."""
-    return s.select_rows(b.whole_sources(spark, d), "b", s.Selection(per_task_limit=None)).select("id", "selected", "reasons")
+    return s.select_rows(b.sources(spark, d), "b", s.Selection(per_task_limit=None)).select("id", "selected", "reasons")
 
 
 @query("""WITH br AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey // 4 END AS question_id, CASE WHEN o_orderkey % 6 = 0 THEN 'guess' ELSE 'left_right' END AS type FROM orders)
@@ -101,58 +98,58 @@ def template_document_errors(spark, d):
 # joins
 
 
-@query(f"""{b.with_sql('b_whole_source')}, src AS (SELECT *, CAST(id AS BIGINT) // 2 AS half FROM b_whole_source), last AS (SELECT half, arg_max(id, CAST(id AS BIGINT)) AS id, arg_max(task, CAST(id AS BIGINT)) AS task FROM src GROUP BY half)
+@query(f"""{b.with_sql('b_source')}, src AS (SELECT *, CAST(id AS BIGINT) // 2 AS half FROM b_source), last AS (SELECT half, arg_max(id, CAST(id AS BIGINT)) AS id, arg_max(task, CAST(id AS BIGINT)) AS task FROM src GROUP BY half)
   SELECT half AS question_id, id AS source_row, task FROM last""")
 def source_join(spark, d):
     """Every question with its source row, the last of two that share its id."""
-    rows = b.whole_sources(spark, d).withColumn("half", F.expr("cast(id as bigint) div 2")).withColumn("at", F.col("id").cast("long"))
+    rows = b.sources(spark, d).withColumn("half", F.expr("cast(id as bigint) div 2")).withColumn("at", F.col("id").cast("long"))
     asked = rows.select(F.col("half").alias("question_id"), F.col("half").alias("source_id")).distinct()
     return v.with_source(asked, rows, "half", "at").select("question_id", F.col("source.id").alias("source_row"), "source.task")
 
 
-@query(f"{_phase(150).replace(*_WHOLE)} SELECT CAST(sel.id AS BIGINT) AS doc_id, documents.text, documents.n_chars FROM sel JOIN documents ON CAST(sel.id AS BIGINT) = doc_id WHERE selected")
+@query(f"{_phase(150)} SELECT CAST(sel.id AS BIGINT) AS doc_id, documents.text, documents.n_chars FROM sel JOIN documents ON CAST(sel.id AS BIGINT) = doc_id WHERE selected")
 def selected_wide_rows(spark, d):
     """The selected rows with all their columns; the selection reads what it needs."""
-    chosen = s.select_rows(b.whole_sources(spark, d), "b").withColumn("doc_id", F.col("id").cast("long"))
+    chosen = s.select_rows(b.sources(spark, d), "b").withColumn("doc_id", F.col("id").cast("long"))
     return s.selected_rows(b.table(spark, d, "documents"), chosen, "doc_id").select("doc_id", "text", "n_chars")
 
 
-@query(f"{b.with_sql('b_review')}, b_questions AS ({b.SQL['b_questions_of_all']}) SELECT count(*) AS before, count(*) FILTER (question_id IN (SELECT question_id FROM b_review WHERE {_CLEAN})) AS after FROM b_questions")
+@query(f"{b.with_sql('b_review')}, b_questions AS ({b.SQL['b_questions']}) SELECT count(*) AS before, count(*) FILTER (question_id IN (SELECT question_id FROM b_review WHERE {_CLEAN})) AS after FROM b_questions")
 def clean_question_counts(spark, d):
-    return v.kept_counts(b.questions_of_all(spark, d), b.review(spark, d).where(v.is_clean()))
+    return v.kept_counts(b.questions(spark, d), b.review(spark, d).where(v.is_clean()))
 
 
-@query(f"{RULES_SQL} SELECT CAST(question_id AS VARCHAR) AS question_id, {_SPLIT} AS automatic_split FROM q_rules".replace(*_ALL))
+@query(f"{RULES_SQL} SELECT CAST(question_id AS VARCHAR) AS question_id, {_SPLIT} AS automatic_split FROM q_rules")
 def evaluation_split_rows(spark, d):
-    return v.split_lists(answered(spark, d, b.questions_of_all))
+    return v.split_lists(answered(spark, d))
 
 
 @query(f"""{_FAILED} SELECT f.image, CAST(f.missing_record_count AS VARCHAR) AS missing_record_count, l.missing_labels, f.question_ids FROM (SELECT image, count(*) AS missing_record_count, string_agg(question_id, ';' ORDER BY question_id) AS question_ids FROM failed GROUP BY image) f
-  LEFT JOIN (SELECT image, string_agg(label || ':' || n, ';' ORDER BY n DESC, label) AS missing_labels FROM cnt GROUP BY image) l USING (image)""".replace(*_ALL))
+  LEFT JOIN (SELECT image, string_agg(label || ':' || n, ';' ORDER BY n DESC, label) AS missing_labels FROM cnt GROUP BY image) l USING (image)""")
 def failure_csv(spark, d):
     """Failures by image, written as CSV and read again."""
     path = f"{scratch(spark)}/f"
     columns = ["image", "missing_record_count", "missing_labels", "question_ids"]
-    sinks.write_csv(m.failures_by_image(answered(spark, d, b.questions_of_all)), path, columns, overwrite=True)
+    sinks.write_csv(m.failures_by_image(answered(spark, d)), path, columns, overwrite=True)
     return readers.csv_rows(spark, path)
 
 
-@query(f"SELECT question_id, image FROM ({b.SQL['b_questions_of_all']}) ORDER BY CAST(question_id AS VARCHAR) LIMIT 20")
+@query(f"SELECT question_id, image FROM ({b.SQL['b_questions']}) ORDER BY CAST(question_id AS VARCHAR) LIMIT 20")
 def inference_order(spark, d):
     """The first questions in the order of inference."""
-    return s.inference_order(b.questions_of_all(spark, d).select("question_id", "image"), 20)
+    return s.inference_order(b.questions(spark, d).select("question_id", "image"), 20)
 
 
 # inspection
 
 
-@query(f"""{b.with_sql('b_whole_source')}, f AS (SELECT 'task' AS field, trim(task) AS value FROM b_whole_source UNION ALL SELECT 'format_type', trim(format_type) FROM b_whole_source UNION ALL SELECT 'img_type', trim(img_type) FROM b_whole_source
-  UNION ALL SELECT 'view_count', CASE WHEN NOT has_image THEN '0' WHEN img_type = 'single_view' THEN '1' ELSE '3' END FROM b_whole_source UNION ALL SELECT 'answer_type', CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN 'NoneType' ELSE 'str' END FROM b_whole_source)
+@query(f"""{b.with_sql('b_source')}, f AS (SELECT 'task' AS field, trim(task) AS value FROM b_source UNION ALL SELECT 'format_type', trim(format_type) FROM b_source UNION ALL SELECT 'img_type', trim(img_type) FROM b_source
+  UNION ALL SELECT 'view_count', CASE WHEN NOT has_image THEN '0' WHEN img_type = 'single_view' THEN '1' ELSE '3' END FROM b_source UNION ALL SELECT 'answer_type', CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN 'NoneType' ELSE 'str' END FROM b_source)
   SELECT field, value, count(*) AS n FROM f GROUP BY ALL""")
 def inspection_histograms(spark, d):
     one = F.lit("view.jpg")
     views = F.when(~F.col("has_image"), F.lit(None)).when(F.col("img_type") == "single_view", F.array(one)).otherwise(F.array(one, one, one))
-    rows = b.whole_sources(spark, d).withColumn("image", views).withColumn("answer", F.when(F.col("id").cast("long") % 9 != 0, F.col("answer")))
+    rows = b.sources(spark, d).withColumn("image", views).withColumn("answer", F.when(F.col("id").cast("long") % 9 != 0, F.col("answer")))
     return s.inspection(rows, ["task", "format_type", "img_type"], "image", "answer")
 
 

@@ -65,9 +65,9 @@ def overlay_rows(spark, d):
 
 
 @query(f"{b.with_sql('b_questions')} SELECT question_id, image, targets, answer FROM b_questions")
-def scan_jsonl_roundtrip(spark, d, asked=b.questions):
+def scan_jsonl_roundtrip(spark, d):
     path = scratch(spark)
-    rows = asked(spark, d).select("question_id", "image", "targets", "answer")
+    rows = b.questions(spark, d).select("question_id", "image", "targets", "answer")
     sinks.write_json_lines(rows, f"{path}/q", overwrite=True)
     return readers.json_lines(spark, f"{path}/q", "question_id long, image string, targets array<string>, answer string", strict=True)
 
@@ -95,4 +95,4 @@ def raster_resized(spark, d):
     return small.select("vec_id", F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get("values", k * 4).cast("double")), F.lit(0.0), lambda a, x: a + x).alias("first_column"))
 
 
-catalogue.over_all_images(scan_jsonl_roundtrip)
+catalogue.also_named("_all_images", scan_jsonl_roundtrip)

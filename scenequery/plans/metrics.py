@@ -94,53 +94,53 @@ _LIT = "prediction <> 'unknown'"
 
 
 @query(f"{RULES_SQL} SELECT {_counts(_LIT)}, round(count(*) FILTER (NOT ({_LIT})) / count(*), 6) AS unknown_rate, round(count(*) FILTER (correct) / count(*), 6) AS end_to_end_accuracy FROM q_rules")
-def rule_summary(spark, d, asked=b.questions):
-    return m.rule_summary(rules(spark, d, asked), [])
+def rule_summary(spark, d):
+    return m.rule_summary(rules(spark, d), [])
 
 
 @query(f"{RULES_SQL} SELECT type, {_counts(_LIT)}, round(count(*) FILTER (NOT ({_LIT})) / count(*), 6) AS unknown_rate, round(count(*) FILTER (correct) / count(*), 6) AS end_to_end_accuracy FROM q_rules GROUP BY type")
-def rule_summary_by_type(spark, d, asked=b.questions):
-    return m.rule_summary(rules(spark, d, asked), ["type"])
+def rule_summary_by_type(spark, d):
+    return m.rule_summary(rules(spark, d), ["type"])
 
 
 @query(f"{RULES_SQL} SELECT error_reason AS value, count(*) AS n FROM q_rules WHERE error_reason IS NOT NULL GROUP BY ALL")
-def rule_error_reasons(spark, d, asked=b.questions):
-    return m.histogram(rules(spark, d, asked), F.col("error_reason"))
+def rule_error_reasons(spark, d):
+    return m.histogram(rules(spark, d), F.col("error_reason"))
 
 
 _FAILED = f"{RULES_SQL}, failed AS (SELECT * FROM q_rules WHERE error_reason = 'missing_target_objects'), lab AS (SELECT image, unnest(missing) AS label FROM failed), cnt AS (SELECT image, label, count(*) AS n FROM lab GROUP BY ALL)"
 
 
 @query(f"{_FAILED} SELECT f.*, l.missing_labels FROM (SELECT image, count(*) AS missing_record_count, string_agg(question_id, ';' ORDER BY question_id) AS question_ids FROM failed GROUP BY image) f LEFT JOIN (SELECT image, string_agg(label || ':' || n, ';' ORDER BY n DESC, label) AS missing_labels FROM cnt GROUP BY image) l USING (image)")
-def failure_by_image(spark, d, asked=b.questions):
-    return m.failures_by_image(rules(spark, d, asked))
+def failure_by_image(spark, d):
+    return m.failures_by_image(rules(spark, d))
 
 
 @query(f"{_FAILED} SELECT label AS value, count(*) AS n FROM lab GROUP BY ALL")
-def failure_by_label(spark, d, asked=b.questions):
-    failed = rules(spark, d, asked).where(F.col("error_reason") == "missing_target_objects")
+def failure_by_label(spark, d):
+    failed = rules(spark, d).where(F.col("error_reason") == "missing_target_objects")
     return m.histogram(failed.select(F.explode("missing").alias("label")), F.col("label"))
 
 
 @query(f"{RULES_SQL} SELECT count(*) AS total_records, count(*) FILTER (error_reason = 'missing_target_objects') AS missing_target_records, round(count(*) FILTER (error_reason = 'missing_target_objects') / count(*), 6) AS missing_target_rate FROM q_rules")
-def failure_totals(spark, d, asked=b.questions):
-    return m.failure_totals(rules(spark, d, asked))
+def failure_totals(spark, d):
+    return m.failure_totals(rules(spark, d))
 
 
 _SPLIT = "CASE WHEN error_reason = 'missing_target_objects' THEN 'pipeline_failure' ELSE 'geometry_available_candidates' END"
 
 
 @query(f"{RULES_SQL} SELECT {_SPLIT} AS automatic_split, count(*) AS n, min(question_id) AS first_id, max(question_id) AS last_id FROM q_rules GROUP BY ALL")
-def evaluation_splits(spark, d, asked=b.questions):
-    rows = rules(spark, d, asked).withColumn("automatic_split", v.automatic_split())
+def evaluation_splits(spark, d):
+    rows = rules(spark, d).withColumn("automatic_split", v.automatic_split())
     return rows.groupBy("automatic_split").agg(F.count(F.lit(1)).alias("n"), F.min("question_id").alias("first_id"), F.max("question_id").alias("last_id"))
 
 
 @query(f"""{RULES_SQL} SELECT CAST(question_id AS VARCHAR) AS question_id, image, type, CAST(to_json(targets) AS VARCHAR) AS target_objects, {_SPLIT} AS automatic_split,
   CASE WHEN error_reason = 'missing_target_objects' THEN 'pipeline_failure requires upstream review' ELSE 'needs manual review' END AS review_status, prediction, CAST(correct AS VARCHAR) AS correct, coalesce(error_reason, '') AS error_reason,
   CAST(to_json(missing) AS VARCHAR) AS missing_target_objects, '' AS mask_ok, '' AS depth_ok, '' AS question_valid, '' AS final_split, '' AS review_notes FROM q_rules""")
-def review_rows(spark, d, asked=b.questions):
-    return v.review_rows(rules(spark, d, asked))
+def review_rows(spark, d):
+    return v.review_rows(rules(spark, d))
 
 
 _REV = b.with_sql("b_review")
@@ -251,4 +251,4 @@ def labels_normalized(spark, d):
     return v.normalized_labels(det.select("image", "pos", "label"), own, general)
 
 
-catalogue.over_all_images(rule_summary, rule_summary_by_type, rule_error_reasons, failure_by_image, failure_by_label, failure_totals, evaluation_splits, review_rows)
+catalogue.also_named("_all_images", rule_summary, rule_summary_by_type, rule_error_reasons, failure_by_image, failure_by_label, failure_totals, evaluation_splits, review_rows)

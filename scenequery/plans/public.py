@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from .. import bindings as b
@@ -35,40 +33,40 @@ sel AS (SELECT j.id, j.task, j.place, coalesce(d.selected, false) AS selected, C
 
 
 @query(f"{_JUDGED} SELECT id, reasons FROM judged")
-def exclusion_reasons(spark, d, rows=b.sources):
-    return rows(spark, d).select("id", s.exclusion_reasons(s.Selection()).alias("reasons"))
+def exclusion_reasons(spark, d):
+    return b.sources(spark, d).select("id", s.exclusion_reasons(s.Selection()).alias("reasons"))
 
 
 @query(f"{_phase(30)} SELECT id, selected, reasons FROM sel")
-def selection_phase_a(spark, d, rows=b.sources):
-    return s.select_rows(rows(spark, d), "a").select("id", "selected", "reasons")
+def selection_phase_a(spark, d):
+    return s.select_rows(b.sources(spark, d), "a").select("id", "selected", "reasons")
 
 
 @query(f"{_phase(150)} SELECT id, selected, reasons FROM sel")
-def selection_phase_b(spark, d, rows=b.sources):
-    return s.select_rows(rows(spark, d), "b").select("id", "selected", "reasons")
+def selection_phase_b(spark, d):
+    return s.select_rows(b.sources(spark, d), "b").select("id", "selected", "reasons")
 
 
 @query(f"{_JUDGED} SELECT id, len(reasons) = 0 AS selected, reasons FROM judged")
-def selection_phase_c(spark, d, rows=b.sources):
-    return s.select_rows(rows(spark, d), "c").select("id", "selected", "reasons")
+def selection_phase_c(spark, d):
+    return s.select_rows(b.sources(spark, d), "c").select("id", "selected", "reasons")
 
 
 @query(f"{_phase(150)} SELECT 'excluded_by_reason' AS kind, value, count(*) AS n FROM (SELECT unnest(reasons) AS value FROM sel WHERE NOT selected) GROUP BY value UNION ALL SELECT 'selected_task', lower(task), count(*) FROM sel WHERE selected GROUP BY lower(task)")
-def selection_audit(spark, d, rows=b.sources):
-    return s.selection_audit(s.select_rows(rows(spark, d), "b"))
+def selection_audit(spark, d):
+    return s.selection_audit(s.select_rows(b.sources(spark, d), "b"))
 
 
 @query(f"{_phase(30)} SELECT count(*) AS n, sha256(coalesce(string_agg(id, chr(10) ORDER BY place), '')) AS fingerprint FROM sel WHERE selected")
-def source_fingerprint(spark, d, rows=b.sources):
-    return s.fingerprint(s.select_rows(rows(spark, d), "a"))
+def source_fingerprint(spark, d):
+    return s.fingerprint(s.select_rows(b.sources(spark, d), "a"))
 
 
 @query(f"""{_SRC}, c AS (SELECT *, 'bench_' || lpad(id, CAST(greatest(6, length(id)) AS INTEGER), '0') AS qid, {METRIC_SQL} AS metric FROM b_source)
   SELECT qid AS question_id, id AS source_id, CASE WHEN has_image THEN [qid || '_view_00.jpg'] ELSE [] END AS images, trim(question) AS question, trim(task) AS task, format_type, img_type, answer,
   CASE WHEN try_cast(answer AS DOUBLE) IS NOT NULL AND format_type = 'fill' THEN 'numeric' WHEN format_type = 'select' THEN 'multiple_choice' ELSE 'exact' END AS answer_type, metric, 'geometry_oracle/' || qid || '.json' AS geometry_path FROM c WHERE metric <> 'unsupported'""")
-def converted_questions(spark, d, rows=b.sources):
-    return s.converted(rows(spark, d), "bench")
+def converted_questions(spark, d):
+    return s.converted(b.sources(spark, d), "bench")
 
 
 _FIELDS = ["task", "format_type", "img_type"]
@@ -80,23 +78,21 @@ def dataset_inspection(spark, d):
 
 
 @query(f"{_SRC} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER ({f} IS NULL OR trim({f}) = '') AS missing FROM b_source" for f in (*_FIELDS, "question", "answer")))
-def missing_field_counts(spark, d, rows=b.sources):
-    return s.missing_counts(rows(spark, d), [*_FIELDS, "question", "answer"])
+def missing_field_counts(spark, d):
+    return s.missing_counts(b.sources(spark, d), [*_FIELDS, "question", "answer"])
 
 
 @query(f"{_SRC} SELECT min(length(trim(question))) AS shortest, max(length(trim(question))) AS longest, round(avg(length(trim(question))), 3) AS mean FROM b_source")
-def question_length(spark, d, rows=b.sources):
-    return s.question_length(rows(spark, d))
+def question_length(spark, d):
+    return s.question_length(b.sources(spark, d))
 
 
 @query(f"{_SRC} SELECT id, img_type, format_type, substr(task, 1, 120) AS task, substr(question, 1, 120) AS question, answer, has_image FROM b_source ORDER BY id LIMIT 20")
-def dataset_preview(spark, d, rows=b.sources):
-    return s.preview(rows(spark, d), "id", 20)
+def dataset_preview(spark, d):
+    return s.preview(b.sources(spark, d), "id", 20)
 
 
-#: The same over whole questions; the ones above are held against SQL that cuts them to 80 letters.
-for _f in (exclusion_reasons, selection_phase_a, selection_phase_b, selection_phase_c, selection_audit, source_fingerprint, converted_questions, missing_field_counts, question_length, dataset_preview):
-    query(catalogue.sql[_f.__name__].replace(b.SQL["b_source"], b.SQL["b_whole_source"]), f"{_f.__name__}_whole")(functools.partial(_f, rows=b.whole_sources))
+catalogue.also_named("_whole", exclusion_reasons, selection_phase_a, selection_phase_b, selection_phase_c, selection_audit, source_fingerprint, converted_questions, missing_field_counts, question_length, dataset_preview)
 
 
 def _points(spark, d):
@@ -177,17 +173,17 @@ _PROMPT_ROWS = f"{_Q}, {_MISSING}"
 @query(f"""{_PROMPT_ROWS}, og AS (SELECT image, count(*) AS n_objects FROM g_objects GROUP BY image), pg AS (SELECT image, count(*) AS n_pairs FROM g_pairs GROUP BY image)
   SELECT question_id, 4 AS pure_lines, 3 + 5 + 1 + greatest(n_objects, 0) + coalesce(n_pairs, 1) + CASE WHEN len(missing) > 0 THEN 1 ELSE 0 END + CASE WHEN type = 'closer_farther' AND len(targets) >= 2 THEN CASE WHEN len(missing) > 0 THEN 3 ELSE 5 END ELSE 0 END + 2 AS geometry_lines
   FROM q_missing JOIN og USING (image) LEFT JOIN pg USING (image)""")
-def prompt_rows_local(spark, d, asked=b.questions):
+def prompt_rows_local(spark, d):
     """Lines of the prompts; their texts are held against golden ones in the tests."""
-    rows = local_prompts(spark, d, asked)
+    rows = local_prompts(spark, d)
     lines = lambda c: F.size(F.split(c, "\n"))
     return rows.select("question_id", lines("pure_vlm").alias("pure_lines"), lines("geometry_only").alias("geometry_lines"))
 
 
-def local_prompts(spark, d, asked=b.questions):
+def local_prompts(spark, d):
     geometry = object_geometry(spark, d)
     told = t.evidence(geometry, pairwise_relations(spark, d), F.coalesce("closeness_score", "relative_depth_p90", "relative_depth_median"), SIDE, SIDE)
-    shown = missing_targets(asked(spark, d), b.objects(spark, d))
+    shown = missing_targets(b.questions(spark, d), b.objects(spark, d))
     return t.local_prompts(shown, told, best_by_label(geometry).select("image", "label", "object_id", "closeness"))
 
 
@@ -275,10 +271,10 @@ lt AS (SELECT q.*, concat_ws(chr(10), 'Image: ' || q.image, 'Image size: {SIDE}
   FROM q_missing q JOIN ol USING (image) LEFT JOIN rl USING (image) LEFT JOIN q_best x ON x.image = q.image AND x.label = q.targets[1] LEFT JOIN q_best y ON y.image = q.image AND y.label = q.targets[2])"""
 
 
-@query(f"""{_LOCAL_TEXTS} SELECT question_id, concat_ws(chr(10), {', '.join(map(_q, t.PURE))}, closing) AS pure_vlm, concat_ws(chr(10), {', '.join(map(_q, t.WITH_GEOMETRY))}, told, closing) AS geometry_only, concat_ws(chr(10), {', '.join(map(_q, t.WITH_BOTH))}, told, closing) AS image_and_geometry FROM lt""".replace(b.SQL["b_questions"], b.SQL["b_questions_of_all"]))
+@query(f"""{_LOCAL_TEXTS} SELECT question_id, concat_ws(chr(10), {', '.join(map(_q, t.PURE))}, closing) AS pure_vlm, concat_ws(chr(10), {', '.join(map(_q, t.WITH_GEOMETRY))}, told, closing) AS geometry_only, concat_ws(chr(10), {', '.join(map(_q, t.WITH_BOTH))}, told, closing) AS image_and_geometry FROM lt""")
 def prompt_texts_local(spark, d):
     """The whole texts of the prompts, over all images."""
-    return local_prompts(spark, d, b.questions_of_all).select("question_id", *t.TRACKS)
+    return local_prompts(spark, d).select("question_id", *t.TRACKS)
 
 
-catalogue.over_all_images(prompt_rows_local)
+catalogue.also_named("_all_images", prompt_rows_local)

@@ -26,7 +26,7 @@ def test_counts_of_question_files(spark, tmp_path):
 def test_outputs_of_several_files(spark, tmp_path):
     answered = further.answered(spark, DATA).limit(300).persist()
     paths = reports.write_splits(answered, f"{tmp_path}/splits") + reports.write_failures(answered, f"{tmp_path}/failures")
-    paths += reports.write_selection(select.select_rows(b.whole_sources(spark, DATA), "a"), "bench", f"{tmp_path}/selection")
+    paths += reports.write_selection(select.select_rows(b.sources(spark, DATA), "a"), "bench", f"{tmp_path}/selection")
     paths += reports.write_clean_subset(b.questions(spark, DATA), b.review(spark, DATA), f"{tmp_path}/clean")
     assert len(paths) == 3 + 3 + 4 + 3
     assert spark.read.json(f"{tmp_path}/splits/splits").count() == 300
