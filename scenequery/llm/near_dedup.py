@@ -6,11 +6,15 @@ ten mantissa bits. Documents with equal sets form a class and one of them stands
 Bands of four registers put the representatives into buckets. In each bucket, every member
 is first held against one centre, another one in every band; pairs whose collision-corrected
 Jaccard estimate can reach the threshold are verified on their full sets. Buckets that this
-leaves in several components are then searched for links between components, in blocks.
+leaves in several components are then searched for links between components, in blocks. One of
+more blocks than there are bands is first split by each further band, as a pair that shares one
+band shares others: its members are compared with those alike in two bands, not with all.
 Components of the verified links give the result.
 
-A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 6e-8, and is
-put aside by the estimate with about 3e-7.
+A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 6e-8, only one
+(which a split bucket would miss) with about 1e-6, and is put aside by the
+estimate with about 3e-7. Sets of few shingles fill few bands; in a split bucket they are
+compared with each other as well, whatever else they share.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked
 with nothing; a text with fewer words than a shingle is one shingle; rows that share a
@@ -39,6 +43,8 @@ REGISTER_BITS, MANTISSA_BITS, BAND_ROWS = 7, 10, 4
 SLACK = 5.0
 #: Buckets with more members are verified where they are compared, in blocks of so many; rows of small buckets that are compared together.
 SMALL, BLOCK, CHUNK_ROWS = 64, 2048, 20_000
+#: Buckets of more blocks are split, as blocks would copy their rows more often than further bands do; sets of at most so many shingles stay together there.
+SPLIT_BLOCKS, FEW = (1 << REGISTER_BITS) // BAND_ROWS, 24
 
 
 def shingle_set(text: str | None, hashes: WordHashes, n: int) -> np.ndarray:
@@ -170,22 +176,58 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, shingle_words:
     open_rows = placed.join(split, F.col("bucket") == F.col("_bucket")).drop("_bucket")
     left = signed.select(F.col("doc_id").alias("_id"), "registers")
     open_rows = saved(open_rows.join(left, F.col("doc_id") == F.col("_id")).drop("_id"), "open")
-    few = _verified(_pairs_of_small(open_rows.where(F.col("members") <= SMALL), percent), sets, percent)
-    many = _links_of_large(open_rows.where(F.col("members") > SMALL), sets, percent)
+    whole = open_rows.where(F.col("members") <= SPLIT_BLOCKS * BLOCK).withColumns({"first": F.lit(-1), "second": F.lit(-1)})
+    rows = whole.unionByName(_refined(open_rows.where(F.col("members") > SPLIT_BLOCKS * BLOCK), left))
+    few = _verified(_pairs_of_small(rows.where(F.col("members") <= SMALL), percent), sets, percent)
+    many = _links_of_large(rows.where(F.col("members") > SMALL), sets, percent)
     return linked.unionByName(few).unionByName(many)
 
 
-def _candidates(bucket: int, regs: np.ndarray, ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, percent: int, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _own_band(bucket: int, bands: np.ndarray) -> int:
+    """The band of a row's registers that put it into the bucket."""
+    numbers = np.arange(len(bands), dtype=np.uint64)
+    return int(np.flatnonzero(mixed(bands + mixed(numbers + np.uint64(1))).view(np.int64) == bucket)[0])
+
+
+def _refined(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Rows of open buckets, split by each later band; first and second: the bucket's band and the later one.
+
+    The last part, whose second is the number of bands, holds the sets of few shingles. signed: _id and registers.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bands = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            bucket, few = batch.column("bucket").to_numpy(), batch.column("n_shingles").to_numpy() <= FEW
+            first = np.array([_own_band(b, own) for b, own in zip(bucket, bands)], np.int32)
+            key = np.c_[bands, few.astype(np.uint64)]
+            row, second = np.nonzero((key > 0) & (np.arange(key.shape[1]) > first[:, None]))
+            part = mixed(mixed(bucket.view(np.uint64)[row] + mixed(second.astype(np.uint64) + np.uint64(1))) + key[row, second])
+            take = pa.array(row)
+            held = [batch.column(c).take(take) for c in ("doc_id", "part", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), *held, pa.array(first[row]), pa.array(second.astype(np.int32))], ["bucket", "doc_id", "part", "n_shingles", "first", "second"])
+
+    narrow = rows.select("bucket", "doc_id", "part", "n_shingles", "registers")
+    parts = saved(narrow.mapInArrow(split, "bucket long, doc_id long, part long, n_shingles long, first int, second int"), "parts")
+    split_again = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
+    split_again = saved(split_again.where("low < high").select(F.col("bucket").alias("_bucket"), "members"), "split")
+    kept = parts.join(split_again, F.col("bucket") == F.col("_bucket")).drop("_bucket")
+    return saved(kept.join(signed, F.col("doc_id") == F.col("_id")).drop("_id"), "refined")
+
+
+def _candidates(bucket: int, split: tuple[int, int], regs: np.ndarray, ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, percent: int, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each place in first, the places in second with which it may link: in another part, of a fitting size
-    and estimate, and in no earlier bucket together (there the pair has been looked at)."""
+    and estimate, and in no earlier bucket together (there the pair has been looked at). split: the two bands of a
+    bucket's part, or -1 twice."""
     bands = regs.view(np.uint64)
-    numbers = np.arange(bands.shape[1], dtype=np.uint64)
-    own = int(np.flatnonzero(mixed(bands[0] + mixed(numbers + np.uint64(1))).view(np.int64) == bucket)[0])
+    earlier = np.delete(np.arange(split[1]), split[0]) if split[1] >= 0 else np.arange(_own_band(bucket, bands[0]))
     for k in first:
         may = (parts[second] != parts[k]) & (ids[second] > ids[k]) & (100 * np.minimum(sizes[k], sizes[second]) >= percent * np.maximum(sizes[k], sizes[second]))
         at = second[may]
-        if len(at) and own:
-            at = at[~((bands[at, :own] == bands[k, :own]) & (bands[k, :own] > 0)).any(axis=1)]
+        if len(at) and len(earlier):
+            at = at[~((bands[np.ix_(at, earlier)] == bands[k, earlier]) & (bands[k, earlier] > 0)).any(axis=1)]
         if len(at):
             at = at[can_link(regs[k][None, :], regs[at], percent)]
         if len(at):
@@ -204,17 +246,18 @@ def _pairs_of_small(rows: DataFrame, percent: int) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket")
         bucket, (regs, ids, parts, sizes) = table["bucket"].to_numpy(), _arrays(table)
+        split = list(zip(table["first"].to_pylist(), table["second"].to_pylist()))
         edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
         a, b = [], []
         for low, high in zip(edges[:-1], edges[1:]):
             cut = slice(low, high)
             every = np.arange(high - low)
-            for k, at in _candidates(bucket[low], regs[cut], ids[cut], parts[cut], sizes[cut], percent, every, every):
+            for k, at in _candidates(bucket[low], split[low], regs[cut], ids[cut], parts[cut], sizes[cut], percent, every, every):
                 a.append(np.full(len(at), ids[low + k]))
                 b.append(ids[low + at])
         return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
 
-    dealt = rows.select("bucket", "doc_id", "part", "n_shingles", "registers", F.pmod(F.xxhash64("bucket"), F.lit(chunks)).alias("chunk"))
+    dealt = rows.select("bucket", "first", "second", "doc_id", "part", "n_shingles", "registers", F.pmod(F.xxhash64("bucket"), F.lit(chunks)).alias("chunk"))
     return dealt.groupBy("chunk").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -226,7 +269,7 @@ def _links_of_large(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     dealt = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keyed = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n_shingles", "part", "registers")
+    keyed = dealt.select("bucket", "first", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n_shingles", "part", "registers")
     keyed = keyed.join(sets, F.col("doc_id") == F.col("id")).drop("id")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -249,7 +292,7 @@ def _links_of_large(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
         found = []
         for first, second in ((left, right), (right, left)) if i != j else ((left, left),):
-            for k, at in _candidates(table["bucket"][0].as_py(), regs, ids, parts, sizes, percent, first, second):
+            for k, at in _candidates(table["bucket"][0].as_py(), (table["first"][0].as_py(), table["second"][0].as_py()), regs, ids, parts, sizes, percent, first, second):
                 for m in at.tolist():
                     x, y = top(int(parts[k])), top(int(parts[m]))
                     if x != y:

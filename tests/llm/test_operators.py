@@ -384,6 +384,28 @@ def test_near_duplicates_are_brute_force(spark, monkeypatch, small, block):
     assert got == brute_near(texts, 4, 80)
 
 
+def test_split_buckets_lose_no_links(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "SPLIT_BLOCKS", 1)
+    split = []
+    refined = near_dedup._refined
+    monkeypatch.setattr(near_dedup, "_refined", lambda *a: split.append(refined(*a)) or split[-1])
+    rng, shared = random.Random(8), [f"shared{i}" for i in range(40)]
+    texts = []
+    for i in range(90):  # unlike documents around one passage, a third of them with an altered copy; and short ones
+        own = shared + [f"{rng.choice('abcd')}{rng.randint(0, 9999)}" for _ in range(60)]
+        texts.append((i, " ".join(own)))
+        if i % 3 == 0:
+            own[rng.randrange(40, 100)] = "altered"
+            texts.append((1000 - i, " ".join(own)))
+        texts.append((2000 + i, " ".join(shared[: rng.randint(4, 12)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, texts), 4).collect()}
+    assert got == brute_near(texts, 4, 80)
+    seconds = {r["second"] for r in split[0].select("second").distinct().collect()}
+    assert 32 in seconds and len(seconds) > 5, sorted(seconds)
+
+
 def test_near_duplicates_of_awkward_rows(awkward):
     rows = near_dedup.near_duplicates(awkward).collect()
     assert len(rows) == len(AWKWARD)
