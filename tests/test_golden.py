@@ -237,3 +237,12 @@ def test_streamed_summary_equals_batch(spark, tmp_path):
 def test_six_digits_are_those_of_the_binary_value(spark, values):
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", prompts.six_digits("v").alias("t")).collect()
     assert [r["t"] for r in rows] == [f"{r['v']:.6g}".replace("-0", "0") if r["v"] == 0 else f"{r['v']:.6g}" for r in rows]
+
+
+def test_exact_keys_fold_case_as_unicode_does(spark):
+    from scenequery.operators.answers import exact_key
+
+    letters = [chr(c) for c in range(0x21, 0x20000) if not 0xD800 <= c < 0xE000 and not chr(c).isspace()]
+    rows = [(a, b) for x in letters for a, b in {(x, x.casefold()), (x, x.lower()), (x, x.upper())} if x.casefold() != x or a != b]
+    held = spark.createDataFrame(rows, "a string, b string").select("a", "b", exact_key("a").alias("ka"), exact_key("b").alias("kb")).collect()
+    assert [(r["a"], r["b"]) for r in held if (r["ka"] == r["kb"]) != (r["a"].casefold() == r["b"].casefold())] == []
