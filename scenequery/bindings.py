@@ -31,7 +31,9 @@ def _names(names: tuple[str, ...]) -> str:
 
 
 def image_name(i: Column) -> Column:
-    return F.concat(F.lit("scene_"), F.lpad(i.cast("string"), 6, "0"))
+    """scene_ and the number, of six digits at least."""
+    digits = i.cast("string")
+    return F.concat(F.lit("scene_"), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +191,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PIXELS = f"SELECT 'scene_' || lpad(CAST(vec_id // {PER_IMAGE} AS VARCHAR), 6, '0') AS image, vec_id AS object_id, (pos - 1) % {SIDE} AS x, (pos - 1) // {SIDE} AS y, CAST(embedding[pos] AS DOUBLE) AS d FROM embeddings, (SELECT unnest(range(1, {SIDE * SIDE + 1})) AS pos)"
+def image_name_sql(i: str) -> str:
+    return f"'scene_' || lpad(CAST({i} AS VARCHAR), CAST(greatest(6, length(CAST({i} AS VARCHAR))) AS INTEGER), '0')"
+
+
+_PIXELS = f"SELECT {image_name_sql(f'vec_id // {PER_IMAGE}')} AS image, vec_id AS object_id, (pos - 1) % {SIDE} AS x, (pos - 1) // {SIDE} AS y, CAST(embedding[pos] AS DOUBLE) AS d FROM embeddings, (SELECT unnest(range(1, {SIDE * SIDE + 1})) AS pos)"
 
 
 def _pick(names: tuple[str, ...], i: str) -> str:
@@ -211,7 +217,7 @@ SQL = {
     "b_objects": f"""SELECT image, CAST(object_id % {PER_IMAGE} + 1 AS INTEGER) AS ord, object_id, {_pick(LABELS, 'object_id % 5')} AS label, (object_id % 100) / 100 AS confidence,
       CASE WHEN count(*) FILTER (d > 0) > 0 THEN [CAST(min(x) FILTER (d > 0) AS DOUBLE), CAST(min(y) FILTER (d > 0) AS DOUBLE), CAST(max(x) FILTER (d > 0) AS DOUBLE), CAST(max(y) FILTER (d > 0) AS DOUBLE)] END AS bbox
       FROM ({_PIXELS}) GROUP BY image, object_id""",
-    "b_questions": f"""SELECT o_orderkey AS question_id, 'scene_' || lpad(CAST(o_orderkey % (SELECT max(vec_id) // {PER_IMAGE} + 1 FROM embeddings) AS VARCHAR), 6, '0') AS image, {_pick(TYPES, 'o_orderkey % 4')} AS type,
+    "b_questions": f"""SELECT o_orderkey AS question_id, {image_name_sql(f'o_orderkey % (SELECT max(vec_id) // {PER_IMAGE} + 1 FROM embeddings)')} AS image, {_pick(TYPES, 'o_orderkey % 4')} AS type,
       CASE WHEN o_orderkey % 17 <> 0 THEN [{_pick(TARGETS, 'o_custkey % 6')}, {_pick(TARGETS, '(o_custkey + 1 + o_orderkey % 5) % 6')}] ELSE [{_pick(TARGETS, 'o_custkey % 6')}] END AS targets,
       {_pick(TARGETS, '(o_orderkey + o_custkey) % 6')} AS answer, 'Which object fits question ' || o_orderkey || '?' AS question FROM orders""",
     "b_results": f"""SELECT event_id AS question_id, track, {_pick(TYPES, 'event_id % 4')} AS type, {_pick(('fill', 'select'), 'event_id % 2')} AS format_type,
@@ -240,7 +246,7 @@ SQL = {
     "b_mq": f"""SELECT vec_id AS question_id, {_pick(('distance_infer_center_oo', 'obj_spatial_relation_oo', 'depth_prediction_oc'), 'vec_id % 3')} AS task,
       'Is the ' || {_pick(('red', 'green', 'blue'), 'vec_id % 3')} || ' point farther than the ' || {_pick(('red', 'green', 'blue'), '(vec_id + 1) % 3')} || ' bbox?' || chr(10) || 'A. lamp (green point)' || chr(10) || 'B. cup (blue point)' AS question,
       {_pick(('A', 'B'), 'vec_id % 2')} AS answer FROM embeddings""",
-    "b_detections": """SELECT 'scene_' || lpad(CAST(l_orderkey AS VARCHAR), 6, '0') AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) AS pos, p_type AS label, p_brand AS brand, l_discount * 10 AS conf, l_partkey % 6 AS cls FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "b_detections": f"""SELECT {image_name_sql('l_orderkey')} AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) AS pos, p_type AS label, p_brand AS brand, l_discount * 10 AS conf, l_partkey % 6 AS cls FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import answers, files, further, geometry, io, metrics, public
+from .plans import answers, files, further, geometry, io, metrics, public, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (geometry, answers, metrics, public, io, further, files):
+for _part in (geometry, answers, metrics, public, io, further, files, stored):
     QUERIES |= _part.catalogue.queries
     ORACLE_SQL |= _part.catalogue.sql

@@ -10,6 +10,24 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def rounded(x: Column | str) -> Column:
+    """A number to six decimals, half to even on its exact binary value; null, NaN, infinities and numbers from 4e9 on, which have no further digits to lose or few, as they are.
+
+    The product with a million is off by what two exact products of its halves tell, which decides where it falls on a half.
+    """
+    million = 1e6
+
+    def nearest(v: Column) -> Column:
+        upper = v * 134217729.0 - (v * 134217729.0 - v)
+        product = v * million
+        beyond = (upper * million - product) + (v - upper) * million
+        whole = F.rint(product)
+        off = product - whole
+        return F.when(F.abs(v) < 4e9, (whole + F.when((off == 0.5) & (beyond > 0), 1.0).when((off == -0.5) & (beyond < 0), -1.0).otherwise(0.0)) / million).otherwise(v)
+
+    return F.get(F.transform(F.array(col(x).cast("double")), nearest), 0)
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Share rounded to six digits; 0 where there is nothing to divide by."""
     return F.coalesce(F.round(F.try_divide(numerator, denominator), 6), F.lit(0.0))

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.common import col, finite
+from .parts import largest_part
 
 
 def _if(keep: Column, value: Column | str) -> Column:
@@ -53,6 +54,55 @@ def depth_stats(pixels: DataFrame, keys: list[str], inside: Column, prefix: str
     return pixels.groupBy(*keys).agg(*depth_columns(inside, prefix))
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by keys of which nulls are equal; the right side's further columns follow."""
+    named = right.select(*[F.col(k).alias(f"_right{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_right{i}")) for i, k in enumerate(keys)]
+    return left.join(named, same, how).drop(*[f"_right{i}" for i in range(len(keys))])
+
+
+def selected_quantiles(values: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 64) -> DataFrame:
+    """keys and ``quantiles``, exact and linearly interpolated, of groups of any size; for groups that one task can hold, F.percentile is shorter.
+
+    A mergeable sketch cuts each group into buckets of about equal numbers; counting them tells which buckets hold the wanted ranks, and
+    only those buckets' values, equal ones counted together, are sorted, each bucket by itself. Nulls don't count; NaN is largest.
+    """
+    rows = values.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    edges = F.percentile_approx("_v", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(10000))
+    cut = rows.groupBy(*keys).agg(F.array_distinct(edges).alias("_edges"), F.count(F.lit(1)).alias("_n"))
+    cut = cut.withColumn("_edges", F.concat("_edges", F.array_repeat(F.lit(float("nan")), buckets)))  # NaN: above every value
+    placed = _joined(rows, cut, keys).withColumn("_b", F.lit(0))
+    step = 1 << (buckets - 1).bit_length() >> 1
+    while step:  # how many edges lie below the value, by halving
+        placed = placed.withColumn("_b", F.when(F.get("_edges", F.col("_b") + step - 1) < F.col("_v"), F.col("_b") + step).otherwise(F.col("_b")))
+        step >>= 1
+    placed = placed.drop("_edges")
+    counts = placed.groupBy(*keys, "_b", "_n").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # the buckets' rows
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    at = F.transform(F.array(*map(F.lit, shares)), lambda p: (F.col("_n") - 1) * p)
+    ranks = F.array_distinct(F.flatten(F.transform(at, lambda h: F.array(F.floor(h), F.ceil(h)))))
+    wanted = starts.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_m")))).where(F.size("_ranks") > 0)
+    inside = _joined(placed, wanted.select(*keys, "_b", "_start", "_ranks"), [*keys, "_b"])
+    distinct = inside.groupBy(*keys, "_n", "_b", "_v", "_start", "_ranks").agg(F.count(F.lit(1)).alias("_m"))
+    own = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_start") + F.coalesce(F.sum("_m").over(own), F.lit(0))
+    held = distinct.withColumn("_first", first).withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_m")))))
+    found = held.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))  # two ranks a share
+    value_at = lambda r: F.try_element_at("_at", r)
+    return found.select(*keys, F.transform(at, lambda h: value_at(F.floor(h)) * (1 - (h - F.floor(h))) + value_at(F.ceil(h)) * (h - F.floor(h))).alias("quantiles"))
+
+
+def depth_stats_large(pixels: DataFrame, keys: list[str], inside: Column, prefix: str = "relative_depth_") -> DataFrame:
+    """As depth_stats(), for groups of more pixels than one task holds; groups without a depth inside keep their row, with nulls."""
+    d = _if(inside & finite("d"), "d")
+    plain = pixels.groupBy(*keys).agg(F.min(d).alias("_min"), F.max(d).alias("_max"), F.avg(d).alias("_mean"))
+    found = selected_quantiles(pixels.withColumn("_d", d), keys, "_d", [0.5, 0.1, 0.9])
+    joined = _joined(plain, found, keys, "left")
+    stats = {"min": F.col("_min"), "max": F.col("_max"), "mean": F.col("_mean")} | {k: F.get("quantiles", F.lit(i)) for i, k in enumerate(("median", "p10", "p90"))}
+    return joined.select(*keys, *[F.round(v, 6).alias(prefix + k) for k, v in stats.items()])
+
+
 def depth_stats_positive(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """As depth_stats over finite depths above zero, with their count and whether there are any."""
     inside = finite("d") & (F.col("d") > 0)
@@ -102,18 +152,9 @@ def near_depth(pixels: DataFrame, points: DataFrame, keys: list[str], radii: tup
 
 def largest_component(mask: np.ndarray) -> np.ndarray:
     """Pixels of the largest 8-connected part of a mask; of equal ones, that with the first pixel in row order."""
-    height, width = mask.shape
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:  # the least label spreads through each part
-        padded = np.pad(np.where(mask, label, mask.size + 1), 1, constant_values=mask.size + 1)
-        least = np.min([padded[i : i + height, j : j + width] for i in range(3) for j in range(3)], axis=0)
-        spread = np.where(mask, least, 0)
-        if (spread == label).all():
-            break
-        label = spread
-    sizes = np.bincount(label.ravel())
-    sizes[0] = 0
-    return label == sizes.argmax() if sizes.any() else mask
+    out = np.zeros_like(mask, bool)
+    out[largest_part(mask)] = True
+    return out
 
 
 def component_geometry(rasters: DataFrame, keys: list[str], raster: str, width: int, threshold: float) -> DataFrame:
@@ -130,8 +171,7 @@ def component_geometry(rasters: DataFrame, keys: list[str], raster: str, width:
             which, rows = [], []
             for i, cells in enumerate(batch.column(raster)):
                 values = np.array(cells.as_py() or [], float)
-                part = largest_component(values.reshape(-1, width) > threshold)
-                ys, xs = np.nonzero(part)
+                ys, xs = largest_part(values.reshape(-1, width) > threshold)
                 if len(xs):
                     which.append(i)
                     rows.append((len(xs), xs.min(), ys.min(), xs.max(), ys.max(), np.median(xs), np.median(ys)))
@@ -142,7 +182,7 @@ def component_geometry(rasters: DataFrame, keys: list[str], raster: str, width:
     return inner.mapInArrow(find, schema)
 
 
-#: Least value of a marker's own channel, and by how much it exceeds both others.
+#: Least value of a marker's own channel, and by how much it exceeds both others.
 MARKER_COLORS = {"red": (220, 150), "green": (100, 100), "blue": (180, 150)}
 
 

@@ -68,6 +68,39 @@ def question_errors(questions: DataFrame) -> DataFrame:
     return numbered.select("pos", F.explode(every).alias("e")).select("pos", "e.code", "e.detail")
 
 
+def document_errors(documents: DataFrame) -> DataFrame:
+    """(file_name, pos, place, error) of question documents given as text, whatever their types, in the documents' order.
+
+    documents: file_name and value. pos is the question's index, -1 for the document; place orders a question's errors. A null field
+    is there; only text ids can repeat; a type or an id that is no text is told as JSON.
+    """
+    whole = documents.select("file_name", F.try_parse_json("value").alias("v"))
+    listed = whole.withColumn("_q", F.try_variant_get("v", "$.questions", "array<variant>"))
+    bad = F.when(F.col("v").isNull(), "document is not JSON").when(F.col("_q").isNull(), "top-level field 'questions' must be a list")
+    top = listed.select("file_name", F.lit(-1).alias("pos"), F.lit(0).alias("place"), bad.alias("error")).where("error is not null")
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    field = lambda name, to: F.try_variant_get("q", f"$.{name}", to)
+    each = listed.select("file_name", F.posexplode("_q").alias("pos", "q")).withColumn("is_object", F.startswith(kind(F.col("q")), F.lit("OBJECT")))
+    each = each.withColumn("id", F.when(kind(field("question_id", "variant")) == "STRING", field("question_id", "string")))
+    # questions without a text id are dealt by place, so that they are no hot key
+    seen = F.row_number().over(Window.partitionBy("file_name", "id", F.when(F.col("id").isNull(), F.col("pos"))).orderBy("pos"))
+    each = each.withColumn("nth", F.when(F.col("id").isNotNull(), seen))
+    told = F.concat(F.lit("questions["), F.col("pos").cast("string"), F.lit("]"))
+    given = lambda name: field(name, "variant").isNotNull() & (kind(field(name, "variant")) != "VOID")
+    of_kind = lambda name, start: F.startswith(kind(field(name, "variant")), F.lit(start))
+    texts = F.coalesce(F.forall(field("target_objects", "array<variant>"), lambda x: kind(x) == "STRING"), F.lit(False))
+    said = F.when(of_kind("type", "STRING"), field("type", "string")).otherwise(F.to_json(field("type", "variant")))
+    rules = [F.when(field(name, "variant").isNull(), F.concat(told, F.lit(f" missing required field: {name}"))) for name in QUESTION_FIELDS] + [
+        F.when(F.col("nth") > 1, F.concat(told, F.lit(" duplicate question_id: "), F.col("id"))),
+        F.when(given("type") & ~F.coalesce(of_kind("type", "STRING") & field("type", "string").isin(*QUESTION_TYPES), F.lit(False)), F.concat(told, F.lit(" unknown type: "), said, F.lit(f". Allowed: {', '.join(QUESTION_TYPES)}"))),
+        F.when(given("target_objects") & ~(of_kind("target_objects", "ARRAY") & texts), F.concat(told, F.lit(" target_objects must be a list of strings"))),
+        F.when(given("evaluation") & ~of_kind("evaluation", "OBJECT"), F.concat(told, F.lit(" evaluation must be an object"))),
+    ]
+    errors = F.when(F.col("is_object"), F.array(*rules)).otherwise(F.array(F.concat(told, F.lit(" must be an object"))))
+    below = each.select("file_name", "pos", F.posexplode(errors).alias("place", "error")).where("error is not null")
+    return top.unionByName(below)
+
+
 def template_errors(templates: DataFrame) -> DataFrame:
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in TEMPLATE_FIELDS]), lambda c: c.isNotNull())
     return templates.select("pos", F.explode(missing).alias("detail")).select("pos", F.lit("missing_field").alias("code"), "detail")

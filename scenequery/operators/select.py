@@ -50,30 +50,45 @@ def sort_key(config: Selection) -> Column:
     return F.struct(F.when(place > 0, place - 1).otherwise(len(config.format_priority)).alias("f"), number.isNull().cast("int").alias("t"), F.coalesce(number, F.lit(0)).alias("n"), source_id("id").alias("id"))
 
 
-def select_rows(rows: DataFrame, phase: str, config: Selection = Selection()) -> DataFrame:
+def select_rows(rows: DataFrame, phase: str, config: Selection = Selection(), tie: Column | None = None) -> DataFrame:
     """Every row with its reasons; selected rows have none.
 
-    A task takes its first rows up to a limit, if there is one, the phase the first of those up to another.
-    The phase's last key is one value found by a top-k; every row is then judged by itself.
+    A task takes its first rows up to a limit, if there is one, the phase the first of those up to another. Rows with one key (repeated
+    or missing ids) count each for itself and go by ``tie``, then by a hash of their columns; rows alike in that too are one entry with
+    a number of copies. Entries are narrow and cut per task before they meet, the phase's entries are a short list, and every row is then
+    judged by where its entry stands.
     """
     limit = PHASE_LIMITS[phase]
     cap = None if phase == "c" else config.per_task_limit
     judged = rows.withColumn("reasons", exclusion_reasons(config)).withColumn("key", sort_key(config))
-    if limit is None and cap is None:
-        return judged.withColumn("selected", F.size("reasons") == 0)
     able = F.size("reasons") == 0
+    if limit is None and cap is None:
+        return judged.withColumn("selected", able)
     task = F.when(clean_text("task") == "", "unknown").otherwise(clean_text("task"))
-    capped = judged.where(able).withColumn("_t", task)
+    alike = F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in rows.schema.fields])
+    judged = judged.withColumn("_at", F.struct("key", (F.lit(0) if tie is None else tie).alias("tie"), alike.alias("hash")))
+    entries = judged.where(able).groupBy("_at", task.alias("_t")).agg(F.count(F.lit(1)).alias("_m")).withColumn("_g", F.col("_m"))
+    before = lambda window: F.coalesce(F.sum("_g").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if cap is not None:
-        capped = capped.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy("key"))).where(F.col("_n") <= cap)
-    taken = capped.select("key").orderBy("key").limit(limit)
-    last = taken.agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n"))  # one row
-    chosen = taken.select(F.col("key").alias("_key"), F.lit(True).alias("_in"))
-    joined = judged.crossJoin(F.broadcast(last)).join(chosen, F.col("key") == F.col("_key"), "left")
-    inside = F.coalesce(F.col("_in"), F.lit(False)) & able
-    late = (F.col("n") >= limit) & (F.col("key") > F.col("last"))
-    reason = F.when(able & ~inside, F.when(late, F.array(F.lit("phase_limit"))).otherwise(F.array(F.lit("per_task_limit")))).otherwise(F.col("reasons"))
-    return joined.select(*rows.columns, reason.alias("reasons"), "key", inside.alias("selected"))
+        own = Window.partitionBy("_t").orderBy("_at")
+        entries = entries.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= cap)
+        entries = entries.withColumn("_g", F.least("_g", cap - before(own))).where("_g > 0")
+    if limit is not None:
+        first = entries.orderBy("_at").limit(limit)
+        entries = first.withColumn("_g", F.least("_g", limit - before(Window.orderBy("_at")))).where("_g > 0")
+    taken = entries.select("_at", "_m", "_g")
+    last = taken.agg(F.max("_at").alias("_last"), F.coalesce(F.sum("_g"), F.lit(0)).alias("_taken"))  # one row
+    joined = judged.join(taken if limit is None else F.broadcast(taken), "_at", "left").crossJoin(F.broadcast(last))
+    late = F.lit(False) if limit is None else (F.col("_taken") >= limit) & (F.col("_at") >= F.col("_last"))
+    reason = F.when(able & ~F.col("_in"), F.when(late, F.array(F.lit("phase_limit"))).otherwise(F.array(F.lit("per_task_limit")))).otherwise(F.col("reasons"))
+    whole = joined.where("_g is null or _g = _m").withColumn("_in", F.col("_g").isNotNull())
+    # of an entry that a limit cuts, one row stands for its copies
+    names = [*rows.columns, "reasons", "key"]
+    cut = joined.where("_g < _m").groupBy("_at", "_g", "_m", "_last", "_taken").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in names])
+    copies = cut.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_m - 1) div 10000"))))
+    copies = copies.withColumn("_i", F.explode(F.expr("sequence(_block * 10000 + 1, least(_m, (_block + 1) * 10000))"))).withColumn("_in", F.col("_i") <= F.col("_g"))
+    shown = [*[F.col(f"`{c}`") for c in rows.columns], reason.alias("reasons"), "key", F.col("_in").alias("selected")]
+    return whole.select(*shown).unionByName(copies.select(*shown))
 
 
 def selection_audit(selection: DataFrame) -> DataFrame:

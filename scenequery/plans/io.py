@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -17,10 +19,24 @@ catalogue = Catalogue()
 query = catalogue.query
 
 
+_made: list[tuple[str, object]] = []
+
+
 def scratch(spark) -> str:
-    """A new folder for a round trip, in the session's shared one where that is set."""
+    """A new folder for a round trip, in the session's shared one; where that is unset a temporary one in local mode, an error elsewhere. Deleted when the driver's Python ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/io-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="scenequery-")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{shared.rstrip('/')}/io-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="scenequery-")
+    _made.append((path, spark))
+    return path
+
+
+@atexit.register
+def _tidy() -> None:
+    for path, spark in _made:
+        with contextlib.suppress(Exception):  # the cluster may be gone by now
+            sinks.delete(spark, path)
 
 
 _COLOR = "[80 + CAST('0x' || substr(sha256(t), {a}, 2) AS INTEGER) % 176, 80 + CAST('0x' || substr(sha256(t), {b}, 2) AS INTEGER) % 176, 80 + CAST('0x' || substr(sha256(t), {c}, 2) AS INTEGER) % 176]".format(a=1, b=3, c=5)

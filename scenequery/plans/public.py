@@ -12,7 +12,7 @@ from ..operators import select as s
 from ..operators.decide import best_by_label, missing_targets
 from . import Catalogue
 from .answers import METRIC_SQL, _BEST, _MISSING, _Q
-from .geometry import MARKERS_SQL, SIDE, object_geometry, pairwise_relations
+from .geometry import MARKERS_SQL, SIDE, object_geometry
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -182,7 +182,7 @@ def prompt_rows_local(spark, d):
 
 def local_prompts(spark, d):
     geometry = object_geometry(spark, d)
-    told = t.evidence(geometry, pairwise_relations(spark, d), F.coalesce("closeness_score", "relative_depth_p90", "relative_depth_median"), SIDE, SIDE)
+    told = t.evidence(geometry, g.pairwise_relations(geometry, SIDE, SIDE), F.coalesce("closeness_score", "relative_depth_p90", "relative_depth_median"), SIDE, SIDE)
     shown = missing_targets(b.questions(spark, d), b.objects(spark, d))
     return t.local_prompts(shown, told, best_by_label(geometry).select("image", "label", "object_id", "closeness"))
 
@@ -242,7 +242,7 @@ def prompt_readiness(spark, d):
 @query(f"""{_PROMPTS} SELECT question_id, contains(pure_vlm, asked) AND contains(geometry_only, asked) AND contains(image_and_geometry, asked) AS has_all,
   regexp_matches(lower(concat_ws(' | ', pure_vlm, geometry_only, image_and_geometry)), '(gold|correct|reference)\\s+answer\\s*:') AS leak FROM pr JOIN (SELECT question_id, 'Question: Is the' AS asked FROM b_mq) USING (question_id)""")
 def prompt_leaks(spark, d):
-    return _bench_prompts(spark, d).select("question_id", (F.size(F.filter(F.map_values("prompts"), lambda p: F.contains(p, F.lit("Question: Is the")))) == 3).alias("has_all"), t.prompt_leaks("prompts").alias("leak"))
+    return _bench_prompts(spark, d).select("question_id", (F.size(F.filter(F.map_values("prompts"), lambda p: F.contains(p, F.lit("Question: Is the")))) == 3).alias("has_all"), t.prompt_leaks("prompts", F.lit("A")).alias("leak"))
 
 
 @query(f"""{_PROMPTS}, tr AS (SELECT question_id, 'pure_vlm' AS track, pure_vlm AS p FROM pr UNION ALL SELECT question_id, 'geometry_only', geometry_only FROM pr UNION ALL SELECT question_id, 'image_and_geometry', image_and_geometry FROM pr UNION ALL SELECT question_id, 'other', NULL FROM pr)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..operators.review import rename_conflicts
 from . import readers
-from .sinks import check_outputs, finite_columns, write_json_lines
+from .reports import image_exports
+from .sinks import check_outputs, delete, finite_columns, write_json_lines
 
 
 def _opened(path: str):
@@ -61,31 +62,86 @@ def json_files(rows: DataFrame, name) -> DataFrame:
     return finite_columns(rows).select(name.alias("name"), F.encode(text, "UTF-8").alias("content"))
 
 
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png_file(lines: np.ndarray, channels: int) -> bytes:
+    """A PNG file of lines of bytes, gray or RGB; every line is told by the one of three filters that leaves the smallest differences."""
+    height, width = lines.shape[0], lines.shape[1] // channels
+    above = np.vstack([np.zeros((1, lines.shape[1]), np.uint8), lines[:-1]])
+    left = np.hstack([np.zeros((height, channels), np.uint8), lines[:, :-channels]])
+    filtered = np.stack([lines, lines - left, lines - above])  # none, left, above; differences wrap around
+    cost = np.minimum(filtered, 256 - filtered.astype(np.int16)).sum(axis=2)
+    kinds = cost.argmin(axis=0)
+    told = np.hstack([kinds[:, None].astype(np.uint8), filtered[kinds, np.arange(height)]])
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(told.tobytes())) + _chunk(b"IEND", b"")
+
+
 def png_bytes(rasters: DataFrame, keys: list[str]) -> DataFrame:
     """keys and content: each raster (height, width, values of 0 to 255) as a grayscale PNG file."""
-    inner = rasters.select(*keys, "height", "width", "values")
+    return _encoded(rasters, keys, "values", lambda h, w, values: png_file(np.array(values, np.uint8).reshape(h, w), 1))
+
+
+def rgb_png_bytes(rasters: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and content: each raster (height, width, rgb, three bytes a pixel) as a colour PNG file."""
+    return _encoded(rasters, keys, "rgb", lambda h, w, rgb: png_file(np.frombuffer(rgb, np.uint8).reshape(h, 3 * w), 3))
+
+
+def _encoded(rasters: DataFrame, keys: list[str], raster: str, encode: Callable) -> DataFrame:
+    inner = rasters.select(*keys, "height", "width", raster)
     schema = ", ".join(f"{k} {t}" for k, t in inner.select(*keys).dtypes) + ", content binary"
 
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [encode(h, w, values.as_py()) for h, w, values in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column(raster))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, pa.binary())], [*keys, "content"])
+
+    return inner.mapInArrow(run, schema)
+
+
+def _images(spark: SparkSession, folder: str) -> DataFrame:
+    """name, height, width, nChannels and data of the images of a folder; one that can't be decoded stops the job."""
+    images = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
+    wrong = F.raise_error(F.concat(F.lit("unreadable image: "), "origin")).cast("int")
+    return images.select(readers.file_name("origin").alias("name"), F.when(F.col("width") > 0, F.col("height")).otherwise(wrong).alias("height"), "width", "nChannels", "data")
+
+
+def color_rasters(spark: SparkSession, folder: str) -> DataFrame:
+    """name, height, width and rgb (three bytes a pixel in row order) of the images of a folder; gray becomes three equal channels, opacity goes."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for h, w, values in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("values")):
-                lines = np.zeros((h, w + 1), np.uint8)  # every line begins with its filter, 0
-                lines[:, 1:] = np.array(values.as_py(), np.uint8).reshape(h, w)
-                out.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b""))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, pa.binary())], [*keys, "content"])
+            for channels, data in zip(batch.column("nChannels").to_pylist(), batch.column("data")):
+                pixels = np.frombuffer(data.as_py(), np.uint8).reshape(-1, channels)
+                out.append((np.repeat(pixels, 3, axis=1) if channels == 1 else pixels[:, 2::-1]).tobytes())  # stored blue first
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("name", "height", "width")), pa.array(out, pa.binary())], ["name", "height", "width", "rgb"])
 
-    return inner.mapInArrow(encode, schema)
+    return _images(spark, folder).mapInArrow(decode, "name string, height int, width int, rgb binary")
+
+
+def export_images(rows: DataFrame, folder: str, aside: str, overwrite: bool = False) -> int:
+    """Write every image of the rows (question_id, images) as an RGB PNG named by question and place; the number of files.
+
+    The images' own bytes are written to the folder aside first, where Spark's reader decodes them; what is no image, or can't be
+    decoded, stops the job before anything is written to the folder.
+    """
+    spark = rows.sparkSession
+    check_outputs(spark, [folder], overwrite)
+    write_files(image_exports(rows), aside, overwrite=True)
+    decoded = rgb_png_bytes(color_rasters(spark, aside), ["name"])
+    ready = f"{aside.rstrip('/')}-ready"
+    decoded.select(F.regexp_replace("name", r"\.[^.]*$", ".png").alias("name"), "content").write.mode("overwrite").parquet(ready)
+    n = write_files(spark.read.parquet(ready), folder, overwrite)
+    delete(spark, aside)
+    delete(spark, ready)
+    return n
 
 
 def gray_rasters(spark: SparkSession, folder: str) -> DataFrame:
     """name, height, width and values (gray, 0 to 255) of the images of a folder; one that can't be decoded stops the job."""
-    images = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
-    wrong = F.raise_error(F.concat(F.lit("unreadable image: "), "origin")).cast("int")
-    checked = images.select(readers.file_name("origin").alias("name"), F.when(F.col("width") > 0, F.col("height")).otherwise(wrong).alias("height"), "width", "nChannels", "data")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +151,7 @@ def gray_rasters(spark: SparkSession, folder: str) -> DataFrame:
                 out.append(pixels[:, 0] if channels == 1 else np.rint(pixels[:, :3] @ np.array([0.114, 0.587, 0.299], np.float32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("name", "height", "width")), pa.array(out, pa.list_(pa.float32()))], ["name", "height", "width", "values"])
 
-    return checked.mapInArrow(decode, "name string, height int, width int, values array<float>")
+    return _images(spark, folder).mapInArrow(decode, "name string, height int, width int, values array<float>")
 
 
 def mask_pixels(spark: SparkSession, folder: str, height: int, width: int) -> DataFrame:

@@ -30,11 +30,56 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(F.col("name").rlike(IMAGE_NAME))
 
 
+def _number(content: Column, at: Column | int, size: int, little: bool = False) -> Column:
+    """The whole number of some bytes, from a place counted from 0; null beyond the end."""
+    digits = F.hex(F.substring(content, F.lit(at) + 1 if isinstance(at, int) else at + 1, F.lit(size)))
+    if little:
+        digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
+    return F.when(F.length(digits) == 2 * size, F.conv(digits, 16, 10).cast("long"))
+
+
+def image_kind(content: Column | str) -> Column:
+    """png, jpg or bmp by the first bytes; null for others."""
+    head = F.hex(F.substring(col(content), 1, 8))
+    return F.when(head == "89504E470D0A1A0A", "png").when(F.startswith(head, F.lit("FFD8FF")), "jpg").when(F.startswith(head, F.lit("424D")), "bmp")
+
+
+#: Marker segments that a JPEG's header is searched in; files of cameras have some tens before the frame.
+SEGMENTS_READ = 512
+
+
+def _jpeg_size(content: Column) -> Column:
+    """A struct of width and height from the frame's segment; the walk goes from segment to segment by their lengths."""
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(2).cast("long").alias("at"), none.alias("width"), none.alias("height"))
+
+    def step(s: Column, _: Column) -> Column:
+        mark, kind, length = (_number(content, s["at"] + k, n) for k, n in ((0, 1), (1, 1), (2, 2)))
+        frame = (kind >= 0xC0) & (kind <= 0xCF) & ~kind.isin(0xC4, 0xC8, 0xCC)
+        bare = (kind == 0x01) | ((kind >= 0xD0) & (kind <= 0xD7))
+        after = F.when(mark != 0xFF, none).when(kind == 0xFF, s["at"] + 1).when(bare, s["at"] + 2).when(frame | kind.isin(0xD9, 0xDA), none).when(length >= 2, s["at"] + 2 + length)
+        found = lambda k: F.when((mark == 0xFF) & frame, _number(content, s["at"] + k, 2)).otherwise(none)
+        moved = F.struct(after.alias("at"), found(7).alias("width"), found(5).alias("height"))
+        return F.when(s["at"].isNull(), s).otherwise(moved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS_READ)), start, step)
+
+
+def image_size(content: Column | str) -> Column:
+    """A struct of width and height, read from the header of PNG, JPEG or BMP bytes; nulls where it can't be."""
+    c = col(content)
+    kind, jpeg = image_kind(c), F.when(image_kind(c) == "jpg", _jpeg_size(c))
+    signed = lambda x: F.abs(F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x))  # noqa: E731  rows of a BMP may go upwards
+    sizes = {"width": (16, 18), "height": (20, 22)}
+    known = {name: F.when((kind == "png") & (F.hex(F.substring(c, 13, 4)) == "49484452"), _number(c, png, 4)).when(kind == "bmp", signed(_number(c, bmp, 4, little=True))).otherwise(jpeg[name]) for name, (png, bmp) in sizes.items()}
+    return F.struct(*[F.when(v > 0, v.cast("int")).alias(name) for name, v in known.items()])
+
+
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """name, width, height and valid of the images of a folder; a file that can't be decoded stays, not valid."""
-    images = spark.read.format("image").option("dropInvalid", False).load(folder)
-    name = file_name("image.origin")
-    return images.select(name.alias("name"), "image.width", "image.height", (F.col("image.width") > 0).alias("valid")).where(F.col("name").rlike(IMAGE_NAME))
+    """name, width, height and valid of the images of a folder, by their headers; a file without a readable one stays, not valid."""
+    files = spark.read.format("binaryFile").load(folder).select(file_name("path").alias("name"), image_size("content").alias("s")).where(F.col("name").rlike(IMAGE_NAME))
+    valid = F.col("s.width").isNotNull() & F.col("s.height").isNotNull()
+    return files.select("name", F.when(valid, F.col("s.width")).alias("width"), F.when(valid, F.col("s.height")).alias("height"), valid.alias("valid"))
 
 
 def documents(spark: SparkSession, path: str, schema: str | T.StructType, pattern: str = "*.json", recursive: bool = False) -> DataFrame:
@@ -163,8 +208,23 @@ def resized(rasters: DataFrame, keys: list[str], height: int, width: int, method
 
 
 def mask_path_candidates(mask_path: Column | str, segments_path: Column | str, root: str) -> Column:
-    """Where a mask may lie, in order: as it is written if absolute, under the root, beside its document, under the root again."""
+    """Where a mask may lie, in order: as it is written if absolute, else under the root, then beside its document."""
     p = F.replace(col(mask_path), F.lit("\\"), F.lit("/"))
-    beside = F.concat(F.regexp_replace(col(segments_path), r"[^/]*$", ""), p)
-    under = F.concat(F.lit(root.rstrip("/") + "/"), p)
-    return F.when(F.startswith(p, F.lit("/")), F.array(p)).otherwise(F.array(under, beside, under))
+    beside = F.concat(F.regexp_replace(col(segments_path), r"[^/]*$", ""), file_name(p))
+    return F.when(F.startswith(p, F.lit("/")), F.array(p)).otherwise(F.array(F.concat(F.lit(root.rstrip("/") + "/"), p), beside))
+
+
+def resolved_mask_paths(segments: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """The segments (mask_path, segments_path and more) with mask_file, the first candidate that there is, else the first of all, and mask_there.
+
+    files: path, a listing of what there is, without a scheme. A blank or missing mask_path stops the job.
+    """
+    wrong = F.raise_error(F.concat(F.lit("Invalid mask_path in "), F.col("segments_path"))).cast("string")
+    checked = segments.withColumn("_p", F.when(F.trim(F.coalesce("mask_path", F.lit(""))) == "", wrong).otherwise(F.col("mask_path")))
+    paths = checked.withColumn("_c", mask_path_candidates("_p", "segments_path", root))
+    each = paths.select(*segments.columns, F.col("_c")[0].alias("_first"), F.get("_c", F.lit(1)).alias("_second"))
+    there = files.select("path").distinct()
+    for name in ("_first", "_second"):
+        each = each.join(there.select(F.col("path").alias(name), F.lit(True).alias(f"{name}_there")), name, "left")
+    use_second = F.col("_first_there").isNull() & F.col("_second_there").isNotNull()
+    return each.select(*segments.columns, F.when(use_second, F.col("_second")).otherwise(F.col("_first")).alias("mask_file"), F.coalesce("_first_there", "_second_there", F.lit(False)).alias("mask_there"))

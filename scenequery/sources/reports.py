@@ -1,27 +1,55 @@
-"""Outputs of several files: all are checked before any is written, and the rows are computed once."""
+"""Outputs of several files as one: all of them appear, or none."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, review, select
-from .sinks import check_outputs, write_csv, write_json, write_json_lines
+from .readers import image_kind
+from .sinks import check_outputs, delete, exists, listed, moved, write_csv, write_json, write_json_lines
 
 Writer = Callable[[DataFrame, str, bool], None]
+#: The folder, in that of the outputs, where complete outputs wait to be moved to their places.
+READY = "_ready"
 
 
 def write_all(spark: SparkSession, folder: str, outputs: dict[str, tuple[DataFrame, Writer]], overwrite: bool = False) -> list[str]:
-    """Write every output under its name in the folder; the paths."""
-    paths = {name: f"{folder.rstrip('/')}/{name}" for name in outputs}
+    """Write every output under its name in the folder; the paths.
+
+    Outputs are written in a folder aside, which one rename declares ready when the last is there; a writer that fails leaves nothing,
+    and a job that dies before that leaves none of the outputs. They then move to their places; a job that dies meanwhile is completed
+    by complete(), which the next write_all() to the folder begins with.
+    """
+    folder = folder.rstrip("/")
+    complete(spark, folder)
+    paths = {name: f"{folder}/{name}" for name in outputs}
     check_outputs(spark, list(paths.values()), overwrite)
-    for name, (rows, write) in outputs.items():
-        write(rows, paths[name], overwrite)
+    aside = f"{folder}/_writing-{uuid.uuid4().hex}"
+    try:
+        for name, (rows, write) in outputs.items():
+            write(rows, f"{aside}/{name}", False)
+        moved(spark, aside, f"{folder}/{READY}")
+    except BaseException:
+        delete(spark, aside)
+        raise
+    complete(spark, folder)
     return list(paths.values())
 
 
+def complete(spark: SparkSession, folder: str) -> None:
+    """Move outputs that are ready to their places, over what stands there."""
+    ready = f"{folder.rstrip('/')}/{READY}"
+    for name in listed(spark, ready):
+        delete(spark, f"{folder}/{name}")
+        moved(spark, f"{ready}/{name}", f"{folder}/{name}")
+    if exists(spark, ready):
+        delete(spark, ready)
+
+
 def _csv(*columns: str) -> Writer:
     return lambda rows, path, overwrite: write_csv(rows, path, list(columns), overwrite)
 
@@ -68,14 +96,13 @@ def write_selection(selection: DataFrame, prefix: str, folder: str, overwrite: b
 
 
 def image_exports(rows: DataFrame) -> DataFrame:
-    """name and content of every image of a row, named by question and place; another kind of image than PNG or JPEG bytes stops the job.
+    """name and content of every image of a row, named by question and place; another kind of image than PNG, JPEG or BMP bytes stops the job.
 
     rows: question_id, images (array of bytes).
     """
     each = rows.select("question_id", F.posexplode("images").alias("i", "content"))
-    head = F.hex(F.substring("content", 1, 4))
-    kind = F.when(F.startswith(head, F.lit("89504E47")), ".png").when(F.startswith(head, F.lit("FFD8FF")), ".jpg").otherwise(F.raise_error(F.concat(F.lit("unsupported image of "), F.col("question_id"))).cast("string"))
-    return each.select(F.concat(F.format_string("%s_view_%02d", "question_id", "i"), kind).alias("name"), "content")
+    kind = F.coalesce(image_kind("content"), F.raise_error(F.concat(F.lit("unsupported image of "), F.col("question_id").cast("string"))).cast("string"))
+    return each.select(F.concat(F.format_string("%s_view_%02d", F.col("question_id").cast("string"), "i"), F.lit("."), kind).alias("name"), "content")
 
 
 def stamped(rows: DataFrame, name: str = "created_at") -> DataFrame:

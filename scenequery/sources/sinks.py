@@ -6,15 +6,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.common import json_safe
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _placed(spark: SparkSession, path: str):
+    """A path and its file system, in Hadoop's terms."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, system = _placed(spark, path)
+    return system.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, system = _placed(spark, path)
+    system.delete(p, True)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder to a place where nothing is."""
+    (a, system), (b, _) = _placed(spark, source), _placed(spark, target)
+    system.mkdirs(b.getParent())
+    if system.exists(b) or not system.rename(a, b):
+        raise FileExistsError(f"can't move {source} to {target}")
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none where there is no folder."""
+    p, system = _placed(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(p)) if system.exists(p) else []
 
 
 def check_outputs(spark: SparkSession, paths: list[str], overwrite: bool = False) -> None:
@@ -28,9 +54,29 @@ def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
+def holds_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(holds_floats(f.dataType) for f in kind.fields)
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType if isinstance(kind, T.MapType) else None
+    return holds_floats(inner) if inner is not None else isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def finite_value(value: Column, kind: T.DataType) -> Column:
+    """The value with every NaN and infinity in it as null, however deep in structs, lists and maps; keys of maps stay."""
+    if not holds_floats(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: finite_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: finite_value(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[finite_value(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return json_safe(value)
+
+
 def finite_columns(rows: DataFrame) -> DataFrame:
-    """NaN and infinities of float columns as null, which JSON can say."""
-    return rows.withColumns({c: json_safe(c) for c, t in rows.dtypes if t in ("double", "float")} or {})
+    """Rows whose NaN and infinities, at any depth, are null, which JSON can say."""
+    return rows.select(*[finite_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields])
 
 
 def write_json_lines(rows: DataFrame, path: str, overwrite: bool = False) -> None:
