@@ -41,7 +41,7 @@ def _number(content: Column, at: Column | int, size: int, little: bool = False)
 def image_kind(content: Column | str) -> Column:
     """png, jpg or bmp by the first bytes; null for others."""
     head = F.hex(F.substring(col(content), 1, 8))
-    return F.when(head == "89504E470D0A1A0A", "png").when(F.startswith(head, F.lit("FFD8FF")), "jpg").when(F.startswith(head, F.lit("424D")), "bmp")
+    return F.when(F.startswith(head, F.lit("89504E47")), "png").when(F.startswith(head, F.lit("FFD8FF")), "jpg").when(F.startswith(head, F.lit("424D")), "bmp")
 
 
 #: Marker segments that a JPEG's header is searched in; files of cameras have some tens before the frame.

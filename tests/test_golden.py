@@ -1,6 +1,5 @@
 """Known inputs with known results."""
 
-import math
 
 import numpy as np
 import pytest
@@ -69,7 +68,7 @@ def test_six_digits_as_printf(x):
 
     spark = SparkSession.getActiveSession()
     if spark is not None:
-        assert one(spark, prompts.six_digits(F.lit(float(x)))) in (f"{x:.6g}", f"{math.nextafter(x, 1e300):.6g}", f"{math.nextafter(x, -1e300):.6g}")
+        assert one(spark, prompts.six_digits(F.lit(float(x)))) == (f"{x:.6g}" if x else "0")
 
 
 @pytest.mark.parametrize("x", [190.0, 0.0, 0.123456, 12.5, 1e-5, 123456.0, 1234567.0, -0.5, 100000.0])
