@@ -4,9 +4,10 @@ For every participant of a conversation (a role other than ``system``) the dialo
 rendered with that speaker as the assistant, the others as users by name and the system's
 turns as they are; the mask marks the speaker's own words and the closing mark after them.
 
-A dialogue is rendered whole up to ``most_chars`` characters. A longer one, which may hold much
-of the table, is cut between turns into parts of about so many; turns get their place in the
-conversation from a distributed running sum of lengths, in the order of turn, role and text.
+A dialogue is rendered whole, in one row for each speaker, as long as a row can hold it: up to
+``most_chars`` characters, which in UTF-8 stay below the 2 GB that a text can have. A longer one is
+cut between turns into parts of about so many; turns get their place in the conversation from a
+distributed running sum of lengths, in the order of turn, role and text.
 A further part begins with the conversation's first system turn once more, if it has one in an
 earlier part: ``n_repeated`` characters. Without these, the parts in order are the whole dialogue.
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import read_table, running_total, saved
 
 OPEN, CLOSE, SYSTEM = "<|im_start|>", "<|im_end|>", "system"
-#: Characters of a dialogue that are rendered as one, about.
-MOST_CHARS = 1 << 18
+#: Characters of a dialogue that are rendered as one, about; a row can't hold many more.
+MOST_CHARS = 1 << 27
 #: Characters of a turn besides its text and role, about.
 _AROUND = 40
 
