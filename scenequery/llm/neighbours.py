@@ -42,8 +42,8 @@ NEAREST, QUERY_STEP = 5, 50
 ORDERINGS, DIMENSIONS, BITS = 16, 6, 8
 #: Vectors that the width of windows is fitted on, the share of their neighbours that windows must hold, and the least rows to either side.
 FIT_VECTORS, HELD_SHARE, LEAST_SIDE = 64, 0.96, 64
-#: Rows of an ordering that one task compares with the queries near them.
-BLOCK = 4096
+#: Rows of an ordering that one task compares with the queries near them, and about how many of these.
+BLOCK, BLOCK_QUERIES = 4096, 1 << 16
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def window_share(named: DataFrame, ranked: DataFrame, counts: DataFrame, k: int,
     return float(np.quantile(nearest, held, method="higher"))
 
 
-def nearest(vectors: DataFrame, k: int = NEAREST, query_step: int = QUERY_STEP, orderings: int = ORDERINGS, held_share: float = HELD_SHARE, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = NEAREST, query_step: int = QUERY_STEP, orderings: int = ORDERINGS, held_share: float = HELD_SHARE, seed: int = 5, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of every query, its own vec_id apart."""
     rows = saved(usable(vectors), "vectors")
     # a query leaves out one id, its own, so that k + 1 ids of each vector are enough
@@ -186,11 +186,16 @@ def nearest(vectors: DataFrame, k: int = NEAREST, query_step: int = QUERY_STEP,
     side = F.greatest(F.ceil(F.col("rows") * share), F.lit(LEAST_SIDE))
     queries = rows.where(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     queries = saved(queries.join(named.select("v", "top"), "v").select("query_id", "top", "v"), "queries")
+    if queries.isEmpty():
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     near = queries.select("top", F.col("v").alias("q")).dropDuplicates(["top"]).join(ranked, "top").join(counts, "n")
     low, high = F.greatest(F.col("at") - side, F.lit(0)), F.least(F.col("at") + side, F.col("rows") - 1)
     near = near.select("top", "q", F.col("n").alias("own_n"), F.col("ordering").alias("own_ordering"), low.alias("low"), high.alias("high"))
     near = near.withColumn("own_block", F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor(F.col("high") / BLOCK))))
+    shares = -(-queries.count() // block_queries)  # of the queries, each of which meets a copy of a block
+    near = near.withColumn("own_share", F.pmod(F.xxhash64("top"), F.lit(shares)))
     blocks = ranked.withColumn("block", F.floor(F.col("at") / BLOCK)).join(named.select("top", "v", "ids"), "top")
+    blocks = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))) if shares > 1 else blocks.withColumn("share", F.lit(0))
 
     def compare(near: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -210,7 +215,7 @@ def nearest(vectors: DataFrame, k: int = NEAREST, query_step: int = QUERY_STEP,
         found = found.sort_values(["top", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["top", "vec_id"])
         return found.groupby("top").head(k + 1)
 
-    found = near.groupBy("own_n", "own_ordering", "own_block").cogroup(blocks.groupBy("n", "ordering", "block")).applyInPandas(compare, "top long, vec_id long, score double").distinct()
+    found = near.groupBy("own_n", "own_ordering", "own_block", "own_share").cogroup(blocks.groupBy("n", "ordering", "block", "share")).applyInPandas(compare, "top long, vec_id long, score double").distinct()
 
     def first(n: int):
         return F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, n)
