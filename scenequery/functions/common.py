@@ -30,7 +30,7 @@ def rounded(x: Column | str) -> Column:
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Share rounded to six digits; 0 where there is nothing to divide by."""
-    return F.coalesce(F.round(F.try_divide(numerator, denominator), 6), F.lit(0.0))
+    return F.coalesce(rounded(F.try_divide(numerator, denominator)), F.lit(0.0))
 
 
 def finite(x: Column | str) -> Column:

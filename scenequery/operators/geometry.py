@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import col, finite, nullif_zero
+from ..functions.common import col, finite, nullif_zero, rounded
 from .pixels import depth_columns, mask_columns
 
 
 def bbox_center(bbox: Column | str) -> Column:
     b = col(bbox)
-    return F.when(F.size(b) == 4, F.array(F.round((F.get(b, 0) + F.get(b, 2)) / 2, 6), F.round((F.get(b, 1) + F.get(b, 3)) / 2, 6)))
+    return F.when(F.size(b) == 4, F.array(rounded((F.get(b, 0) + F.get(b, 2)) / 2), rounded((F.get(b, 1) + F.get(b, 3)) / 2)))
 
 
 def clamp_bbox(bbox: Column | str, width: int, height: int) -> Column:
@@ -28,7 +28,7 @@ def position_tag(value: Column | str, extent: int, low: str, middle: str, high:
 
 def depth_percentile(value: Column | str, low: Column | str, span: Column | str) -> Column:
     v, s = col(value), col(span)
-    return F.when((s > 0) & v.isNotNull(), F.round((v - col(low)) / F.when(s > 0, s), 6))
+    return F.when((s > 0) & v.isNotNull(), rounded((v - col(low)) / F.when(s > 0, s)))
 
 
 def depth_order_hint(percentile: Column | str, higher_is_closer: bool) -> Column:
@@ -59,7 +59,7 @@ def object_geometry(objects: DataFrame, pixels: DataFrame, width: int, height: i
     spans = own.groupBy("image").agg(low.alias("depth_min"), (high - low).alias("depth_range"))
     stats = own.drop("_low", "_high")
     joined = objects.join(stats, keys, "left").join(spans, "image", "left")
-    joined = joined.withColumn("closeness_score", F.round(near_surface_depth(higher_is_closer), 6))
+    joined = joined.withColumn("closeness_score", rounded(near_surface_depth(higher_is_closer)))
     joined = joined.withColumn("closeness_percentile", depth_percentile("closeness_score", "depth_min", "depth_range"))
     return joined.select(
         *objects.columns,
@@ -110,7 +110,7 @@ def camera_xyz(px: Column | str, py: Column | str, depth: Column | str, fx: Colu
     px, py, depth, fx, fy, cx, cy = map(col, (px, py, depth, fx, fy, cx, cy))
     usable = (F.abs(fx) > 1e-12) & (F.abs(fy) > 1e-12) & finite(cx) & finite(cy) & finite(fx) & finite(fy) & depth.isNotNull()
     x, y = (px - cx) * depth / F.when(usable, fx), (py - cy) * depth / F.when(usable, fy)
-    return F.when(usable, F.array(F.round(x, 6), F.round(y, 6), F.round(depth, 6)))
+    return F.when(usable, F.array(rounded(x), rounded(y), rounded(depth)))
 
 
 def distance(a: Column | str, b: Column | str) -> Column:
@@ -129,8 +129,8 @@ def marker_relations(points: DataFrame) -> DataFrame:
     pairs = a.join(b, ["question_id", "view"]).where("rank_a < rank_b")
     return pairs.select(
         "question_id", "view", F.concat_ws("_to_", "color_a", "color_b").alias("pair"),
-        F.round(distance("camera_xyz_a", "camera_xyz_b"), 6).alias("euclidean_distance"),
-        F.round(F.col("depth_b") - F.col("depth_a"), 6).alias("depth_difference"),
+        rounded(distance("camera_xyz_a", "camera_xyz_b")).alias("euclidean_distance"),
+        rounded(F.col("depth_b") - F.col("depth_a")).alias("depth_difference"),
     )
 
 
@@ -138,7 +138,7 @@ def red_blue_relation(points: DataFrame) -> DataFrame:
     """Depth difference of blue and red of every view that has both, and their distance where both have coordinates."""
     own = points.groupBy("question_id", "view").agg(*[F.max(F.when(F.col("color") == c, F.struct("depth", "camera_xyz"))).alias(c) for c in ("red", "blue")])
     both = own.where("red is not null and blue is not null")
-    return both.select("question_id", "view", F.round(F.col("blue.depth") - F.col("red.depth"), 6).alias("depth_difference_blue_minus_red"), F.round(distance("red.camera_xyz", "blue.camera_xyz"), 6).alias("euclidean_distance"))
+    return both.select("question_id", "view", rounded(F.col("blue.depth") - F.col("red.depth")).alias("depth_difference_blue_minus_red"), rounded(distance("red.camera_xyz", "blue.camera_xyz")).alias("euclidean_distance"))
 
 
 def repaired(points: DataFrame, stored: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import rounded
 from .geometry import camera_xyz, distance
 from .parts import largest_part
 from .pixels import MARKER_COLORS
@@ -102,7 +103,7 @@ def relations_of(markers: Column) -> Column:
     """Pairs of markers that have coordinates, in colour order: their distance and difference of depth."""
     of = lambda color: F.get(F.filter(markers, lambda m: (m["color"] == color) & m["camera_xyz"].isNotNull()), 0)
     pairs = [
-        F.when(of(a).isNotNull() & of(b).isNotNull(), F.struct(F.lit(f"{a}_to_{b}").alias("pair"), F.round(distance(of(a)["camera_xyz"], of(b)["camera_xyz"]), 6).alias("euclidean_distance"), F.round(of(b)["depth"] - of(a)["depth"], 6).alias("depth_difference")))
+        F.when(of(a).isNotNull() & of(b).isNotNull(), F.struct(F.lit(f"{a}_to_{b}").alias("pair"), rounded(distance(of(a)["camera_xyz"], of(b)["camera_xyz"])).alias("euclidean_distance"), rounded(of(b)["depth"] - of(a)["depth"]).alias("depth_difference")))
         for a, b in combinations(MARKER_COLORS, 2)
     ]
     return F.filter(F.array(*pairs), lambda p: p.isNotNull())

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import clean_text, key_text, ratio
+from ..functions.common import clean_text, key_text, ratio, rounded
 
 
 def answered(loose: bool = True) -> Column:
@@ -89,7 +89,7 @@ def pair_outcomes(rows: DataFrame, tracks: tuple[str, ...]) -> DataFrame:
     left, good, n = F.count_if("l"), F.count_if("r"), F.count(F.lit(1))
     return each.groupBy("left_track", "right_track").agg(
         n.alias("total"), ratio(left, n).alias("left_accuracy"), ratio(good, n).alias("right_accuracy"),
-        F.round(ratio(good, n) - ratio(left, n), 6).alias("delta_accuracy"),
+        rounded(ratio(good, n) - ratio(left, n)).alias("delta_accuracy"),
         F.count_if(F.col("l") & F.col("r")).alias("both_correct"), F.count_if(F.col("l") & ~F.col("r")).alias("left_only"),
         F.count_if(~F.col("l") & F.col("r")).alias("right_only"), F.count_if(~F.col("l") & ~F.col("r")).alias("both_wrong"),
     )

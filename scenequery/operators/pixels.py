@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.common import col, finite
+from ..functions.common import col, finite, rounded
 from .parts import largest_part
 
 
@@ -22,10 +22,10 @@ def mask_columns(inside: Column, width: int, height: int) -> list[Column]:
     """Aggregates: area, area share, bounds and centroid of a mask; nulls where it has no pixels."""
     area = F.count_if(inside)
     bounds = [F.min(_if(inside, "x")), F.min(_if(inside, "y")), F.max(_if(inside, "x")), F.max(_if(inside, "y"))]
-    centroid = F.array(F.round(F.avg(_if(inside, "x")), 6), F.round(F.avg(_if(inside, "y")), 6))
+    centroid = F.array(rounded(F.avg(_if(inside, "x"))), rounded(F.avg(_if(inside, "y"))))
     return [
         area.alias("mask_area_px"),
-        F.round(area / F.lit(float(width * height)), 6).alias("mask_area_fraction"),
+        rounded(area / F.lit(float(width * height))).alias("mask_area_fraction"),
         F.when(area > 0, F.array(*[b.cast("int") for b in bounds])).alias("mask_bounds_xyxy"),
         F.when(area > 0, centroid).alias("mask_centroid"),
     ]
@@ -47,7 +47,7 @@ def depth_columns(inside: Column, prefix: str = "relative_depth_") -> list[Colum
     d = _if(inside & finite("d"), "d")
     tails = F.percentile(d, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     stats = {"min": F.min(d), "max": F.max(d), "mean": F.avg(d), "median": F.get(tails, F.lit(1)), "p10": F.get(tails, F.lit(0)), "p90": F.get(tails, F.lit(2))}
-    return [F.round(v, 6).alias(prefix + k) for k, v in stats.items()]
+    return [rounded(v).alias(prefix + k) for k, v in stats.items()]
 
 
 def depth_stats(pixels: DataFrame, keys: list[str], inside: Column, prefix: str = "relative_depth_") -> DataFrame:
@@ -100,7 +100,7 @@ def depth_stats_large(pixels: DataFrame, keys: list[str], inside: Column, prefix
     found = selected_quantiles(pixels.withColumn("_d", d), keys, "_d", [0.5, 0.1, 0.9])
     joined = _joined(plain, found, keys, "left")
     stats = {"min": F.col("_min"), "max": F.col("_max"), "mean": F.col("_mean")} | {k: F.get("quantiles", F.lit(i)) for i, k in enumerate(("median", "p10", "p90"))}
-    return joined.select(*keys, *[F.round(v, 6).alias(prefix + k) for k, v in stats.items()])
+    return joined.select(*keys, *[rounded(v).alias(prefix + k) for k, v in stats.items()])
 
 
 def depth_stats_positive(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,7 +142,7 @@ def near_depth(pixels: DataFrame, points: DataFrame, keys: list[str], radii: tup
     at = points.select(*keys, F.bround("px").cast("int").alias("_cx"), F.bround("py").cast("int").alias("_cy"))
     away = F.greatest(F.abs(F.col("x") - F.col("_cx")), F.abs(F.col("y") - F.col("_cy")))
     near = at.join(pixels.where(finite("d") & (F.col("d") > 0)), keys).where(away <= max(radii))
-    found = near.groupBy(*keys).agg(*[F.round(F.median(_if(away <= r, "d")), 6).alias(f"_m{r}") for r in radii], *[F.count_if(away <= r).alias(f"_n{r}") for r in radii])
+    found = near.groupBy(*keys).agg(*[rounded(F.median(_if(away <= r, "d"))).alias(f"_m{r}") for r in radii], *[F.count_if(away <= r).alias(f"_n{r}") for r in radii])
     count = F.lit(0).cast("long")
     for r in reversed(radii):
         count = F.when(F.col(f"_n{r}") > 0, F.col(f"_n{r}")).otherwise(count)

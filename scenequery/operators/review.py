@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import clean_text
+from ..functions.common import clean_text, rounded
 
 #: Fixed values of the review sheet.
 CANDIDATE, FAILURE = "geometry_available_candidates", "pipeline_failure"
@@ -174,7 +174,7 @@ def kept_detections(boxes: DataFrame, names: tuple[str, ...], least: float) -> D
     label = F.coalesce(F.get(F.array(*map(F.lit, names)), F.col("cls").cast("int")), F.col("cls").cast("string"))
     kept = boxes.where(F.col("conf") >= least)
     n = F.row_number().over(Window.partitionBy("image").orderBy("pos"))
-    return kept.select("image", "pos", F.format_string("obj_%03d", n).alias("object_id"), label.alias("label"), F.round("conf", 6).alias("confidence"))
+    return kept.select("image", "pos", F.format_string("obj_%03d", n).alias("object_id"), label.alias("label"), rounded("conf").alias("confidence"))
 
 
 def normalized_labels(detections: DataFrame, for_image: DataFrame, general: DataFrame) -> DataFrame:
