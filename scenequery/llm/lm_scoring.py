@@ -381,7 +381,8 @@ def scored(docs: DataFrame, order: int = ORDER, priors: tuple = PRIORS, least: i
     parts = max(1, -(-chars // (5 * part_keys)))
     bits = min(64, max(48, 18 + int(chars).bit_length()))
     nodes = max(1, -(-chars // chunk_chars))
-    chunks = saved(chunked(docs, chunk_chars), "chunks")  # one and the same for all rounds, whatever order rows come in
+    # every round, and every task that runs again, has to see the same chunks, whatever order a partition's rows come in
+    chunks = chunked(docs.sortWithinPartitions("doc_id", F.xxhash64("text")), chunk_chars)
 
     def found(answers: pa.Table, k: int, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
         """The corpus's counts of the chunk's n-grams of k tokens, and what their rare continuations hold."""
@@ -409,12 +410,7 @@ def scored(docs: DataFrame, order: int = ORDER, priors: tuple = PRIORS, least: i
 
         return run
 
-    def ask_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from ask(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
-
-    asked, sizes = chunks.mapInArrow(ask_each, ASKED), (nodes, parts, bits, fan)
+    asked, sizes = chunks.groupBy("node").applyInArrow(ask, ASKED), (nodes, parts, bits, fan)
     words = totals(asked, (1,), *sizes).groupBy("part").agg(F.first("tokens").alias("tokens"), F.first("types").alias("types"))
     corpus = words.agg(F.sum("tokens").alias("n_train"), F.sum("types").alias("n_types"))  # one row
     every = totals(asked, (1, order), *sizes)
