@@ -14,7 +14,9 @@ Components of the verified links give the result.
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 6e-8, only one
 (which a split bucket would miss) with about 1e-6, and is put aside by the
 estimate with about 3e-7. Sets of few shingles fill few bands; in a split bucket they are
-compared with each other as well, whatever else they share.
+compared as well where they share one of their rarest shingles, of which a set of n has
+n - ceil(0.8 n) + 1 to show: two sets alike enough share one of these, so none is missed, and
+a shingle that all sets of the bucket begin with is nobody's rarest.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked
 with nothing; a text with fewer words than a shingle is one shingle; rows that share a
@@ -177,7 +179,7 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, shingle_words:
     left = signed.select(F.col("doc_id").alias("_id"), "registers")
     open_rows = saved(open_rows.join(left, F.col("doc_id") == F.col("_id")).drop("_id"), "open")
     whole = open_rows.where(F.col("members") <= SPLIT_BLOCKS * BLOCK).withColumns({"first": F.lit(-1), "second": F.lit(-1)})
-    rows = whole.unionByName(_refined(open_rows.where(F.col("members") > SPLIT_BLOCKS * BLOCK), left))
+    rows = whole.unionByName(_refined(open_rows.where(F.col("members") > SPLIT_BLOCKS * BLOCK), left, sets, percent))
     few = _verified(_pairs_of_small(rows.where(F.col("members") <= SMALL), percent), sets, percent)
     many = _links_of_large(rows.where(F.col("members") > SMALL), sets, percent)
     return linked.unionByName(few).unionByName(many)
@@ -189,18 +191,31 @@ def _own_band(bucket: int, bands: np.ndarray) -> int:
     return int(np.flatnonzero(mixed(bands + mixed(numbers + np.uint64(1))).view(np.int64) == bucket)[0])
 
 
-def _refined(rows: DataFrame, signed: DataFrame) -> DataFrame:
+def _by_rarest(few: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of sets of few shingles, a row for each of a set's rarest shingles in its bucket, which takes the bucket's place."""
+    each = few.join(sets, F.col("doc_id") == F.col("id")).select(*few.columns, F.explode("shingles").alias("s"))
+    held = each.groupBy("bucket", "s").agg(F.count(F.lit(1)).alias("n")).select(F.col("bucket").alias("_bucket"), F.col("s").alias("_s"), "n")
+    known = each.join(held, (F.col("bucket") == F.col("_bucket")) & (F.col("s") == F.col("_s")))
+    order = F.array_sort(F.collect_list(F.struct("n", "s")))  # few shingles
+    shown = F.expr(f"cast(n_shingles - (n_shingles * {percent} + 99) div 100 + 1 as int)")
+    ranked = known.groupBy(*few.columns).agg(order.alias("o")).withColumn("s", F.explode(F.slice("o", 1, shown)["s"]))
+    return ranked.select(F.xxhash64("bucket", "s").alias("bucket"), *few.columns[1:])
+
+
+def _refined(rows: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows of open buckets, split by each later band; first and second: the bucket's band and the later one.
 
-    The last part, whose second is the number of bands, holds the sets of few shingles. signed: _id and registers.
+    The parts whose second is the number of bands hold the sets of few shingles, by their rarest ones. Sets of up to
+    FEW shingles count as few, and larger ones that such a set may be alike to. signed: _id and registers.
     """
+    most = FEW * 100 // percent
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             bands = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            bucket, few = batch.column("bucket").to_numpy(), batch.column("n_shingles").to_numpy() <= FEW
+            bucket, few = batch.column("bucket").to_numpy(), batch.column("n_shingles").to_numpy() <= most
             first = np.array([_own_band(b, own) for b, own in zip(bucket, bands)], np.int32)
             key = np.c_[bands, few.astype(np.uint64)]
             row, second = np.nonzero((key > 0) & (np.arange(key.shape[1]) > first[:, None]))
@@ -210,7 +225,9 @@ def _refined(rows: DataFrame, signed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), *held, pa.array(first[row]), pa.array(second.astype(np.int32))], ["bucket", "doc_id", "part", "n_shingles", "first", "second"])
 
     narrow = rows.select("bucket", "doc_id", "part", "n_shingles", "registers")
-    parts = saved(narrow.mapInArrow(split, "bucket long, doc_id long, part long, n_shingles long, first int, second int"), "parts")
+    bands = (1 << REGISTER_BITS) // BAND_ROWS
+    dealt = saved(narrow.mapInArrow(split, "bucket long, doc_id long, part long, n_shingles long, first int, second int"), "dealt")
+    parts = saved(dealt.where(F.col("second") < bands).unionByName(_by_rarest(dealt.where(F.col("second") == bands), sets, percent)), "parts")
     split_again = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
     split_again = saved(split_again.where("low < high").select(F.col("bucket").alias("_bucket"), "members"), "split")
     kept = parts.join(split_again, F.col("bucket") == F.col("_bucket")).drop("_bucket")

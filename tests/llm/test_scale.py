@@ -4,7 +4,7 @@ import numpy as np
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from scenequery.llm import chat, lm_scoring, neighbours
+from scenequery.llm import chat, lm_scoring, near_dedup, neighbours
 
 
 def test_a_long_dialogue_is_one_row_a_speaker(spark):
@@ -41,3 +41,30 @@ def test_nearest_in_shares_and_in_exact_order(spark):
 def test_nearest_without_queries(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert neighbours.nearest(table).count() == 0
+
+
+def short_texts(n):
+    """Texts of eleven words that begin with one phrase, every tenth with a copy that differs in its last word."""
+    out = []
+    for i in range(n):
+        own = f"all of these begin alike {i}a {i}b {i}c {i}d {i}e".split() + [f"{i}f"]
+        out.append((i, " ".join(own)))
+        if i % 10 == 0:
+            out.append((n + i, " ".join([*own, "more"])))
+    return out
+
+
+def test_short_sets_of_one_bucket_are_split_by_their_rarest_shingles(spark, monkeypatch):
+    """Rows compared grow in proportion to the bucket, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "SPLIT_BLOCKS", 4)
+    refined, split, compared = near_dedup._refined, [], {}
+    monkeypatch.setattr(near_dedup, "_refined", lambda *a: split.append(refined(*a)) or split[-1])
+    for n in (1250, 5000):
+        split.clear()
+        table = spark.createDataFrame(short_texts(n), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table, 4).collect()}
+        assert got == {i: i if i < n else i - n for i in got} and len(got) == n + n // 10
+        sizes = split[0].where("second = 32").groupBy("bucket").count().select(F.sum(F.col("count") * F.col("count"))).first()[0]
+        compared[n] = sizes or 0
+    assert compared[5000] < 6 * max(compared[1250], 1) and compared[5000] < 20 * 5000, compared
