@@ -72,6 +72,36 @@ def geometry_audit(status: DataFrame) -> DataFrame:
     return rows.withColumn("ready", (F.col("status") == "available") & (F.size("missing") == 0) & ~F.col("label_conflict"))
 
 
+def audit_of_questions(questions: DataFrame, audit: DataFrame) -> DataFrame:
+    """The audit of every question; one whose geometry there is none of has the status missing_geometry and isn't ready.
+
+    audit: geometry_audit() of the questions that have geometry.
+    """
+    found = audit.select(F.col("question_id").alias("_id"), "status", "reason", "missing", "label_conflict", "ready")
+    joined = questions.select("question_id", "task").join(found, F.col("question_id") == F.col("_id"), "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return joined.select("question_id", F.when(F.col("status").isNotNull(), F.col("task")).alias("task"), F.coalesce("status", F.lit("missing_geometry")).alias("status"), "reason", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), flag("label_conflict"), flag("ready"))
+
+
+def audit_counts(rows: DataFrame) -> DataFrame:
+    """kind, value and n of audit_of_questions(): questions, those available, unavailable and in conflict, also where there are none, then statuses and missing markers."""
+    totals = rows.agg(F.count(F.lit(1)).alias("questions"), F.count_if("ready").alias("available"), F.count_if(~F.col("ready")).alias("unavailable"), F.count_if("label_conflict").alias("label_conflict"))
+    held = totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.lit("").alias("value"), F.col(c).alias("n")) for c in totals.columns])).alias("t")).select("t.*")
+    each = F.concat(F.array(F.struct(F.lit("status").alias("kind"), F.col("status").alias("value"))), F.transform("missing", lambda c: F.struct(F.lit("missing_marker").alias("kind"), c.alias("value"))))
+    return held.unionByName(rows.select(F.explode(each).alias("e")).groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def removal_audit(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """question_id, removed (whether its geometry isn't ready), and how many questions there were and how many went.
+
+    rows: audit_of_questions(). Ids of a subset that repeat count each time.
+    """
+    gone = rows.where("not ready").select(F.col("question_id").alias("_id")).distinct()
+    marked = questions.select("question_id").join(gone, F.col("question_id") == F.col("_id"), "left").select("question_id", F.col("_id").isNotNull().alias("removed"))
+    counts = marked.agg(F.count(F.lit(1)).alias("source_question_count"), F.count_if("removed").alias("removed_question_count"))
+    return marked.crossJoin(counts)  # one row
+
+
 def ready_subset(questions: DataFrame, audit: DataFrame) -> DataFrame:
     return questions.join(audit.where("not ready").select("question_id"), "question_id", "left_anti")
 

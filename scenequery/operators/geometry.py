@@ -105,6 +105,18 @@ def matrix_status(values: Column | str) -> Column:
     return F.struct((side.isNotNull() & F.forall(v, finite)).alias("valid"), F.when(side.isNotNull(), F.array(side, side)).alias("shape"))
 
 
+def nested_matrix_status(values: Column | str, sides: tuple[int, ...] = (3, 4)) -> Column:
+    """As matrix_status() for lists of rows: valid, shape and the finite values by rows. Rows of unequal lengths have no shape; a flat list of 16, one row of them, is 4 x 4."""
+    v = col(values)
+    rows, width = F.size(v), F.size(F.get(v, 0))
+    even = (rows > 0) & (width > 0) & F.forall(v, lambda r: F.size(r) == width)
+    flat = (rows == 1) & (width == 16)
+    shape = F.when(flat, F.array(F.lit(4), F.lit(4))).when(even, F.array(rows, width))
+    good = F.exists(F.array(*map(F.lit, sides)), lambda n: (F.get(shape, 0) == n) & (F.get(shape, 1) == n))
+    whole = F.coalesce(good & F.forall(F.flatten(v), finite), F.lit(False))
+    return F.struct(whole.alias("valid"), shape.alias("shape"), F.when(whole, F.flatten(v)).alias("values"))
+
+
 def camera_xyz(px: Column | str, py: Column | str, depth: Column | str, fx: Column | str, fy: Column | str, cx: Column | str, cy: Column | str) -> Column:
     """Pinhole back-projection of an image point; null without a usable focal length."""
     px, py, depth, fx, fy, cx, cy = map(col, (px, py, depth, fx, fy, cx, cy))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,8 +50,13 @@ class ChatProvider:
         content = [{"type": "text", "text": prompt}] + ([{"type": "image_url", "image_url": {"url": image}}] if image else [])
         body = {"model": self.model_name, "temperature": 0, "max_tokens": self.max_tokens, "messages": [{"role": "user", "content": content}]}
         request = urllib.request.Request(self.base_url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ[self.key_variable]}"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-            return message_text(json.load(reply))
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                return message_text(json.load(reply))
+        except urllib.error.HTTPError as refused:
+            raise RuntimeError(f"endpoint answered {refused.code}: {refused.read().decode('utf-8', 'replace')}") from refused
+        except (urllib.error.URLError, TimeoutError) as unreachable:
+            raise RuntimeError(f"endpoint can't be reached: {unreachable}") from unreachable
 
 
 def message_text(payload: dict) -> str:

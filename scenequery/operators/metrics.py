@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import clean_text, key_text, ratio, rounded
@@ -65,6 +65,11 @@ def histogram(rows: DataFrame, value: Column, by: list[str] | None = None) -> Da
     return keyed.groupBy(*(by or []), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranked_histogram(rows: DataFrame, value: Column) -> DataFrame:
+    """histogram() with place, from 1: the most frequent first, equal ones by value. Only a row for each distinct value comes together for that."""
+    return histogram(rows, value).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+
+
 def models(results: DataFrame, by: list[str]) -> DataFrame:
     """The models that answered, sorted, and as one text."""
     names = F.array_sort(F.collect_set("model"))

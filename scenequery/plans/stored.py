@@ -242,7 +242,7 @@ _LEAKY = "[{'k': 'pure_vlm', 'v': CASE id % 6 WHEN 0 THEN 'The Gold  Answer : '
 
 
 @query(f"""{b.with_sql('b_raw')}, p AS (SELECT id, CASE WHEN id % 7 = 0 THEN ' ' WHEN id % 11 = 0 THEN NULL ELSE answer END AS answer, {_LEAKY} AS prompts FROM b_raw)
-  SELECT id, coalesce(trim(answer) <> '', false) AND len(list_filter(prompts, lambda x: regexp_matches(lower(x.v), '(gold|correct|reference)\\s+answer\\s*:'))) > 0 AS leak FROM p""")
+  SELECT id, coalesce(trim(answer) <> '', true) AND len(list_filter(prompts, lambda x: regexp_matches(lower(x.v), '(gold|correct|reference)\\s+answer\\s*:'))) > 0 AS leak FROM p""")
 def prompt_leaks_given(spark, d):
     """Prompts that label the gold answer, that only speak of one, and rows without an answer."""
     n, raw = F.col("id"), F.col("raw")

@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.pixels import depth_documents
 from ..operators.review import rename_conflicts
 from . import readers
 from .reports import image_exports
-from .sinks import check_outputs, delete, finite_columns, write_json_lines
+from .sinks import check_outputs, delete, finite_columns, moved, npy_bytes, write_json_lines
 
 
-def _opened(path: str):
+def opened(path: str):
     """The file system of a path and the path in it."""
     from pyarrow import fs
 
@@ -46,7 +47,7 @@ def write_files(rows: DataFrame, folder: str, overwrite: bool = False) -> int:
     check_outputs(rows.sparkSession, [folder], overwrite)
 
     def write(name: str, content: bytes) -> None:
-        system, path = _opened(f"{folder.rstrip('/')}/{name}")
+        system, path = opened(f"{folder.rstrip('/')}/{name}")
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         part = f"{path}.{uuid.uuid4().hex}.part"
         with system.open_output_stream(part) as out:
@@ -160,6 +161,37 @@ def mask_pixels(spark: SparkSession, folder: str, height: int, width: int) -> Da
     return readers.raster_pixels(sized, ["name"]).select("name", "x", "y", (F.col("d") > 0).alias("inside"))
 
 
+def depth_outputs(rasters: DataFrame, model: str, folder: str) -> DataFrame:
+    """name and content of the three files of every depth raster: its values (.npy), a preview (.png) and its document (.json).
+
+    rasters: image, height, width, values, image_height and image_width; a raster is first brought to its image's size, bicubically.
+    """
+    whole = readers.resized_to(rasters, ["image"], "image_height", "image_width")
+    stem = F.regexp_replace("image", r"\.[^.]*$", "")
+    good = F.filter(F.transform("values", lambda v: v.cast("double")), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    low, high = F.array_min(good), F.array_max(good)
+    shade = lambda v: F.when(v.isNull() | F.isnan(v), 0.0).when(high > low, F.floor((F.greatest(F.least(v.cast("double"), high), low) - low) / (high - low) * 255)).otherwise(0.0)
+    gray = png_bytes(whole.select("image", "height", "width", F.transform("values", shade).alias("values")), ["image"])
+    documents = json_files(depth_documents(whole, model, folder), F.concat(stem, F.lit("_depth.json")))
+    named = lambda rows, suffix: rows.select(F.concat(stem, F.lit(suffix)).alias("name"), "content")
+    return named(npy_bytes(whole, ["image"]), "_depth.npy").unionByName(named(gray, "_depth.png")).unionByName(documents)
+
+
+def write_files_as_one(rows: DataFrame, folder: str, overwrite: bool = False) -> int:
+    """As write_files(), but the folder appears when the last file is there, or not at all; one that stands is replaced by it."""
+    spark, folder = rows.sparkSession, folder.rstrip("/")
+    check_outputs(spark, [folder], overwrite)
+    aside = f"{folder}.writing-{uuid.uuid4().hex}"
+    try:
+        n = write_files(rows, aside)
+        delete(spark, folder)
+        moved(spark, aside, folder)
+    except BaseException:
+        delete(spark, aside)
+        raise
+    return n
+
+
 def move_files(plan: DataFrame, folder: str, manifest: str, overwrite: bool = False) -> int:
     """Rename files of a folder (name, destination), all to names of their own first, so that names may be exchanged; the number of files.
 
@@ -179,7 +211,7 @@ def move_files(plan: DataFrame, folder: str, manifest: str, overwrite: bool = Fa
         raise FileExistsError(f"conflicting destinations, such as {', '.join(conflicts)}")
 
     def move(a: str, b: str) -> None:
-        system, root = _opened(folder.rstrip("/"))
+        system, root = opened(folder.rstrip("/"))
         there = system.get_file_info([f"{root}/{a}", f"{root}/{b}"])
         if there[0].is_file:
             system.move(f"{root}/{a}", f"{root}/{b}")

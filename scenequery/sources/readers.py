@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,14 +119,14 @@ def question_ids(spark: SparkSession, path: str) -> DataFrame:
 def json_lines(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool = False) -> DataFrame:
     """Records of a JSON-lines file. A malformed line stops the job; a line that is no object is left out, or stops it too if strict.
 
-    Blank lines don't count. The lines are parsed from text, as the reader marks both kinds alike.
+    Blank lines don't count. The error tells the line and its file; json_line_errors() tells all of them by number. The lines are parsed from text, as the reader marks both kinds alike.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path")).where(F.trim("value") != "")
     value = F.try_parse_json("value")
     is_object = F.startswith(F.ltrim(F.col("value")), F.lit("{"))
-    checked = F.when(value.isNull(), F.raise_error(F.concat(F.lit("invalid JSON line: "), F.substring("value", 1, 80))))
+    checked = F.when(value.isNull(), F.raise_error(F.concat(F.lit("invalid JSON line: "), F.substring("value", 1, 80), F.lit(" in "), "_path")))
     if strict:
-        checked = checked.when(~is_object, F.raise_error(F.concat(F.lit("not an object: "), F.substring("value", 1, 80))))
+        checked = checked.when(~is_object, F.raise_error(F.concat(F.lit("not an object: "), F.substring("value", 1, 80), F.lit(" in "), "_path")))
     kept = lines.withColumn("_text", checked.otherwise(F.col("value"))).where(F.startswith(F.ltrim(F.col("_text")), F.lit("{")))
     return kept.select(F.from_json("_text", schema).alias("r")).select("r.*")
 
@@ -137,6 +137,11 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
 
 
+def first_files(files: DataFrame, n: int) -> DataFrame:
+    """The first n of files (name and more) in the order of their lower-case names; equal ones by the names themselves."""
+    return files.orderBy(F.lower("name"), "name").limit(n)
+
+
 def available_columns(rows: DataFrame, wanted: list[str], limit: int | None = None) -> DataFrame:
     """The wanted columns that there are; the scan reads no others."""
     found = rows.select(*[c for c in wanted if c in rows.columns])
@@ -207,6 +212,44 @@ def resized(rasters: DataFrame, keys: list[str], height: int, width: int, method
     return inner.mapInArrow(resize, schema)
 
 
+def resized_to(rasters: DataFrame, keys: list[str], height: str, width: str, method: str = "bicubic") -> DataFrame:
+    """keys, height, width and values of rasters (height, width, values), each brought to the size in its own two columns; one of that size stays as it is."""
+    cubic = {"nearest": False, "bicubic": True}[method]
+    inner = rasters.select(*keys, "height", "width", "values", F.col(height).cast("int").alias("_to_height"), F.col(width).cast("int").alias("_to_width"))
+    schema = T.StructType([*inner.select(*keys).schema.fields, T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("values", T.ArrayType(T.FloatType()))])
+    sizes = ("height", "width", "_to_height", "_to_width")
+
+    def resize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, w, to_h, to_w, values in zip(*[batch.column(c).to_pylist() for c in sizes], batch.column("values")):
+                raster = np.array(values.as_py(), float).reshape(h, w)
+                out.append((raster if (h, w) == (to_h, to_w) else _weights(h, to_h, cubic) @ raster @ _weights(w, to_w, cubic).T).astype(np.float32).ravel())
+            own = [batch.column(c) for c in (*keys, "_to_height", "_to_width")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.list_(pa.float32()))], schema.names)
+
+    return inner.mapInArrow(resize, schema)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 1) and value of the lines of text files. A split's lines are numbered by themselves, and its first one's number comes from the counts of the splits before."""
+    file, split = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split")
+    lines = spark.read.text(path).select(file, split, "value", F.monotonically_increasing_id().alias("_i"))
+    counts = spark.read.text(path).select(file, split).groupBy("path", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))  # a file's splits
+    starts = counts.select("path", "_split", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("path", "_split").orderBy("_i"))
+    return lines.withColumn("_own", own).join(starts, ["path", "_split"]).select("path", (F.col("_before") + F.col("_own")).alias("line"), "value")
+
+
+def json_line_errors(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """path, line and error of the lines that json_lines() would stop at."""
+    value, text = F.try_parse_json("value"), F.ltrim(F.col("value"))
+    error = F.when(value.isNull(), "invalid JSON")
+    error = error.when(~F.startswith(text, F.lit("{")), "record must be an object") if strict else error
+    return numbered_lines(spark, path).where(F.trim("value") != "").withColumn("error", error).where("error is not null").select("path", "line", "error")
+
+
 def mask_path_candidates(mask_path: Column | str, segments_path: Column | str, root: str) -> Column:
     """Where a mask may lie, in order: as it is written if absolute, else under the root, then beside its document."""
     p = F.replace(col(mask_path), F.lit("\\"), F.lit("/"))
