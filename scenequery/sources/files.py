@@ -102,9 +102,13 @@ def _encoded(rasters: DataFrame, keys: list[str], raster: str, encode: Callable)
     return inner.mapInArrow(run, schema)
 
 
+#: Names of images, in either case.
+IMAGE_GLOB = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG],[bB][mM][pP]}"
+
+
 def _images(spark: SparkSession, folder: str) -> DataFrame:
-    """name, height, width, nChannels and data of the images of a folder; one that can't be decoded stops the job."""
-    images = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
+    """name, height, width, nChannels and data of the images of a folder, by their suffix; one that can't be decoded stops the job."""
+    images = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", IMAGE_GLOB).load(folder).select("image.*")
     wrong = F.raise_error(F.concat(F.lit("unreadable image: "), "origin")).cast("int")
     return images.select(readers.file_name("origin").alias("name"), F.when(F.col("width") > 0, F.col("height")).otherwise(wrong).alias("height"), "width", "nChannels", "data")
 

@@ -31,7 +31,7 @@ def parquet_files(path: str) -> tuple[object, list[str]]:
     system, root = opened(path)
     if system.get_file_info(root).is_file:
         return system, [root]
-    found = [f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file]
+    found = [f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)) if f.is_file]
     return system, sorted(f for f in found if f.endswith(".parquet") and not f.rsplit("/", 1)[-1].startswith(("_", ".")))
 
 
