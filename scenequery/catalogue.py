@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import answers, files, further, geometry, io, metrics, public, records, stored
+from .plans import answers, files, further, geometry, io, metrics, public, records, stored, whole
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (geometry, answers, metrics, public, io, further, files, stored, records):
+for _part in (geometry, answers, metrics, public, io, further, files, stored, records, whole):
     QUERIES |= _part.catalogue.queries
     ORACLE_SQL |= _part.catalogue.sql

@@ -17,7 +17,7 @@ def available_colors(points: DataFrame) -> DataFrame:
     return points.groupBy("question_id").agg(F.collect_set("color").alias("available"), F.map_from_entries(F.collect_list(F.struct("color", "camera_xyz"))).alias("xyz"))
 
 
-#: Columns of a benchmark row that refer to points, objects or regions without their answer.
+#: Columns of a benchmark row that refer to points, objects or regions without their answer.
 REFERENCES = ("points", "point", "point_annotations", "objects", "object_annotations", "regions")
 
 

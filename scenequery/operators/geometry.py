@@ -14,6 +14,13 @@ def bbox_center(bbox: Column | str) -> Column:
     return F.when(F.size(b) == 4, F.array(rounded((F.get(b, 0) + F.get(b, 2)) / 2), rounded((F.get(b, 1) + F.get(b, 3)) / 2)))
 
 
+def box_prompt(bbox: Column | str, name: Column | str) -> Column:
+    """The box as four numbers; one of another length, or none, stops the job and tells whose it is."""
+    b = col(bbox)
+    wrong = F.raise_error(F.concat(F.lit("bbox_xyxy must have four numbers: "), F.coalesce(col(name).cast("string"), F.lit("None")))).cast("array<double>")
+    return F.when(F.size(b) == 4, F.transform(b, lambda x: x.cast("double"))).otherwise(wrong)
+
+
 def clamp_bbox(bbox: Column | str, width: int, height: int) -> Column:
     """Whole pixels inside the image."""
     b, most = col(bbox), (width - 1, height - 1, width - 1, height - 1)

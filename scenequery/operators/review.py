@@ -12,6 +12,7 @@ CANDIDATE, FAILURE = "geometry_available_candidates", "pipeline_failure"
 YES = ("yes", "y", "true", "1", "ok", "pass", "passed")
 REJECT = ("reject", "rejected", "exclude", "excluded", "bad", "no")
 CLEAN = ("", "clean", "clean_subset")
+#: Fixed values of question and template documents.
 QUESTION_FIELDS = ("answer", "evaluation", "image", "question", "question_id", "target_objects", "type")
 QUESTION_TYPES = ("closer_farther", "front_back", "left_right", "occlusion", "physical_size", "support_relation")
 TEMPLATE_FIELDS = ("answer", "evaluation", "question", "target_objects", "template_id", "type")
@@ -113,6 +114,24 @@ def template_document_errors(documents: DataFrame) -> DataFrame:
     return documents.select("file_name", F.explode(errors).alias("error"))
 
 
+def template_text_errors(documents: DataFrame) -> DataFrame:
+    """(file_name, pos, place, error) of template documents given as text, whatever their types, in the documents' order; pos is -1 for the document.
+
+    documents: file_name and value. A null field is there. A document without templates has no further errors.
+    """
+    whole = documents.select("file_name", F.try_parse_json("value").alias("v"))
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    named = F.coalesce(kind(F.try_variant_get("v", "$.scene_group", "variant")) == "STRING", F.lit(False))
+    listed = whole.withColumn("_t", F.try_variant_get("v", "$.templates", "array<variant>"))
+    bad = F.filter(F.array(F.when(~named, "top-level field 'scene_group' must be a string"), F.when(F.coalesce(F.size("_t"), F.lit(0)) <= 0, "top-level field 'templates' must be a non-empty list")), lambda e: e.isNotNull())
+    top = listed.select("file_name", F.lit(-1).alias("pos"), F.posexplode(F.when(F.col("v").isNull(), F.array(F.lit("document is not JSON"))).otherwise(bad)).alias("place", "error"))
+    each = listed.select("file_name", F.posexplode("_t").alias("pos", "t"))
+    told = F.concat(F.lit("templates["), F.col("pos").cast("string"), F.lit("]"))
+    missing = F.array(*[F.when(F.try_variant_get("t", f"$.{c}", "variant").isNull(), F.concat(told, F.lit(f" missing required field: {c}"))) for c in TEMPLATE_FIELDS])
+    errors = F.when(F.startswith(kind(F.col("t")), F.lit("OBJECT")), missing).otherwise(F.array(F.concat(told, F.lit(" must be an object"))))
+    return top.unionByName(each.select("file_name", "pos", F.posexplode(errors).alias("place", "error")).where("error is not null"))
+
+
 def kept_counts(questions: DataFrame, ids: DataFrame) -> DataFrame:
     """One row: questions before and after those not in ids have gone."""
     marked = questions.select("question_id").join(ids.select("question_id").distinct().withColumn("_in", F.lit(True)), "question_id", "left")
@@ -177,10 +196,10 @@ def kept_detections(boxes: DataFrame, names: tuple[str, ...], least: float) -> D
     return kept.select("image", "pos", F.format_string("obj_%03d", n).alias("object_id"), label.alias("label"), rounded("conf").alias("confidence"))
 
 
-def normalized_labels(detections: DataFrame, for_image: DataFrame, general: DataFrame) -> DataFrame:
+def normalized_labels(detections: DataFrame, for_image: DataFrame, general: DataFrame, version: Column | None = None) -> DataFrame:
     """Labels by their alias: an image's own alias goes before a general one; the rule applied is kept.
 
-    for_image: image, from, to; general: from, to.
+    for_image: image, from, to; general: from, to. With a version of the aliases, null where they have none, every row is stamped with it.
     """
     own = for_image.select("image", F.col("from").alias("label"), F.col("to").alias("_own"))
     all_ = general.select(F.col("from").alias("label"), F.col("to").alias("_all"))
@@ -188,4 +207,4 @@ def normalized_labels(detections: DataFrame, for_image: DataFrame, general: Data
     to = F.coalesce("_own", "_all")
     rule = F.when(F.col("_own").isNotNull(), "image_label_aliases").otherwise("global_label_aliases")
     changed = to.isNotNull() & (to != F.col("label"))
-    return joined.select(*[c for c in detections.columns if c != "label"], F.when(changed, to).otherwise(F.col("label")).alias("label"), F.when(changed, F.col("label")).alias("raw_label"), F.when(changed, rule).alias("rule"))
+    return joined.select(*[c for c in detections.columns if c != "label"], F.when(changed, to).otherwise(F.col("label")).alias("label"), F.when(changed, F.col("label")).alias("raw_label"), F.when(changed, rule).alias("rule"), *([] if version is None else [F.coalesce(version, F.lit("unknown")).alias("normalization_config")]))

@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from scenequery.operators import audit, geometry, infer, metrics, prompts
+from scenequery.operators import audit, geometry, infer, metrics, prompts, review
 from scenequery.sources import files, readers, rows, sinks
 
 
@@ -194,3 +194,25 @@ def test_reports_in_order(spark):
     assert [(r["value"], r["n"], r["place"]) for r in metrics.ranked_histogram(table, F.col("t")).orderBy("place").collect()] == [("a", 2, 1), ("b", 2, 2), ("c", 1, 3)]
     names = spark.createDataFrame([(x,) for x in ["b.png", "A.png", "C.png", "a.png"]], "name string")
     assert [r["name"] for r in readers.first_files(names, 3).collect()] == ["A.png", "a.png", "b.png"]
+
+
+def test_boxes_of_another_size_stop(spark):
+    table = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0]), (2, [1.0]), (3, None)], "i int, b array<double>")
+    assert table.where("i = 1").select(geometry.box_prompt("b", "i").alias("p")).first()["p"] == [1.0, 2.0, 3.0, 4.0]
+    for i in (2, 3):
+        with pytest.raises(Exception, match=f"four numbers: {i}"):
+            table.where(F.col("i") == i).select(geometry.box_prompt("b", "i")).collect()
+
+
+def test_labels_are_stamped(spark):
+    rows_ = spark.createDataFrame([("i", "a"), ("i", "b")], "image string, label string")
+    own, general = spark.createDataFrame([], "image string, from string, to string"), spark.createDataFrame([("a", "x"), ("b", "b")], "from string, to string")
+    got = sorted((r["label"], r["raw_label"], r["rule"], r["normalization_config"]) for r in review.normalized_labels(rows_, own, general, F.lit("v2")).collect())
+    assert got == [("b", None, None, "v2"), ("x", "a", "global_label_aliases", "v2")]
+    assert "normalization_config" not in review.normalized_labels(rows_, own, general).columns
+
+
+def test_template_texts(spark):
+    table = [("a", '{"scene_group": "g", "templates": [{}, 3]}'), ("b", None), ("c", '{"scene_group": null, "templates": [{"template_id": 1, "question": null, "type": 1, "target_objects": 1, "answer": 1, "evaluation": 1}]}')]
+    got = [(r["file_name"], r["pos"], r["error"].rsplit(" ", 1)[-1]) for r in review.template_text_errors(spark.createDataFrame(table, "file_name string, value string")).orderBy("file_name", "pos", "place").collect()]
+    assert got == [("a", 0, c) for c in review.TEMPLATE_FIELDS] + [("a", 1, "object"), ("b", -1, "JSON"), ("c", -1, "string")]
