@@ -76,18 +76,23 @@ def select_rows(rows: DataFrame, phase: str, config: Selection = Selection(), ti
     if limit is not None:
         first = entries.orderBy("_at").limit(limit)
         entries = first.withColumn("_g", F.least("_g", limit - before(Window.orderBy("_at")))).where("_g > 0")
-    taken = entries.select("_at", "_m", "_g")
+    taken, cuts = entries.select("_at", "_m", "_g"), True
+    if limit is not None:
+        short = taken.collect()  # the phase's entries, no more than its limit
+        taken, cuts = rows.sparkSession.createDataFrame(short, taken.schema), any(r["_g"] < r["_m"] for r in short)
     last = taken.agg(F.max("_at").alias("_last"), F.coalesce(F.sum("_g"), F.lit(0)).alias("_taken"))  # one row
     joined = judged.join(taken if limit is None else F.broadcast(taken), "_at", "left").crossJoin(F.broadcast(last))
     late = F.lit(False) if limit is None else (F.col("_taken") >= limit) & (F.col("_at") >= F.col("_last"))
     reason = F.when(able & ~F.col("_in"), F.when(late, F.array(F.lit("phase_limit"))).otherwise(F.array(F.lit("per_task_limit")))).otherwise(F.col("reasons"))
     whole = joined.where("_g is null or _g = _m").withColumn("_in", F.col("_g").isNotNull())
+    shown = [*[F.col(f"`{c}`") for c in rows.columns], reason.alias("reasons"), "key", F.col("_in").alias("selected")]
+    if not cuts:
+        return whole.select(*shown)
     # of an entry that a limit cuts, one row stands for its copies
     names = [*rows.columns, "reasons", "key"]
     cut = joined.where("_g < _m").groupBy("_at", "_g", "_m", "_last", "_taken").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in names])
     copies = cut.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_m - 1) div 10000"))))
     copies = copies.withColumn("_i", F.explode(F.expr("sequence(_block * 10000 + 1, least(_m, (_block + 1) * 10000))"))).withColumn("_in", F.col("_i") <= F.col("_g"))
-    shown = [*[F.col(f"`{c}`") for c in rows.columns], reason.alias("reasons"), "key", F.col("_in").alias("selected")]
     return whole.select(*shown).unionByName(copies.select(*shown))
 
 
