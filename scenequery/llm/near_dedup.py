@@ -45,6 +45,8 @@ REGISTER_BITS, MANTISSA_BITS, BAND_ROWS = 7, 10, 4
 SLACK = 5.0
 #: Buckets with more members are verified where they are compared, in blocks of so many; rows of small buckets that are compared together.
 SMALL, BLOCK, CHUNK_ROWS = 64, 2048, 20_000
+#: Shingles that the sets of a block have about, whatever their number; a set of more is a block of its own.
+BLOCK_SHINGLES = 1 << 22
 #: Buckets of more blocks are split, as blocks would copy their rows more often than further bands do; sets of at most so many shingles stay together there.
 SPLIT_BLOCKS, FEW = (1 << REGISTER_BITS) // BAND_ROWS, 24
 
@@ -159,8 +161,8 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, shingle_words:
     text_key of a row that stands for it.
     """
     found = saved(band_rows(signed), "bands")
-    centre = found.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "doc_id").alias("h"), "doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("members"))
-    shared = centre.where("members > 1").select(F.col("bucket").alias("_bucket"), F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("n_centre"), "members")
+    centre = found.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "doc_id").alias("h"), "doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight"))
+    shared = centre.where("members > 1").select(F.col("bucket").alias("_bucket"), F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("n_centre"), "members", "weight")
     shared = saved(shared, "centres")  # so that a bucket of very many can be split among tasks in the join
     members = saved(found.join(shared, F.col("bucket") == F.col("_bucket")).drop("_bucket"), "buckets")
     pairs = members.where((F.col("doc_id") != F.col("centre")) & _sizes_fit("n_shingles", "n_centre", percent)).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
@@ -170,7 +172,7 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, shingle_words:
     sets = saved(shingle_sets(wanted, shingle_words).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
     linked = saved(_verified(_estimated(pairs, signed, percent), sets, percent), "links")
     first = components(linked)
-    placed = members.join(first, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", "members", F.coalesce("component", "doc_id").alias("part"))
+    placed = members.join(first, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", "members", "weight", F.coalesce("component", "doc_id").alias("part"))
     # the centre has been held against every other member: of two, nothing is left
     placed = saved(placed.where("members > 2"), "placed")
     split = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(F.col("bucket").alias("_bucket"))
@@ -178,8 +180,10 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, shingle_words:
     open_rows = placed.join(split, F.col("bucket") == F.col("_bucket")).drop("_bucket")
     left = signed.select(F.col("doc_id").alias("_id"), "registers")
     open_rows = saved(open_rows.join(left, F.col("doc_id") == F.col("_id")).drop("_id"), "open")
-    whole = open_rows.where(F.col("members") <= SPLIT_BLOCKS * BLOCK).withColumns({"first": F.lit(-1), "second": F.lit(-1)})
-    rows = whole.unionByName(_refined(open_rows.where(F.col("members") > SPLIT_BLOCKS * BLOCK), left, sets, percent))
+    # sets of few shingles that one shingle brings together in numbers meet by their rarest ones only
+    many_few = (F.col("members") > SMALL) & (F.col("members") <= SPLIT_BLOCKS * BLOCK)
+    whole = open_rows.where((F.col("members") <= SPLIT_BLOCKS * BLOCK) & ~(many_few & (F.col("n_shingles") <= FEW))).withColumns({"first": F.lit(-1), "second": F.lit(-1)})
+    rows = whole.unionByName(_few(open_rows.where(many_few & (F.col("n_shingles") <= FEW * 100 // percent)), left, sets, percent)).unionByName(_refined(open_rows.where(F.col("members") > SPLIT_BLOCKS * BLOCK), left, sets, percent))
     few = _verified(_pairs_of_small(rows.where(F.col("members") <= SMALL), percent), sets, percent)
     many = _links_of_large(rows.where(F.col("members") > SMALL), sets, percent)
     return linked.unionByName(few).unionByName(many)
@@ -202,6 +206,29 @@ def _by_rarest(few: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ranked.select(F.xxhash64("bucket", "s").alias("bucket"), *few.columns[1:])
 
 
+def _few(rows: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of sets of few shingles in open buckets that aren't split by bands, by their rarest shingles; first: the bucket's band, second: -2."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bands = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                first = pa.array([_own_band(b, x) for b, x in zip(batch.column("bucket").to_pylist(), bands)], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), first, pa.array(np.full(batch.num_rows, -2, np.int32))], [*names, "first", "second"])
+
+    names = ("bucket", "doc_id", "part", "n_shingles")
+    placed = rows.select(*names, "registers").mapInArrow(own, "bucket long, doc_id long, part long, n_shingles long, first int, second int")
+    return _still_open(saved(_by_rarest(placed, sets, percent), "few"), signed)
+
+
+def _still_open(parts: DataFrame, signed: DataFrame) -> DataFrame:
+    """Of parts of buckets those whose rows lie in several components, with their members, weight and registers."""
+    split_again = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight"))
+    split_again = saved(split_again.where("low < high").select(F.col("bucket").alias("_bucket"), "members", "weight"), "split")
+    kept = parts.join(split_again, F.col("bucket") == F.col("_bucket")).drop("_bucket")
+    return saved(kept.join(signed, F.col("doc_id") == F.col("_id")).drop("_id"), "refined")
+
+
 def _refined(rows: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows of open buckets, split by each later band; first and second: the bucket's band and the later one.
 
@@ -228,18 +255,15 @@ def _refined(rows: DataFrame, signed: DataFrame, sets: DataFrame, percent: int)
     bands = (1 << REGISTER_BITS) // BAND_ROWS
     dealt = saved(narrow.mapInArrow(split, "bucket long, doc_id long, part long, n_shingles long, first int, second int"), "dealt")
     parts = saved(dealt.where(F.col("second") < bands).unionByName(_by_rarest(dealt.where(F.col("second") == bands), sets, percent)), "parts")
-    split_again = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
-    split_again = saved(split_again.where("low < high").select(F.col("bucket").alias("_bucket"), "members"), "split")
-    kept = parts.join(split_again, F.col("bucket") == F.col("_bucket")).drop("_bucket")
-    return saved(kept.join(signed, F.col("doc_id") == F.col("_id")).drop("_id"), "refined")
+    return _still_open(parts, signed)
 
 
 def _candidates(bucket: int, split: tuple[int, int], regs: np.ndarray, ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, percent: int, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each place in first, the places in second with which it may link: in another part, of a fitting size
     and estimate, and in no earlier bucket together (there the pair has been looked at). split: the two bands of a
-    bucket's part, or -1 twice."""
+    bucket's part, its band and -2 for sets of few shingles, or -1 twice."""
     bands = regs.view(np.uint64)
-    earlier = np.delete(np.arange(split[1]), split[0]) if split[1] >= 0 else np.arange(_own_band(bucket, bands[0]))
+    earlier = np.delete(np.arange(split[1]), split[0]) if split[1] >= 0 else np.arange(split[0] if split[1] == -2 else _own_band(bucket, bands[0]))
     for k in first:
         may = (parts[second] != parts[k]) & (ids[second] > ids[k]) & (100 * np.minimum(sizes[k], sizes[second]) >= percent * np.maximum(sizes[k], sizes[second]))
         at = second[may]
@@ -281,10 +305,10 @@ def _pairs_of_small(rows: DataFrame, percent: int) -> DataFrame:
 def _links_of_large(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links (u, v) of buckets with many members, as many as connect what belongs together.
 
-    A bucket is cut into blocks, and each pair of blocks is a task's work; its pairs are
-    verified there, so only links leave it, not pairs.
+    A bucket is cut into blocks of about so many rows, or fewer where their sets are large, and each
+    pair of blocks is a task's work; its pairs are verified there, so only links leave it, not pairs.
     """
-    dealt = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long"))
+    dealt = rows.withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.least("members", F.ceil(F.col("weight") / BLOCK_SHINGLES))).cast("long"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keyed = dealt.select("bucket", "first", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n_shingles", "part", "registers")
     keyed = keyed.join(sets, F.col("doc_id") == F.col("id")).drop("id")

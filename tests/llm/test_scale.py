@@ -68,3 +68,16 @@ def test_short_sets_of_one_bucket_are_split_by_their_rarest_shingles(spark, monk
         sizes = split[0].where("second = 32").groupBy("bucket").count().select(F.sum(F.col("count") * F.col("count"))).first()[0]
         compared[n] = sizes or 0
     assert compared[5000] < 6 * max(compared[1250], 1) and compared[5000] < 20 * 5000, compared
+
+
+def test_blocks_of_large_sets_hold_fewer_rows(spark, monkeypatch):
+    """Sets of many shingles are dealt to more blocks, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4000)
+    shared = [f"shared{i}" for i in range(900)]
+    texts = [(i, " ".join(shared + [f"own{i}x{k}" for k in range(400)])) for i in range(12)]
+    texts += [(100 + i, t + " more words") for i, t in texts[::3]]
+    most, compare = [], near_dedup._links_of_large
+    monkeypatch.setattr(near_dedup, "_links_of_large", lambda rows, *a: most.append(rows.agg(F.max(F.ceil(F.col("weight") / near_dedup.BLOCK_SHINGLES)), F.max("members")).first()) or compare(rows, *a))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 4).collect()}
+    assert got == {i: i % 100 for i in got} and most[0][0] > 1
