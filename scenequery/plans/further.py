@@ -254,4 +254,4 @@ def object_lines(spark, d):
     """Evidence lines of objects, some of which had another label."""
     k = F.col("object_id")
     rows = object_geometry(spark, d).withColumn("raw_label", F.when(k % 3 == 0, F.concat(F.lit("old "), "label")).when(k % 3 == 1, F.col("label")))
-    return rows.select("object_id", t.object_line(F.col("closeness_score"), raw=True).alias("line"))
+    return rows.withColumn("_numbers", t.object_numbers(F.col("closeness_score"))).select("object_id", t.object_line("_numbers", raw=True).alias("line"))
