@@ -245,7 +245,9 @@ def _refined(rows: DataFrame, signed: DataFrame, sets: DataFrame, percent: int)
             bucket, few = batch.column("bucket").to_numpy(), batch.column("n_shingles").to_numpy() <= most
             first = np.array([_own_band(b, own) for b, own in zip(bucket, bands)], np.int32)
             key = np.c_[bands, few.astype(np.uint64)]
-            row, second = np.nonzero((key > 0) & (np.arange(key.shape[1]) > first[:, None]))
+            own = np.arange(key.shape[1]) > first[:, None]
+            own[batch.column("n_shingles").to_numpy() <= FEW, :-1] = False  # these meet all that they are alike to in the last parts
+            row, second = np.nonzero((key > 0) & own)
             part = mixed(mixed(bucket.view(np.uint64)[row] + mixed(second.astype(np.uint64) + np.uint64(1))) + key[row, second])
             take = pa.array(row)
             held = [batch.column(c).take(take) for c in ("doc_id", "part", "n_shingles")]
@@ -263,7 +265,10 @@ def _candidates(bucket: int, split: tuple[int, int], regs: np.ndarray, ids: np.n
     and estimate, and in no earlier bucket together (there the pair has been looked at). split: the two bands of a
     bucket's part, its band and -2 for sets of few shingles, or -1 twice."""
     bands = regs.view(np.uint64)
-    earlier = np.delete(np.arange(split[1]), split[0]) if split[1] >= 0 else np.arange(split[0] if split[1] == -2 else _own_band(bucket, bands[0]))
+    if split[1] in (-2, bands.shape[1]):  # sets of few shingles: only buckets of earlier bands have looked at their pairs
+        earlier = np.arange(split[0])
+    else:
+        earlier = np.delete(np.arange(split[1]), split[0]) if split[1] >= 0 else np.arange(_own_band(bucket, bands[0]))
     for k in first:
         may = (parts[second] != parts[k]) & (ids[second] > ids[k]) & (100 * np.minimum(sizes[k], sizes[second]) >= percent * np.maximum(sizes[k], sizes[second]))
         at = second[may]
