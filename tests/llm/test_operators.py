@@ -727,3 +727,13 @@ def test_many_copies_of_one_vector(spark):
     rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), 1.0]) for i in range(10)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_nearest_of_queries_unlike_the_other_rows(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((150, 64))
+    rows = [(i, (rng.standard_normal(64) if i % 50 == 0 else centres[i % 150] + rng.standard_normal(64) * 0.02).tolist()) for i in range(12000)]
+    found = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == brute_nearest(dict(rows))
