@@ -54,3 +54,15 @@ def test_coordinates_that_round_to_negative_zero(spark, tmp_path, name):
     values = "CASE WHEN j = 2 THEN -8.67e-7 ELSE sin(i * 64 + j) / 10 END"
     folder = written(tmp_path, embeddings=f"SELECT 6730 + i AS vec_id, list(CAST({values} AS FLOAT) ORDER BY j) AS embedding FROM range(10) t(i), range(64) u(j) GROUP BY i")
     exactly(spark, name, folder, "embeddings")
+
+
+def test_letters_only_of_odd_texts_without_replacing_bit_by_bit(spark):
+    from pyspark.sql import functions as F
+
+    from scenequery import bindings
+
+    texts = [None, "", "  ", "a1b\nc\td", "12 ,;", "Ünïcode é 𝒜b", "日本語", "x" * 100000 + "1"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = table.select(bindings.letters_only("text").alias("a"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    assert "regexp_replace" not in bindings.sources(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
