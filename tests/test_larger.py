@@ -66,3 +66,39 @@ def test_letters_only_of_odd_texts_without_replacing_bit_by_bit(spark):
     rows = table.select(bindings.letters_only("text").alias("a"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("b")).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows]
     assert "regexp_replace" not in bindings.sources(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def exchanges_of(frame, column):
+    """How many shuffles of a query's plan carry a column, where no side is small enough to be broadcast."""
+
+    def walk(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        output = [node.output().apply(i).name() for i in range(node.output().size())]
+        return (node.nodeName() == "Exchange" and column in output) + sum(map(walk, children))
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("name", ["prompt_texts_local", "prompt_rows_local"])
+def test_questions_are_shuffled_once(spark, name):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert exchanges_of(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"), "targets") == 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_of_prompts_are_those_of_their_texts(spark):
+    from scenequery.operators import prompts
+
+    asked = [(1, "i", "closer_farther", ["a", "b"], [], "q"), (2, "i", "closer_farther", ["a", "c"], ["c"], "two\nlines\n"), (3, "j", "left_right", [], [], None), (4, "gone", "left_right", ["a"], ["a"], "q"), (5, None, "closer_farther", ["a", None], None, ""), (6, "i", None, ["a", "b"], [], "\n")]
+    questions = spark.createDataFrame(asked, "question_id int, image string, type string, targets array<string>, missing array<string>, question string")
+    told = spark.createDataFrame([("i", ["Image: i", "x"], ["Objects:", "- a\nb", None]), ("j", ["Image: j"], ["Objects:"])], "image string, head array<string>, body array<string>")
+    best = spark.createDataFrame([("i", "a", 1, 0.5), ("i", "b", 2, 0.25), ("k", "a", 3, None)], "image string, label string, object_id int, closeness double")
+    tracks = ("pure_vlm", "geometry_only", "image_and_geometry")
+    texts = {r["question_id"]: [None if r[c] is None else r[c].count("\n") + 1 for c in tracks] for r in prompts.local_prompts(questions, told, best).collect()}
+    assert {r["question_id"]: [r[c] for c in tracks] for r in prompts.local_prompt_lines(questions, told, best).collect()} == texts
+    assert len(texts) == 6 and texts[1][1] == 3 + 3 + 2 + 1 + 5 + 2 and texts[4][1] is None
