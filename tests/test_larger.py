@@ -79,7 +79,7 @@ def exchanges_of(frame, column):
     return walk(frame._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", ["prompt_texts_local", "prompt_rows_local"])
+@pytest.mark.parametrize("name", ["rule_answers", "review_rows", "prompt_texts_local", "prompt_rows_local"])
 def test_questions_are_shuffled_once(spark, name):
     held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:
