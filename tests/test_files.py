@@ -1,6 +1,8 @@
 """Files written, decoded and renamed by tasks."""
 
+import io
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -82,3 +84,30 @@ def test_documents_of_many_images_lie_in_few_files(spark, monkeypatch):
     for name in ("detection_files", "segment_files", "segment_file_objects"):
         assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 1000
         assert sum(len(n) for _, _, n in os.walk(made[-1])) < 100
+
+
+def test_depth_outputs_take_one_python_worker_a_file(spark):
+    rows = [("a.jpg", 2, 2, [0.0, 1.0, 2.0, 4.0]), ("b.png", 2, 2, [float("nan"), float("inf"), 1.0, 3.0]), ("c", 2, 2, [float("-inf"), 5.0, 5.0, 5.0]), ("d", 2, 2, [float("nan")] * 4), ("e", 2, 2, [None, -1.0, 0.0, 1.0])]
+    rasters = spark.createDataFrame([(*r, 2, 2) for r in rows], "image string, height int, width int, values array<float>, image_height int, image_width int")
+    made = files.depth_outputs(rasters, "m", "f")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # the files of bytes in one, the documents' rasters in another
+    content = {r["name"]: bytes(r["content"]) for r in made.collect()}
+    assert len(content) == 15
+    shades = {n: zlib.decompress(content[f"{n}_depth.png"].split(b"IDAT")[1][:-16]) for n in "abcde"}
+    expected = {"a": [0, 63, 127, 255], "b": [0, 255, 0, 255], "c": [0] * 4, "d": [0] * 4, "e": [0, 0, 127, 255]}
+    for n, values in expected.items():
+        assert content[f"{n}_depth.png"] == files.png_file(np.array(values, np.uint8).reshape(2, 2), 1) and shades[n]
+    assert np.load(io.BytesIO(content["a_depth.npy"])).tolist() == [[0.0, 1.0], [2.0, 4.0]]
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+    content = io.BytesIO()
+    np.save(content, np.zeros((1, 1), np.float32))
+    image = files.png_file(np.zeros((1, 1), np.uint8), 1)
+    for i in range(1500):
+        (tmp_path / f"{i}.npy").write_bytes(content.getvalue())
+        (tmp_path / f"{i}.png").write_bytes(image)
+    least = 4 * spark.sparkContext.defaultParallelism
+    for read in (readers.npy_rasters, files.gray_rasters):
+        found = read(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= least and found.count() == 1500
