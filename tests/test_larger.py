@@ -102,3 +102,46 @@ def test_lines_of_prompts_are_those_of_their_texts(spark):
     texts = {r["question_id"]: [None if r[c] is None else r[c].count("\n") + 1 for c in tracks] for r in prompts.local_prompts(questions, told, best).collect()}
     assert {r["question_id"]: [r[c] for c in tracks] for r in prompts.local_prompt_lines(questions, told, best).collect()} == texts
     assert len(texts) == 6 and texts[1][1] == 3 + 3 + 2 + 1 + 5 + 2 and texts[4][1] is None
+
+
+def counted_questions(spark, ids):
+    """Rows of a benchmark whose questions are counted as they are made, with what tells blank ones without them."""
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def question(number):
+        made.add(1)
+        return "" if number % 7 == 0 else f"question {number}"
+
+    rows = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, n int").repartition(3)
+    fixed = [F.lit(v).alias(c) for c, v in {"img_type": "single_view", "format_type": "select", "answer": "A", "has_image": True}.items()]
+    task = F.concat(F.lit("depth_"), (F.col("n") % 5).cast("string")).alias("task")
+    return made, rows.select("id", *fixed, task, F.udf(question, "string")("n").alias("question"), (F.col("n") % 7 == 0).alias("blank"))
+
+
+def test_selection_of_single_ids_makes_no_question(spark):
+    from scenequery.operators import select
+
+    made, rows = counted_questions(spark, map(str, range(1000)))
+    got = as_texts(select.select_rows(rows, "a", missing="blank").select("id", "selected", "reasons").collect(), ["id", "selected", "reasons"])
+    assert made.value == 0
+    assert got == as_texts(select.select_rows(rows.drop("blank"), "a").collect(), ["id", "selected", "reasons"]) and sum("True" in r for r in got) == 30
+
+
+@pytest.mark.parametrize("name", ["selection_phase_a", "selection_phase_a_whole"])
+def test_selections_of_the_benchmark_make_no_question(spark, name):
+    assert "regexp_extract_all" not in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blank_questions_are_known_by_their_texts(spark):
+    from pyspark.sql import functions as F
+
+    from scenequery import bindings
+    from scenequery.functions.common import clean_text
+
+    texts = [None, "", "  ", " 1\n\t", "日本語 é", "1" * 150 + "z", " " * 100 + "\n", "x", "\U0001d49c" * 120 + "b"]
+    table = spark.createDataFrame([(i, t) for i in (49, 50, 51) for t in texts], "doc_id long, text string")
+    question = F.when(F.col("doc_id") % 50 == 0, "").otherwise(bindings.letters_only("text"))
+    rows = table.select(bindings.no_question(), (clean_text(question) == "").alias("blank")).collect()
+    assert [r["no_question"] for r in rows] == [r["blank"] for r in rows] and {r["blank"] for r in rows} == {True, False}
