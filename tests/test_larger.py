@@ -129,7 +129,7 @@ def test_selection_of_single_ids_makes_no_question(spark):
     assert got == as_texts(select.select_rows(rows.drop("blank"), "a").collect(), ["id", "selected", "reasons"]) and sum("True" in r for r in got) == 30
 
 
-@pytest.mark.parametrize("name", ["selection_phase_a", "selection_phase_a_whole", "selection_phase_b"])
+@pytest.mark.parametrize("name", ["selection_phase_a", "selection_phase_a_whole", "selection_phase_b", "source_fingerprint"])
 def test_selections_of_the_benchmark_make_no_question(spark, name):
     assert "regexp_extract_all" not in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
 
