@@ -145,3 +145,15 @@ def test_blank_questions_are_known_by_their_texts(spark):
     question = F.when(F.col("doc_id") % 50 == 0, "").otherwise(bindings.letters_only("text"))
     rows = table.select(bindings.no_question(), (clean_text(question) == "").alias("blank")).collect()
     assert [r["no_question"] for r in rows] == [r["blank"] for r in rows] and {r["blank"] for r in rows} == {True, False}
+
+
+def test_selection_of_repeated_ids_makes_their_questions_only(spark):
+    from pyspark.sql import functions as F
+
+    from scenequery.operators import select
+
+    names, tie = ["id", "selected", "reasons"], F.struct("answer", "question")
+    made, rows = counted_questions(spark, [str(n // 3) if n < 30 else str(n) for n in range(1000)])
+    got = as_texts(select.select_rows(rows, "a", tie=tie, missing="blank").select(*names).collect(), names)
+    assert 0 < made.value < 500  # of 30 ids, in each of the passes over them
+    assert got == as_texts(select.select_rows(rows.drop("blank"), "a", tie=tie).select(*names).collect(), names) and sum("True" in r for r in got) == 30
