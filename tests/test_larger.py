@@ -56,6 +56,21 @@ def test_coordinates_that_round_to_negative_zero(spark, tmp_path, name):
     exactly(spark, name, folder, "embeddings")
 
 
+@pytest.mark.parametrize("name", ["prompt_audit", "prompt_records_public", "prompt_rows_public"])
+def test_pixels_that_round_to_negative_zero(spark, tmp_path, name):
+    values = "CASE WHEN j = 0 THEN -4e-6 WHEN j = 1 AND i < 5 THEN '-0.0'::DOUBLE WHEN j = 4 AND i % 2 = 0 THEN -1e-6 WHEN j = 6 THEN 4e-6 ELSE sin(i * 64 + j) / 10 END"
+    folder = written(tmp_path, embeddings=f"SELECT 6730 + i AS vec_id, list(CAST({values} AS FLOAT) ORDER BY j) AS embedding FROM range(10) t(i), range(64) u(j) GROUP BY i")
+    exactly(spark, name, folder, "embeddings")
+
+
+def test_rounding_up_keeps_the_sign_of_zero(spark):
+    from scenequery.functions.common import rounded_up
+
+    values = [-4e-4, -0.0, 0.0, 4e-4, -5e-4, 1.5625, -1.5625, float("nan"), float("-inf"), None]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(rounded_up("x", 3).alias("r")).collect()
+    assert [str(r["r"]) for r in got] == ["-0.0", "-0.0", "0.0", "0.0", "-0.001", "1.563", "-1.563", "nan", "-inf", "None"]
+
+
 def test_letters_only_of_odd_texts_without_replacing_bit_by_bit(spark):
     from pyspark.sql import functions as F
 
