@@ -1,4 +1,4 @@
-"""python -m scenequery QUERY SF_DIR OUT [--format parquet|json|csv] [--overwrite], or --list."""
+"""python -m scenequery QUERY SF_DIR OUT [--format parquet|json|csv] [--compression CODEC] [--overwrite], or --list."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("sf_dir", nargs="?")
     parser.add_argument("out", nargs="?")
     parser.add_argument("--format", default="parquet", choices=("parquet", "json", "csv"))
+    parser.add_argument("--compression", help="the format's codec, such as zstd; the session's if not given")
     parser.add_argument("--overwrite", action="store_true")
     parser.add_argument("--list", action="store_true")
     given = parser.parse_args(args)
@@ -27,7 +28,8 @@ def main(args: list[str] | None = None) -> int:
         return 1
     spark = SparkSession.builder.appName("scenequery").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        QUERIES[given.query](spark, given.sf_dir).write.mode("overwrite" if given.overwrite else "errorifexists").format(given.format).save(given.out)
+        writer = QUERIES[given.query](spark, given.sf_dir).write.mode("overwrite" if given.overwrite else "errorifexists").format(given.format)
+        (writer.option("compression", given.compression) if given.compression else writer).save(given.out)
     except Exception as failed:  # a front end reports and ends
         print(f"{type(failed).__name__}: {failed}", file=sys.stderr)
         return 1

@@ -106,6 +106,22 @@ def test_questions_are_shuffled_once(spark, name):
             spark.conf.set(k, v)
 
 
+def test_prompts_written_with_another_codec(spark, tmp_path):
+    from scenequery.__main__ import main
+
+    data, sizes = "/root/testdata/sf0.001", {}
+    for codec in ([], ["--compression", "zstd"]):
+        out = tmp_path / "-".join(["out", *codec])
+        assert main(["prompt_texts_local", data, str(out), *codec]) == 0
+        codecs = {c for (c,) in duckdb.sql(f"SELECT DISTINCT compression FROM parquet_metadata('{out}/*.parquet')").fetchall()}
+        assert codecs == {"ZSTD" if codec else "SNAPPY"}
+        sizes[len(codec)] = sum(f.stat().st_size for f in out.glob("*.parquet"))
+    assert sizes[2] * 3 < sizes[0]
+    kept = [f"SELECT * FROM '{tmp_path}/{out}/*.parquet'" for out in ("out", "out---compression-zstd")]
+    assert duckdb.sql(f"({kept[0]}) EXCEPT ALL ({kept[1]})").fetchall() == []
+    assert [duckdb.sql(f"SELECT count(*) FROM ({k})").fetchall() for k in kept] == [duckdb.sql(f"SELECT count(*) FROM '{data}/orders.parquet'").fetchall()] * 2
+
+
 def test_lines_of_prompts_are_those_of_their_texts(spark):
     from scenequery.operators import prompts
 
