@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bindings as b
-from ..functions.common import merged
+from ..functions.common import merged, rounded_away
 from ..operators import answers as a
 from ..operators import audit as u
 from ..operators import geometry as g
@@ -239,9 +239,9 @@ def references_of_rows(spark, d):
   FROM status s JOIN embeddings e ON e.vec_id = s.question_id LEFT JOIN mk USING (question_id) LEFT JOIN rl USING (question_id)""")
 def geometry_records(spark, d):
     """The records, their views' markers and relations told in short."""
-    points = g.marker_points(b.markers(spark, d))
+    points = g.marker_points(b.markers(spark, d), rounded_away)
     status = u.task_status(b.marker_questions(spark, d), points)
-    records = u.geometry_records(status, b.marker_views(spark, d), points, g.marker_relations(points))
+    records = u.geometry_records(status, b.marker_views(spark, d), points, g.marker_relations(points, rounded_away))
     empty = lambda c: F.coalesce(F.flatten(F.transform("views", lambda x: F.coalesce(x[c], F.array()))), F.array())
     marks, related = empty("markers"), empty("marker_relations")
     far = F.aggregate(related, F.lit(0).cast("long"), lambda n, x: n + F.round(x["euclidean_distance"] * 1000000).cast("long"))

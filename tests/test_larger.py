@@ -63,6 +63,28 @@ def test_pixels_that_round_to_negative_zero(spark, tmp_path, name):
     exactly(spark, name, folder, "embeddings")
 
 
+@pytest.mark.parametrize("name", ["camera_xyz", "geometry_records", "marker_relations", "marker_relations_by_view", "prompt_audit", "prompt_records_public", "prompt_rows_public", "red_blue_relation", "repair_markers"])
+def test_depths_that_end_in_half_a_millionth(spark, tmp_path, name):
+    # a depth of 10/256 is 0.0390625, and so end differences of such depths
+    values = "CASE WHEN j = 2 THEN (2 * i + 1) / 256 WHEN j = 5 THEN (2 * i + 3) / 256 WHEN j = 8 THEN i / 128 ELSE sin(i * 64 + j) / 10 END"
+    folder = written(tmp_path, embeddings=f"SELECT 6730 + i AS vec_id, list(CAST({values} AS FLOAT) ORDER BY j) AS embedding FROM range(10) t(i), range(64) u(j) GROUP BY i")
+    exactly(spark, name, folder, "embeddings")
+
+
+def test_rounding_away_is_sql_s(spark):
+    import random
+
+    from scenequery.functions.common import rounded_away
+
+    r = random.Random(5)
+    values = [None, 0.0, -0.0, float("nan"), float("inf"), 1e300, 1e308, 4.9e9 + 0.1, 4503599627370497.5 / 1e6, 0.5e-6, -0.5e-6, 0.49999999999999994e-6]
+    values += [s * (2 * r.randrange(10**9) + 1) / 2e6 for s in (1, -1) for _ in range(2000)] + [s * k / 2**9 for s in (1, -1) for k in range(2000)] + [r.gauss(0, 10.0 ** r.randrange(-9, 12)) for _ in range(4000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", rounded_away("v").alias("r")).collect()
+    with duckdb.connect() as db:
+        expected = db.execute("SELECT list_transform($1::DOUBLE[], lambda v: round(v, 6))", [values]).fetchone()[0]
+    assert [(v, got) for v, got, want in zip(values, (x["r"] for x in rows), expected) if repr(got) != repr(want)] == []
+
+
 def test_rounding_up_keeps_the_sign_of_zero(spark):
     from scenequery.functions.common import rounded_up
 
